@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +42,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shelfmark-ckpt-", dir=os.environ.get("TMPDIR")))
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        named = tempfile.mkdtemp(prefix="shelfmark-ckpt-")
+    sc.setCheckpointDir(named)
 
 
 def running(

@@ -20,7 +20,7 @@ def clean(c: Column | str) -> Column:
 
 
 def clean_list(c: Column | str) -> Column:
-    return F.array_join(F.transform(col(c), clean), " ")
+    return F.array_join(F.transform(col(c), lambda x: clean(x)), " ")
 
 
 def clean_map(c: Column | str) -> Column:
@@ -39,6 +39,11 @@ def parse_price(c: Column | str) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("double")
 
 
+def cents(c: Column | str) -> Column:
+    """Round half up to two digits."""
+    return F.floor(col(c) * 100 + 0.5) / 100
+
+
 def find_all(c: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col(c), F.lit(pattern), group)
 
@@ -54,7 +59,7 @@ def contains_any(c: Column | str, terms: list[str]) -> Column:
 
 def tokenize(c: Column | str) -> Column:
     """Lower-cased ASCII alphanumeric runs and single CJK characters."""
-    return F.transform(find_all(F.coalesce(col(c), F.lit("")), fv.TOKEN_PATTERN), F.lower)
+    return F.transform(find_all(F.coalesce(col(c), F.lit("")), fv.TOKEN_PATTERN), lambda t: F.lower(t))
 
 
 def replace_first(c: Column | str, search: str, replacement: str) -> Column:
@@ -171,7 +176,7 @@ def facts(c: Column | str) -> Column:
         find_all(masked, fv.NUMERIC_FACT_PATTERN),
         status_facts(masked),
     )
-    return F.array_distinct(F.filter(F.transform(found_all, F.trim), lambda f: f != ""))
+    return F.array_distinct(F.filter(F.transform(found_all, lambda f: F.trim(f)), lambda f: f != ""))
 
 
 def despace(c: Column | str) -> Column:

@@ -418,4 +418,4 @@ def budget_ceiling(text: Column | str) -> Column:
 def split_compound(text: Column | str) -> Column:
     """``A 和 B`` as two sub-queries; other texts as one."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.transform(F.split(c, r"\s*和\s*"), F.trim), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(F.split(c, r"\s*和\s*"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)

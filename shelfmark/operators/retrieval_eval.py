@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from shelfmark.functions import fixed_values as fv
 from shelfmark.functions.scale import exact_ranks
-from shelfmark.functions.text import partial_name, replace_first
+from shelfmark.functions.text import cents, partial_name, replace_first
 from shelfmark.operators.retrieval import bm25_topk, top_per
 
 
@@ -138,7 +138,7 @@ def unique_signatures(attributes: DataFrame, min_chars: int = 4) -> DataFrame:
 
 
 def multi_constraint(products: DataFrame, brand: str = "brand") -> DataFrame:
-    ceiling = F.round(F.col("price") + F.greatest(F.lit(1.0), F.col("price") * 0.05), 2)
+    ceiling = cents(F.col("price") + F.greatest(F.lit(1.0), F.col("price") * 0.05))
     return products.where(F.col("price") > 0).withColumn("ceiling", ceiling).withColumn(
         "question",
         F.concat(

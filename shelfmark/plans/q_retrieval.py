@@ -297,7 +297,7 @@ CATALOG_Q = """SELECT row_number() OVER (ORDER BY p_name, p_type) AS query_id, p
 def catalog_queries(spark, sf):
     """One query per product name and type: the type as category filter, its mean price as ceiling."""
     p = D.table(spark, sf, "part").groupBy("p_name", "p_type").agg(F.round(F.avg("p_retailprice"), 2).alias("ceiling"))
-    numbered = D.F.row_number().over(R.Window.partitionBy(F.lit(1)).orderBy("p_name", "p_type"))
+    numbered = F.row_number().over(R.Window.partitionBy(F.lit(1)).orderBy("p_name", "p_type"))
     return p.select(
         numbered.cast("bigint").alias("query_id"),
         F.concat("p_name", F.lit(" Brand 7")).alias("text"),
@@ -379,10 +379,10 @@ def comparison_brief(spark, sf):
 # --- product lookups: every ordered item is a request -------------------------------
 @register(
     "product_lookup",
-    f"""WITH dom_products AS ({D.CTE['dom_products']}), at AS (SELECT product_id, title, category, price, key || ' ' || value AS text, pos FROM ({D.CTE['dom_attributes']})),
+    f"""WITH dom_products AS ({D.CTE['dom_products']}), pat AS (SELECT product_id, title, category, price, key || ' ' || value AS text, pos FROM ({D.CTE['dom_attributes']})),
      req AS (SELECT l_orderkey AS request_id, l_linenumber AS pos, printf('P%05d', l_partkey + CASE WHEN l_linenumber = 7 THEN 90000 ELSE 0 END) AS product_id FROM lineitem)
      SELECT request_id, req.pos AS pos, req.product_id AS product_id, c.product_id IS NOT NULL AS ok, CASE WHEN c.product_id IS NULL THEN 'product_not_found' END AS error, title, evidence
-     FROM req LEFT JOIN (SELECT product_id, min(title) AS title, string_agg(text, '|' ORDER BY pos) AS evidence FROM at GROUP BY 1) c ON c.product_id = req.product_id""",
+     FROM req LEFT JOIN (SELECT product_id, min(title) AS title, string_agg(text, '|' ORDER BY pos) AS evidence FROM pat GROUP BY 1) c ON c.product_id = req.product_id""",
 )
 def product_lookup(spark, sf):
     req = D.table(spark, sf, "lineitem").select(
@@ -444,12 +444,12 @@ def policy_lookup(spark, sf):
 # --- budgets and compounds read from generated questions ------------------------------
 @register(
     "budget_filter",
-    """SELECT o_orderkey AS query_id, round(o_totalprice / 100, 2) AS ceiling, count(*) FILTER (p_retailprice <= round(o_totalprice / 100, 2)) AS n_within, count(*) AS n_items
+    """SELECT o_orderkey AS query_id, floor(o_totalprice / 100) AS ceiling, count(*) FILTER (p_retailprice <= floor(o_totalprice / 100)) AS n_within, count(*) AS n_items
      FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
 )
 def budget_filter(spark, sf):
     o = D.table(spark, sf, "orders").select(
-        "o_orderkey", F.format_string("预算不超过 %.2f 元，找礼物", F.round(F.col("o_totalprice") / 100, 2)).alias("question")
+        "o_orderkey", F.format_string("预算不超过 %.2f 元，找礼物", F.floor(F.col("o_totalprice") / 100).cast("double")).alias("question")
     ).select("o_orderkey", R.budget_ceiling("question").alias("ceiling"))
     li = D.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     p = D.table(spark, sf, "part").select("p_partkey", "p_retailprice")
@@ -597,8 +597,8 @@ def partial_names(spark, sf):
 
 @register(
     "eval_multi_constraint",
-    f"""WITH dom_products AS ({D.CTE['dom_products']}) SELECT product_id, round(price + greatest(1, price * 0.05), 2) AS ceiling,
-    '预算不超过 ' || printf('%.2f', round(price + greatest(1, price * 0.05), 2)) || '，想买 ' || brand || ' 的' || category || '，关键词 ' ||
+    f"""WITH dom_products AS ({D.CTE['dom_products']}) SELECT product_id, floor((price + greatest(1, price * 0.05)) * 100 + 0.5) / 100 AS ceiling,
+    '预算不超过 ' || printf('%.2f', floor((price + greatest(1, price * 0.05)) * 100 + 0.5) / 100) || '，想买 ' || brand || ' 的' || category || '，关键词 ' ||
     CASE WHEN len([t FOR t IN toks IF length(t) >= 4]) > 0 THEN array_to_string([t FOR t IN toks IF length(t) >= 4][1:2], ' ') ELSE array_to_string(toks[1:2], ' ') END AS question
     FROM (SELECT *, regexp_extract_all(title, '[A-Za-z0-9][A-Za-z0-9+._-]*') AS toks FROM dom_products) WHERE price > 0""",
 )
