@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,3 +204,46 @@ def exact_ranks(
         *[F.sum(F.when(F.col("name") == n, F.col("__v") * F.col("weight"))).alias(n) for n in wanted]
     )
     return out if groups else out.drop("__all")
+
+
+def ordered_fold(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    start: Callable[[Any], Any],
+    step: Callable[[Any, Any], tuple[Any, dict[str, Any]]],
+    schema: str,
+) -> DataFrame:
+    """Fold each key's rows in order, one output row per input row.
+
+    Rows are hash-partitioned by key and sorted inside the partition, then
+    streamed in Arrow batches with the state of the current key carried along: a
+    large key is never held in memory. Use it only where a step truly needs the
+    result of the one before, and filter rows that cannot change the state first.
+    """
+    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = [f.strip().split(" ")[0] for f in _split_schema(schema)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != current:
+                    current, state = key, start(row)
+                state, emitted = step(state, row)
+                out.append(emitted)
+            yield pd.DataFrame(out, columns=names)
+
+    return sorted_rows.mapInPandas(run, schema)
+
+
+def _split_schema(schema: str) -> list[str]:
+    parts, depth, last = [], 0, 0
+    for i, ch in enumerate(schema):
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and depth == 0:
+            parts.append(schema[last:i])
+            last = i + 1
+    return [*parts, schema[last:]]

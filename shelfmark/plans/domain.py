@@ -135,6 +135,7 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 17 == 0, "out_of_stock").otherwise("available").alias("inventory_status"),
         F.when(k % 23 == 0, "requested").when(k % 29 == 0, "closed").alias("return_status"),
         F.concat(F.lit("credit_card_"), uid).alias("payment_method_id"),
+        F.format_string("P%05d", k % 1000).alias("product_id"),
         k.alias("order_key"),
     )
 
@@ -147,7 +148,7 @@ SELECT printf('O%06d', o_orderkey) AS order_id, printf('U%04d', o_custkey) AS us
   o_orderkey % 5 = 0 AS opened, o_orderkey % 11 = 0 AS quality_issue,
   CASE WHEN o_orderkey % 17 = 0 THEN 'out_of_stock' ELSE 'available' END AS inventory_status,
   CASE WHEN o_orderkey % 23 = 0 THEN 'requested' WHEN o_orderkey % 29 = 0 THEN 'closed' END AS return_status,
-  'credit_card_' || printf('U%04d', o_custkey) AS payment_method_id, o_orderkey AS order_key
+  'credit_card_' || printf('U%04d', o_custkey) AS payment_method_id, printf('P%05d', o_orderkey % 1000) AS product_id, o_orderkey AS order_key
 FROM orders"""
 
 AS_OF = "1998-07-20"
@@ -174,34 +175,35 @@ def event_k() -> Column:
     return F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
 
 
+COMMAND_TOOLS = {
+    "purchase": ["create_return_request"],
+    "error": ["cancel_pending_order"],
+    "click": ["modify_pending_order_payment", "modify_pending_order_address", "modify_pending_order_items"],
+    "view": ["get_order", "check_return_eligibility", "modify_user_address"],
+    "signup": ["return_delivered_order_items", "exchange_delivered_order_items"],
+}
+
+
+def pick(values: list[str], i: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+
+
 def commands(spark: SparkSession, sf: str) -> DataFrame:
     """Tool commands against orders; most carry the owner's id and right code."""
     k = event_k()
+    tool = None
+    for kind, tools in COMMAND_TOOLS.items():
+        hit = F.col("event_type") == kind
+        tool = F.when(hit, pick(tools, k)) if tool is None else tool.when(hit, pick(tools, k))
     e = table(spark, sf, "events").select(
         F.col("event_id").alias("seq"),
         "ts",
         F.format_string("O%06d", F.col("user_id") * 100 + k - k % 10).alias("order_id"),
-        F.col("event_id"),
         F.col("user_id").alias("actor"),
-        F.element_at(
-            F.create_map(
-                *[
-                    F.lit(x)
-                    for pair in (
-                        ("purchase", "create_return_request"),
-                        ("error", "cancel_pending_order"),
-                        ("click", "modify_pending_order_payment"),
-                        ("view", "get_order"),
-                        ("signup", "return_delivered_order_items"),
-                    )
-                    for x in pair
-                ]
-            ),
-            F.col("event_type"),
-        ).alias("tool"),
+        tool.alias("tool"),
         k.alias("k"),
     )
-    owner = orders(spark, sf).select("order_id", F.col("user_id").alias("owner"))
+    owner = orders(spark, sf).select("order_id", F.col("user_id").alias("owner"), "product_id")
     joined = e.join(owner, "order_id", "left")
     uid = F.when(F.col("seq") % 7 == 0, F.format_string("U%04d", "actor")).otherwise(
         F.coalesce("owner", F.format_string("U%04d", "actor"))
@@ -220,11 +222,11 @@ def commands(spark: SparkSession, sf: str) -> DataFrame:
         uid.alias("user_id"),
         code.alias("verification_code"),
         (F.col("seq") % 3 != 0).alias("confirmed"),
-        F.element_at(
-            F.array(F.lit("no longer needed"), F.lit("ordered by mistake"), F.lit("other")),
-            (F.col("seq") % 5 % 3 + 1).cast("int"),
-        ).alias("reason"),
+        pick(["no longer needed", "ordered by mistake", "other"], F.col("seq") % 5).alias("reason"),
         F.concat(F.when(F.col("k") % 3 == 0, "gift_card_").otherwise("credit_card_"), uid).alias("payment_method_id"),
+        F.array(F.when(F.col("k") % 5 == 4, "P99999").otherwise(F.coalesce("product_id", F.lit("P00000")))).alias("item_ids"),
+        F.array(F.format_string("P%05d", F.col("seq") % 2)).alias("new_item_ids"),
+        F.concat(F.lit("street "), (F.col("seq") % 2).cast("string")).alias("address"),
         "k",
     )
 
@@ -235,14 +237,16 @@ SELECT seq, ts, tool, order_id, user_id,
        ELSE lpad(CAST(CAST(regexp_extract(user_id, '[0-9]+') AS BIGINT) * 7919 % 1000000 AS VARCHAR), 6, '0') END AS verification_code,
   seq % 3 <> 0 AS confirmed,
   ['no longer needed', 'ordered by mistake', 'other'][CAST(seq % 5 % 3 + 1 AS INTEGER)] AS reason,
-  CASE WHEN k % 3 = 0 THEN 'gift_card_' ELSE 'credit_card_' END || user_id AS payment_method_id, k
-FROM (SELECT e.*, CASE WHEN seq % 7 = 0 OR o.user_id IS NULL THEN printf('U%04d', actor) ELSE o.user_id END AS user_id
-      FROM (SELECT event_id AS seq, ts, user_id AS actor,
-              printf('O%06d', user_id * 100 + CAST(regexp_extract(props, '[0-9]+') AS BIGINT) - CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 10) AS order_id,
+  CASE WHEN k % 3 = 0 THEN 'gift_card_' ELSE 'credit_card_' END || user_id AS payment_method_id,
+  CASE WHEN k % 5 = 4 THEN 'P99999' ELSE coalesce(product_id, 'P00000') END AS item_id, printf('P%05d', seq % 2) AS new_item_id,
+  'street ' || CAST(seq % 2 AS VARCHAR) AS address, k
+FROM (SELECT e.*, o.product_id, CASE WHEN seq % 7 = 0 OR o.user_id IS NULL THEN printf('U%04d', actor) ELSE o.user_id END AS user_id
+      FROM (SELECT event_id AS seq, ts, user_id AS actor, k, printf('O%06d', user_id * 100 + k - k % 10) AS order_id,
               CASE event_type WHEN 'purchase' THEN 'create_return_request' WHEN 'error' THEN 'cancel_pending_order'
-                WHEN 'click' THEN 'modify_pending_order_payment' WHEN 'view' THEN 'get_order'
-                WHEN 'signup' THEN 'return_delivered_order_items' END AS tool,
-              CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events) e
+                WHEN 'click' THEN ['modify_pending_order_payment', 'modify_pending_order_address', 'modify_pending_order_items'][CAST(k % 3 + 1 AS INTEGER)]
+                WHEN 'view' THEN ['get_order', 'check_return_eligibility', 'modify_user_address'][CAST(k % 3 + 1 AS INTEGER)]
+                WHEN 'signup' THEN ['return_delivered_order_items', 'exchange_delivered_order_items'][CAST(k % 2 + 1 AS INTEGER)] END AS tool
+            FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)) e
       LEFT JOIN dom_orders o USING (order_id))"""
 
 
