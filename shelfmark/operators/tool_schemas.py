@@ -15,9 +15,9 @@ def parameter_table(spark: SparkSession) -> DataFrame:
         for required in (True, False):
             for name, kind in spec.get("required" if required else "optional", {}).items():
                 pattern = fv.PARAMETER_PATTERNS.get(name) if tool in fv.PATTERN_TOOLS.get(name, []) else None
-                rows.append((tool, name, kind, required, pattern, fv.PARAMETER_ENUMS.get((tool, name))))
+                rows.append((tool, len(rows), name, kind, required, pattern, fv.PARAMETER_ENUMS.get((tool, name))))
     return spark.createDataFrame(
-        rows, "tool string, param string, type string, required boolean, pattern string, choices array<string>"
+        rows, "tool string, declared int, param string, type string, required boolean, pattern string, choices array<string>"
     )
 
 
@@ -53,7 +53,9 @@ def validate_calls(calls: DataFrame) -> DataFrame:
     params = parameter_table(spark)
     contract = params.groupBy("tool").agg(
         F.array_sort(F.collect_list("param")).alias("known"),
-        F.array_sort(F.collect_list(F.when(F.col("required"), F.col("param")))).alias("needed"),
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("required"), F.struct("declared", "param")))), lambda p: p["param"]
+        ).alias("needed"),
     )
     v = F.try_parse_json("arguments")
     keys = F.json_object_keys("arguments")

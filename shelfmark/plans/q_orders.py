@@ -247,7 +247,7 @@ def call_ids(spark, sf):
         "dom_commands",
         body="""SELECT CAST(seq AS VARCHAR) AS call_id, tool, CASE
       WHEN k % 9 = 0 THEN 'unknown tool: ' || tool
-      WHEN tool IN ('modify_pending_order_address', 'modify_user_address') THEN 'missing: address1, address2, city, country, state, zip'
+      WHEN tool IN ('modify_pending_order_address', 'modify_user_address') THEN 'missing: ' || CASE WHEN k % 9 = 1 AND tool <> 'modify_user_address' THEN 'order_id, ' ELSE '' END || 'address1, address2, city, state, country, zip'
       WHEN k % 9 = 1 AND tool <> 'modify_user_address' THEN 'missing: order_id'
       WHEN k % 9 = 2 THEN 'unknown: extra'
       WHEN NOT regexp_full_match(verification_code, '[0-9]{6}') THEN tool || '.verification_code: does not match [0-9]{6}'
