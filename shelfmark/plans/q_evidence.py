@@ -34,12 +34,12 @@ def tool_calls(spark, sf):
         F.col("delivered_at").cast("string").alias("delivered_at"), "opened", "quality_issue", "inventory_status", "return_status",
     )
     read = o.select(
-        *base, F.lit(0).alias("call_seq"), F.lit("get_order").alias("tool"), no_args.alias("arguments"),
+        *base, F.lit(0).cast("bigint").alias("call_seq"), F.lit("get_order").alias("tool"), no_args.alias("arguments"),
         F.to_json(F.struct((k % 13 != 0).alias("ok"), order_json.alias("order"))).alias("result"),
     )
     days = F.datediff(F.lit(D.AS_OF).cast("date"), "delivered_at")
     check = o.select(
-        *base, F.lit(1).alias("call_seq"), F.lit("check_return_eligibility").alias("tool"), no_args.alias("arguments"),
+        *base, F.lit(1).cast("bigint").alias("call_seq"), F.lit("check_return_eligibility").alias("tool"), no_args.alias("arguments"),
         F.to_json(
             F.struct(
                 F.lit(True).alias("ok"), F.coalesce("quality_issue", F.lit(False)).alias("eligible"), F.when(k % 4 == 2, "checked").alias("reason"),
@@ -47,12 +47,12 @@ def tool_calls(spark, sf):
             )
         ).alias("result"),
     )
-    li = D.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    li = D.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
     p = D.products(spark, sf)
     item = li.join(p, F.col("l_partkey") == F.col("line_no"))
     look = item.select(
         F.format_string("O%06d", "l_orderkey").alias("trajectory_id"),
-        (F.col("l_linenumber") + 1).alias("call_seq"),
+        (F.col("l_linenumber") * 1000000 + F.col("l_partkey") + 2).alias("call_seq"),
         F.lit("get_product").alias("tool"),
         F.to_json(F.struct("product_id")).alias("arguments"),
         F.to_json(
@@ -68,7 +68,7 @@ def tool_calls(spark, sf):
 
 
 def ledger(spark, sf):
-    return V.ledger(V.convert_calls(tool_calls(spark, sf)), F.floor(F.col("call_seq") / 64))
+    return V.ledger(V.convert_calls(tool_calls(spark, sf)), F.floor(F.col("call_seq") / 1000000))
 
 
 _O = [
@@ -77,7 +77,7 @@ _O = [
     ("inventory_status", "inventory_status"), ("return_status", "return_status"),
 ]
 _P = [("product_id", "product_id"), ("title", "title"), ("category", "category"), ("price", "CAST(price AS VARCHAR)"), ("inventory", "inventory"), ("updated_at", "'2026-07-01'")]
-_IT = "(SELECT printf('O%06d', l_orderkey) AS t, l_linenumber + 1 AS s, p.* FROM lineitem JOIN dom_products p ON l_partkey = p.line_no)"
+_IT = "(SELECT printf('O%06d', l_orderkey) AS t, l_linenumber * 1000000 + l_partkey + 2 AS s, p.* FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem) JOIN dom_products p ON l_partkey = p.line_no)"
 RAW = " UNION ALL ".join(
     [f"SELECT order_id AS t, 0 AS s, {i} AS pos, 'order:' || order_id AS src, 'order.{f}' AS field, {e} AS value, NULL AS upd FROM dom_orders WHERE order_key % 13 <> 0" for i, (f, e) in enumerate(_O)]
     + [
@@ -106,7 +106,7 @@ def evidence_rows(spark, sf):
      SELECT 'get_order' AS tool_name, CASE WHEN order_key % 13 = 0 THEN 'tool_failed' ELSE 'converted' END AS status, 1 AS src,
        CASE WHEN order_key % 13 = 0 THEN 0 ELSE 7 + CASE WHEN delivered_at IS NULL THEN 0 ELSE 1 END + CASE WHEN return_status IS NULL THEN 0 ELSE 1 END END AS n FROM dom_orders
      UNION ALL SELECT 'check_return_eligibility', 'converted', 1, 1 + CASE WHEN order_key % 4 = 2 THEN 2 ELSE 0 END FROM dom_orders
-     UNION ALL SELECT 'get_product', 'converted', 1, 9 FROM lineitem) GROUP BY 1, 2""",
+     UNION ALL SELECT 'get_product', 'converted', 1, 9 FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)) GROUP BY 1, 2""",
     ),
 )
 def conversion_spans(spark, sf):
@@ -153,7 +153,7 @@ def answers(spark, sf):
 CLAIMS = f""", cl AS (SELECT order_id AS t, order_key AS k, CASE WHEN order_key % 6 = 0 THEN 'processed' ELSE status END AS c_status,
    round(900 + (order_key % 40) / 10, 1) AS c_price, coalesce(DATE '{D.AS_OF}' - delivered_at, 3) + CASE WHEN order_key % 3 = 0 THEN 1 ELSE 0 END AS c_days,
    CASE WHEN order_key % 8 = 0 THEN '1990-01-01' ELSE CAST(ordered_at AS VARCHAR) END AS c_date, CASE WHEN order_key % 5 = 0 THEN 'true' ELSE 'false' END AS c_elig FROM dom_orders),
-  pv AS (SELECT t, list(CAST(value AS DOUBLE)) FILTER (field = 'product.price') AS prices, max(CAST(CASE WHEN field = 'return.days_since_delivery' THEN value END AS BIGINT)) AS days,
+  pv AS (SELECT t, list(TRY_CAST(value AS DOUBLE)) FILTER (field = 'product.price') AS prices, max(TRY_CAST(CASE WHEN field = 'return.days_since_delivery' THEN value END AS BIGINT)) AS days,
     list(value) FILTER (field LIKE '%\\_at' ESCAPE '\\') AS dates, max(CASE WHEN field = 'return.eligible' THEN value END) AS elig, max(CASE WHEN field = 'order.status' THEN value END) AS st FROM ev GROUP BY 1),
   con AS (SELECT t, 0 AS n, 5 AS rule, c_status AS claim FROM cl JOIN pv USING (t) WHERE st <> c_status
     UNION ALL SELECT t, 1, 1, printf('%.1f', c_price) || '元' FROM cl JOIN pv USING (t) WHERE len(prices) > 0 AND NOT list_contains(prices, c_price)
@@ -188,7 +188,7 @@ def invalid_citations(spark, sf):
     "required_coverage",
     EV
     + """, h AS (SELECT cl.t, bool_or(field = 'order.status' AND (value = c_status)) AS a,
-      bool_or(field LIKE 'return.%' AND (contains(lower(txt), lower(value)) OR (value = 'true' AND k % 5 = 0) OR (value = 'false' AND k % 5 <> 0))) AS b
+      bool_or(field LIKE 'return.%' AND (contains(lower(txt), lower(value)) OR (value = 'true') OR (value = 'false' AND k % 5 <> 0))) AS b
      FROM (SELECT *, '订单 ' || t || ' 当前状态为 ' || c_status || '[E3]。' || printf('预算不超过 50 元，商品价格 %.1f 元。', c_price) || '距今已有 ' || c_days || ' 天。下单日期是 ' || c_date || '。' || CASE WHEN k % 5 = 0 THEN '该订单符合退货条件。' ELSE '该订单不符合退货条件。' END || CASE WHEN k % 10 = 0 THEN '更多说明请参考证据[E9999]。' ELSE '' END AS txt FROM cl) cl JOIN ev ON ev.t = cl.t GROUP BY 1)
    SELECT t AS trajectory_id, CAST(CAST(a AS INTEGER) + CAST(b AS INTEGER) AS BIGINT) AS covered, round((CAST(a AS INTEGER) + CAST(b AS INTEGER)) / 3, 6) AS coverage FROM h""".replace(", h AS", CLAIMS + ", h AS"),
 )
@@ -209,7 +209,7 @@ def forbidden_values(spark, sf):
     + f""", f AS (SELECT t, k, unnest([t, c_status, '50 元', printf('%.1f 元', c_price), CAST(abs(c_days) AS VARCHAR) || ' 天', c_date, CASE WHEN c_elig = 'true' THEN '符合退货条件' ELSE '不符合退货条件' END]) AS fact, unnest([1, 2, 3, 4, 5, 6, 7]) AS i, c_price, c_days, c_elig FROM cl),
      tx AS (SELECT t, replace(string_agg(src || ' ' || field || ' ' || value || ' ' || value, chr(10)), ' ', '') AS corpus FROM ev GROUP BY 1),
      j AS (SELECT f.t, i, f.fact, contains(lower(corpus), lower(replace(f.fact, ' ', '')))
-        OR (i = 4 AND list_contains(prices, c_price)) OR (i = 5 AND days = abs(c_days)) OR (i = 7 AND contains(lower(corpus), c_elig)) AS ok FROM f JOIN tx USING (t) JOIN pv USING (t))
+        OR (i = 4 AND coalesce(list_contains(prices, c_price), false)) OR (i = 5 AND coalesce(days = abs(c_days), false)) OR (i = 7 AND contains(lower(corpus), c_elig)) AS ok FROM f JOIN tx USING (t) JOIN pv USING (t))
      SELECT t AS trajectory_id, fact FROM j WHERE NOT ok""",
 )
 def unsupported_facts(spark, sf):

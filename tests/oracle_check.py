@@ -6,6 +6,8 @@
 from __future__ import annotations
 
 import math
+import os
+import signal
 import sys
 import time
 from pathlib import Path
@@ -72,8 +74,9 @@ def compare(spark, con, name, fn, sql, sf):
     want = sorted(tuple(norm(r[i]) for i in idx) for r in cur.fetchall())
     if got == want:
         return f"ok {len(got)} rows, {t1:.1f}s" + (" EMPTY" if not got else ""), True, t1
-    only_got = [r for r in got if r not in set(want)][:3]
-    only_want = [r for r in want if r not in set(got)][:3]
+    got_set, want_set = set(got), set(want)
+    only_got = [r for r in got if r not in want_set][:3]
+    only_want = [r for r in want if r not in got_set][:3]
     return (
         f"MISMATCH spark={len(got)} sql={len(want)} cols={cols}\n    spark only: {only_got}\n    sql only: {only_want}"[:2500],
         False,
@@ -81,6 +84,13 @@ def compare(spark, con, name, fn, sql, sf):
     )
 
 
+def too_long(*_):
+    raise TimeoutError("query took too long")
+
+
+signal.signal(signal.SIGALRM, too_long)
+
+
 def main(argv: list[str]) -> int:
     import __spark_entry__ as entry
 
@@ -93,10 +103,14 @@ def main(argv: list[str]) -> int:
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
         try:
+            signal.alarm(int(os.environ.get("QUERY_SECONDS", "60")))
             msg, ok, t = compare(spark, con, name, qs[name], sqls.get(name), sf)
             total += t
         except Exception as exc:  # report and go on with the next query
             msg, ok = f"ERROR {type(exc).__name__}: {str(exc)[:900]}", False
+            spark.sparkContext.cancelAllJobs()
+        finally:
+            signal.alarm(0)
         print(f"{name}: {msg}", flush=True)
         if not ok:
             bad.append(name)
