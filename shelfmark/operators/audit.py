@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfmark.functions import fixed_values as fv
 from shelfmark.functions.scale import running
@@ -166,8 +167,6 @@ def _contract_violations(m: DataFrame, good: DataFrame, contracts: DataFrame, vi
     covers = F.forall(F.map_entries("want_args"), lambda e: F.coalesce(F.try_element_at("args", e["key"]) == e["value"], F.lit(False)))
     hit = want.join(succeeded.select("sim", "name", "args", "args_key", "ordinal"), ["sim", "name"]).where(covers)
     chosen = hit.groupBy("sim", "idx", "name").agg(F.min_by("args_key", "ordinal").alias("args_key"))
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("sim", "name", "args_key").orderBy("idx")
     enough = chosen.withColumn("use", F.row_number().over(w)).join(totals, ["sim", "name", "args_key"]).where(
         F.col("use") <= F.col("available")
@@ -219,5 +218,5 @@ def audit_summary(audits: DataFrame) -> DataFrame:
             F.array(F.lit("total"), F.when(F.col("process_compliant"), "process_compliant").otherwise("noncompliant"))
         ).alias("item")
     )
-    kinds = audits.select(F.concat(F.lit("violation:"), F.explode("violations")).alias("item"))
+    kinds = audits.select(F.explode("violations").alias("v")).select(F.concat(F.lit("violation:"), "v").alias("item"))
     return totals.unionByName(kinds).groupBy("item").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_retrieval", "q_corpus", "q_orders", "q_evidence"]
+MODULES = ["q_retrieval", "q_corpus", "q_orders", "q_evidence", "q_trajectories"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
