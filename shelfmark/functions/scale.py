@@ -52,6 +52,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read to the shared checkpoint folder, once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def running(
     df: DataFrame,
     keys: list[str],

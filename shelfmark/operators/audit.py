@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.functions import fixed_values as fv
-from shelfmark.functions.scale import running
+from shelfmark.functions.scale import running, settled
 
 ORDER_READ, USER_READ, HANDOFF = "get_order_details", "get_user_details", "transfer_to_human_agents"
 
@@ -66,6 +66,7 @@ def audit(
         sums={"c": F.col("calls_here").cast("bigint"), "r": is_result.cast("bigint")},
     )
     queue = running(counted, ["sim"], ["pos"], block, maxima={"lost": F.greatest(F.when(is_result, F.col("r") - F.col("c")), F.lit(0))})
+    queue = settled(queue)
     calls = (
         queue.where(is_call_msg & (F.col("n_calls") > 0))
         .select("sim", "pos", (F.col("c") - F.col("n_calls")).alias("c0"), F.posexplode("calls").alias("i", "call"))
@@ -77,7 +78,7 @@ def audit(
     prior = queue.where(is_result).groupBy("sim", "lost").agg(F.min("pos").alias("first_at"))
     unmatched = prior.where(F.col("lost") > 0).select("sim", F.col("first_at").alias("result_pos"))
     matched = results.join(unmatched, ["sim", "result_pos"], "left_anti")
-    done = calls.join(matched.select("sim", "ordinal", "result_pos", "error"), ["sim", "ordinal"])
+    done = settled(calls.join(matched.select("sim", "ordinal", "result_pos", "error"), ["sim", "ordinal"]))
     good = done.where(~F.coalesce("error", F.lit(False)))
 
     def violations(df: DataFrame, name: str | Column, pos: str = "pos", sub: Column | int = 0) -> DataFrame:
@@ -87,8 +88,8 @@ def audit(
     parts = [
         violations(unmatched, "unmatched_tool_result", "result_pos"),
         violations(done.where(F.coalesce("error", F.lit(False))), "tool_error", "result_pos"),
-        violations(m.where(is_call_msg & (F.col("content") != "") & (F.col("n_calls") > 0)), "assistant_content_and_tool_call"),
-        violations(m.where(is_call_msg & (F.col("n_calls") > 1)), "parallel_tool_calls", sub=1),
+        violations(queue.where(is_call_msg & (F.col("content") != "") & (F.col("n_calls") > 0)), "assistant_content_and_tool_call"),
+        violations(queue.where(is_call_msg & (F.col("n_calls") > 1)), "parallel_tool_calls", sub=1),
     ]
     auth = good.where(F.col("name").isin(fv.AUTH_TOOLS)).groupBy("sim").agg(F.min("result_pos").alias("auth_at"))
     user_read = good.where(F.col("name") == USER_READ).groupBy("sim").agg(F.min("result_pos").alias("user_read_at"))
@@ -102,7 +103,7 @@ def audit(
     parts.append(violations(private.where(unauthenticated), "private_read_before_successful_authentication", sub=F.col("i") * 10 + 2))
 
     # the target an assistant asks to confirm: the only order already read that the text names
-    request = m.where(is_call_msg & (F.col("content") != "") & F.col("content").rlike(fv.CONFIRMATION_REQUEST_PATTERN))
+    request = queue.where(is_call_msg & (F.col("content") != "") & F.col("content").rlike(fv.CONFIRMATION_REQUEST_PATTERN))
     named = request.select(
         "sim", "pos", F.explode_outer(F.array_distinct(F.regexp_extract_all("content", F.lit(order_id_pattern), F.lit(0)))).alias("target")
     ).join(reads, ["sim", "target"], "left")
@@ -112,7 +113,7 @@ def audit(
     )
     said = (F.col("role") == "user") & (F.col("n_calls") == 0)
     yes = F.col("content").rlike(fv.CONFIRMATION_PATTERN)
-    flow = m.select("sim", "pos", "role", "content", "n_calls").join(asked, ["sim", "pos"], "left")
+    flow = queue.select("sim", "pos", "role", "content", "n_calls").join(asked, ["sim", "pos"], "left")
     pending = running(flow, ["sim"], ["pos"], block, lasts={"pending_target": F.col("asked_target")})
     confirmed = running(
         pending, ["sim"], ["pos"], block,
@@ -149,7 +150,7 @@ def audit(
     totals = queue.groupBy("sim").agg(F.max("c").alias("c"), F.max(F.col("r") - F.col("lost")).alias("matched"))
     parts.append(violations(totals.where(F.col("c") > F.col("matched")).withColumn("pos", end), "missing_tool_result"))
     if contracts is not None:
-        parts += _contract_violations(m, good, contracts, violations, end)
+        parts += _contract_violations(queue, good, contracts, violations, end)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
