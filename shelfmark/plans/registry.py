@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_retrieval", "q_corpus", "q_orders", "q_evidence", "q_trajectories"]
+MODULES = ["q_retrieval", "q_corpus", "q_orders", "q_evidence", "q_trajectories", "q_runs"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
