@@ -19,6 +19,11 @@ def clean(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """Drop white space, newlines included, at both ends."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def clean_list(c: Column | str) -> Column:
     return F.array_join(F.transform(col(c), lambda x: clean(x)), " ")
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from shelfmark.functions import fixed_values as fv
 from shelfmark.functions.scale import dense_numbers
-from shelfmark.functions.text import clean, clean_list, clean_map, first_non_blank, parse_price
+from shelfmark.functions.text import clean, clean_list, clean_map, first_non_blank, parse_price, strip
 
 
 def category_aliases(category: Column | str) -> Column:
@@ -232,7 +232,7 @@ def product_chunks(products: DataFrame, attributes: Column, max_attributes: int
     title = F.col("title")
 
     def chunk(kind: str, i: Column, text: Column) -> Column:
-        return F.struct(F.lit(kind).alias("chunk_type"), i.cast("int").alias("chunk_index"), F.trim(text).alias("text"))
+        return F.struct(F.lit(kind).alias("chunk_type"), i.cast("int").alias("chunk_index"), strip(text).alias("text"))
 
     none = F.array().cast("array<struct<chunk_type:string,chunk_index:int,text:string>>")
     parts = [

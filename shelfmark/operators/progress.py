@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed_values as fv
 from shelfmark.functions.scale import running
-from shelfmark.functions.text import contains_any, found
+from shelfmark.functions.text import contains_any, found, strip
 
 
 def _plain(text: Column) -> Column:
@@ -43,12 +43,12 @@ def conversation_facts(events: DataFrame, keys: list[str], order: str, block: Co
         base, keys, [order], block, lasts={"order_before": F.col("named_order"), "asked": asked}, before_only=True
     )
     t, requested = F.coalesce("content", F.lit("")), F.coalesce("asked", F.lit("none"))
-    normalized = F.lower(F.trim(t))
+    normalized = F.lower(strip(t))
     staged = before.withColumns(
         {
             "switched": F.coalesce(F.col("named_order") != F.col("order_before"), F.lit(False)),
             "has_code": user & t.rlike(fv.CODE_IN_TEXT_PATTERN),
-            "stated": F.when(user, F.nullif(F.trim(F.regexp_extract(t, fv.STATED_REASON_PATTERN, 1)), F.lit(""))),
+            "stated": F.when(user, F.nullif(strip(F.regexp_extract(t, fv.STATED_REASON_PATTERN, 1)), F.lit(""))),
             "matched_reason": user & t.rlike(fv.STATED_REASON_PATTERN),
             "requested": F.when(user, requested),
             "normalized": normalized,

@@ -97,7 +97,7 @@ def projected_cost(usage: DataFrame, cost: Column, rollouts: list[int]) -> DataF
 
 def time_span(sims: DataFrame, start: str, end: str, per_step: int = 16) -> DataFrame:
     """First start, last end, seconds between, rate and projected step time."""
-    t = sims.agg(F.min(start).alias("first"), F.max(end).alias("last"), F.count(F.lit(1)).alias("n"))
+    t = sims.agg(F.min(F.col(start).cast("timestamp")).alias("first"), F.max(F.col(end).cast("timestamp")).alias("last"), F.count(F.lit(1)).alias("n"))
     secs = (F.unix_micros("last") - F.unix_micros("first")) / 1_000_000
     return t.select(
         "n", secs.alias("span_seconds"), F.try_divide(F.col("n"), secs).alias("per_second"), (secs * per_step / F.col("n")).alias("step_seconds")

@@ -82,7 +82,7 @@ def sequence_match(spark, sf):
     return R.sequence_match(D.calls(spark, sf), ["search_catalog", "get_product"])
 
 
-@register("grade_reward", GRADED + " SELECT trajectory_id, success, round(reward, 3) AS reward, ft AS failure_type, success AND st AND ans AS joint_success FROM gr")
+@register("grade_reward", GRADED + " SELECT trajectory_id, success, CAST(round(reward, 3) AS DOUBLE) AS reward, ft AS failure_type, success AND st AND ans AS joint_success FROM gr")
 def grade_reward(spark, sf):
     return graded(spark, sf).select("trajectory_id", "success", F.round("reward", 3).alias("reward"), "failure_type", "joint_success")
 
