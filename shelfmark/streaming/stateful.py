@@ -130,18 +130,18 @@ class AuditProcessor(_JsonState):
         for m in _ordered(rows, ["pos"]).itertuples(index=False):
             ended = ended or m.role == "end"
             doc = steps.next_audit(doc, m)
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
         if ended:
             self.state.clear()
             yield self._verdict(key[0], doc)
         else:
-            self.save(doc)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+            now = timerValues.getCurrentProcessingTimeInMs()
+            self.save({**doc, "seen": now})
+            self.handle.registerTimer(now + self.idle_ms)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         doc = self.load()
-        if doc is not None:
+        # a timer set before the last message is of no account; the last message set its own
+        if doc is not None and timerValues.getCurrentProcessingTimeInMs() - doc["seen"] >= self.idle_ms:
             self.state.clear()
             yield self._verdict(key[0], doc)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def as_stream(spark, df, path, files=1):
 
 def drain(stream, name, path, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(path)).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     return stream.sparkSession.table(name)
 
 
@@ -53,8 +54,14 @@ def test_audit_stream_equals_batch(spark, sf, tmp_path):
         "sim", (F.col("pos") + 1).alias("pos"), F.lit("end").alias("role"), F.lit(None).cast("string").alias("content"), F.lit(False).alias("error")
     )
     src = m.unionByName(ends, allowMissingColumns=True).coalesce(1)
-    out = drain(S.process_audit(as_stream(spark, src, tmp_path / "in")), "audit_out", tmp_path / "cp")
-    got = {r["simulation_id"]: sorted(json.loads(r["violations"])) for r in out.collect()}
+    stream = S.process_audit(as_stream(spark, src, tmp_path / "in"))
+    # a stream with processing-time timers keeps checking them, so it is stopped once its data is through
+    q = stream.writeStream.format("memory").queryName("audit_out").option("checkpointLocation", str(tmp_path / "cp")).start()
+    deadline = time.time() + 50
+    while time.time() < deadline and not (q.lastProgress and q.lastProgress["batchId"] >= 1):
+        time.sleep(1)
+    q.stop()
+    got = {r["simulation_id"]: sorted(json.loads(r["violations"])) for r in spark.table("audit_out").collect()}
     want = {r["simulation_id"]: sorted(r["violations"]) for r in A.verdicts(m, A.audit(m, block_size=50)).collect()}
     assert got == want
 
@@ -74,7 +81,7 @@ def test_upserts_and_windows(spark, sf, tmp_path):
     src = D.table(spark, sf, "events").select(F.col("user_id").alias("trajectory_id"), F.col("event_id").alias("version"), "value")
     stream = as_stream(spark, src, tmp_path / "in", files=3)
     q = S.trajectory_upserts(stream, str(tmp_path / "store"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "store").iterdir())
     got = spark.read.parquet(str(tmp_path / "store" / f"v={last}"))
     want = src.groupBy("trajectory_id").agg(F.max("version").alias("version"))
