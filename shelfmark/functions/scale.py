@@ -52,6 +52,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core on a table of fewer files than cores; larger tables are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several branches read to the shared checkpoint folder, once."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.scale import spread
 from shelfmark.functions.text import found
 
 
@@ -294,7 +295,7 @@ FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events
 # --- documents as lines, simulations and tool paths -----------------------
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """One row per non-blank line of a document."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
     return d.select(
         "doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
     ).where(F.length(F.trim("line")) > 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.scale import spread
 from shelfmark.functions.text import replace_first
 from shelfmark.operators import retrieval as R
 from shelfmark.operators import retrieval_eval as E
@@ -28,7 +29,7 @@ TOK = "list_transform(regexp_extract_all({}, '[a-zA-Z0-9]+|[\\x{{4e00}}-\\x{{9ff
 
 
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return D.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return spread(D.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 def line_chunks(spark: SparkSession, sf: str) -> DataFrame:
