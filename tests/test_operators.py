@@ -206,5 +206,18 @@ def test_probe_grid_and_order_steps(spark):
     grid = G.probe_grid(None, spark.range(1, 57).withColumnRenamed("id", "i"))
     assert grid.count() == 56 and G.thin_classes(grid).count() == 0
     assert grid.where("task_id = 'p1_verif_cancel_pending_order_01'").first()["user_goal"] == "请帮我取消待处理订单，订单号 O000001。"
-    assert P.KNOWN if hasattr(P, "KNOWN") else True
-    assert O.PENDING_TOOLS
+    said = spark.createDataFrame([("不提供。", "拒绝提供验证码")], "a string, b string")
+    assert said.select(P.reason_refused(F.col("a")), P.code_refused(F.col("b"))).first() == (True, True)
+
+
+def test_order_step_replays_and_guards():
+    class Row:
+        tool, item_ids, new_item_ids = "exchange_delivered_order_items", ["P1"], ["P2"]
+        payment_methods, payment_method_id, address = ["gift_card_U1"], "gift_card_U1", None
+
+    start = O.OrderState("delivered", None, False, ("P1",), "card", None, 0)
+    done, changed, error = O.apply_one(start, Row)
+    assert (changed, error, done.items, done.version) == (True, None, ("P2",), 1)
+    assert O.apply_one(done, Row)[1:] == (False, None)
+    Row.new_item_ids = ["P3"]
+    assert O.apply_one(done, Row)[2] == "exchange_already_completed"
