@@ -169,7 +169,7 @@ CLAIMS = f""", cl AS (SELECT order_id AS t, order_key AS k, CASE WHEN order_key
 def contradictions(spark, sf):
     ev = ledger(spark, sf).withColumn("scope", F.col("trajectory_id"))
     stated = V.sentences(answers(spark, sf)).withColumn("scope", F.col("trajectory_id"))
-    out = V.contradictions(stated, ev, V.row_keys(ev))
+    out = V.contradictions(stated, ev, V.row_keys(ev, substrings=False))
     return out.select(F.col("scope").alias("trajectory_id"), F.col("sentence_no").cast("bigint").alias("sentence_no"), "rule", "claim")
 
 
