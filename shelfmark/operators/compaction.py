@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed_values as fv
-from shelfmark.functions.scale import exact_ranks, running
+from shelfmark.functions.scale import exact_ranks, running, settled
 
 # Exchange fields the recorded field list leaves out; kept by default.
 EXCHANGE_FIELDS = ["exchange_items", "exchange_new_items", "exchange_payment_method_id", "exchange_price_difference"]
@@ -124,6 +124,8 @@ def prefix_sizes(compacted: DataFrame, block: int = 4096) -> DataFrame:
             "short": F.when(F.col("entity_id").isNotNull(), F.length(placeholder(F.col("tool"), F.col("entity_id")))),
         }
     )
+    # payloads are measured once; from here on only lengths are read
+    c = settled(c.select("conv", "pos", "role", "tool", "entity_id", "full", "short", F.length("content").alias("raw_len")))
     reads = c.where(F.col("entity_id").isNotNull()).select("conv", "pos", "tool", "entity_id", "full", "short")
     prior = running(
         reads, ["conv", "tool", "entity_id"], ["pos"], F.floor(F.col("pos") / block),
@@ -131,7 +133,7 @@ def prefix_sizes(compacted: DataFrame, block: int = 4096) -> DataFrame:
     ).select("conv", "pos", F.coalesce("saved", F.lit(0)).alias("saved"))
     sized = c.join(prior, ["conv", "pos"], "left").withColumn("delta", F.col("full") - F.coalesce("saved", F.lit(0)))
     out = running(
-        sized.withColumn("raw_len", F.length("content")), ["conv"], ["pos"], F.floor(F.col("pos") / block),
+        sized, ["conv"], ["pos"], F.floor(F.col("pos") / block),
         sums={"raw_prefix": F.col("raw_len").cast("bigint"), "compact_prefix": F.col("delta").cast("bigint")}, before_only=True,
     )
     return out.select("conv", "pos", "role", "raw_prefix", "compact_prefix")
