@@ -47,17 +47,39 @@ def compact_payload(tool: Column, result: Column, order_fields: list[str] | None
     def with_part(*parts: Column) -> Column:
         return obj(F.concat(base, F.array_compact(F.array(*parts))))
 
+    def maps(key: str, cap: int) -> Column:
+        every = F.try_variant_get(F.try_element_at(m, F.lit(key)), "$", "array<map<string,variant>>")
+        return F.slice(F.coalesce(every, F.array().cast("array<map<string,variant>>")), 1, cap)
+
+    def quoted(text: Column) -> Column:
+        listed = F.to_json(F.array(text))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+    def policy(x: Column) -> Column:
+        text = F.coalesce(F.try_variant_get(F.try_element_at(x, F.lit("text")), "$", "string"), F.lit(""))
+        return obj(F.array_append(_pick(x, ["doc_id", "title"]), F.concat(F.lit('"text":'), quoted(F.substring(text, 1, 800)))))
+
+    def compared(x: Column) -> Column:
+        inner = F.coalesce(F.try_variant_get(F.try_element_at(x, F.lit("product")), "$", "map<string,variant>"), x)
+        ok = F.coalesce(F.to_json(F.try_element_at(x, F.lit("ok"))), F.lit("null"))
+        return F.concat(F.lit('{"ok":'), ok, F.lit(',"product":'), obj(_pick(inner, fv.COMPACT_PRODUCT_FIELDS)), F.lit("}"))
+
+    def listed(key: str, parts: Column) -> Column:
+        return F.concat(F.lit(f'"{key}":['), F.array_join(parts, ","), F.lit("]"))
+
     merged = lambda names: obj(F.concat(base, F.filter(_pick(m, names), lambda p: ~F.array_contains(base, p))))
     writes = [*fv.RETAIL_WRITE_TOOLS, "create_return_request"]
     out = (
         F.when(tool == "search_catalog", with_part(nested("items", fv.COMPACT_PRODUCT_FIELDS, 12)))
+        .when(tool == "compare_products", with_part(listed("products", F.transform(maps("products", 12), lambda x: compared(x)))))
+        .when(tool == "get_policy", with_part(listed("policies", F.transform(maps("policies", 3), lambda x: policy(x)))))
         .when(tool == "get_product", with_part(sub("product", fv.COMPACT_PRODUCT_FIELDS)))
         .when(tool.isin("get_order", "check_return_eligibility"), with_part(sub("order", fields)))
         .when(tool == "get_order_details", merged(fields))
         .when(tool == "get_product_details", merged(fv.COMPACT_PRODUCT_FIELDS))
         .when(tool == "get_user_details", merged(["user_id", "name", "address", "email", "payment_methods", "orders"]))
         .when(tool.isin(writes), merged(fields))
-        .otherwise(obj(base))
+        .otherwise(obj(F.concat(base, _pick(m, ["order", "product", "items", "policies"]))))
     )
     return F.when(m.isNull(), F.to_json(F.array(result)).substr(F.lit(2), F.length(F.to_json(F.array(result))) - 2)).when(
         out == "{}", F.to_json(F.try_parse_json(result))
