@@ -65,6 +65,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Every ASCII byte but letters and digits: words then carry no punctuation.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLOCK = 1 << 18
@@ -95,9 +98,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word ``[^\\x20\\x09-\\x0D]+`` and, per text, the index of its first word."""
-    inside = ~_SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word (``[^\\x20\\x09-\\x0D]+``, or runs without the bytes ``between``) and, per text, the index of its first word."""
+    inside = ~between[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -136,10 +139,10 @@ def _long_name(word: np.ndarray) -> np.uint64:
     return np.uint64((total + len(word) * 0xD6E8FEB86659FD93) % (1 << 64))
 
 
-def named_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def named_words(texts: pa.Array, lower: bool = False, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Names of all words of the texts, and per text the index of its first word (one more entry closes the last)."""
     data, at = text_bytes(texts)
     if lower:
         data = _LOWER[data]
-    starts, ends, first = word_spans(data, at)
+    starts, ends, first = word_spans(data, at, between)
     return word_names(data, starts, ends), first

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, sharding, url_filter
+from shelfmark.llm import bpe, chat, decontaminate, near_dups, sharding, url_filter
 from shelfmark.llm.common import table
 
 QUERIES: dict = {}
@@ -89,6 +89,39 @@ def op2_reply_trees(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register("op4_spaced_seeds")
+def op4_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register(
+    "op6_min_max_hashing",
+    """
+WITH RECURSIVE words AS (
+  SELECT doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN w = [''] THEN [] WHEN len(w) < 2 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), sizes AS (
+  SELECT doc_id, len(s) AS n FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least_ AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN least_ USING (doc_id)
+""",
+)
+def op6_min_max_hashing(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf, "documents"), size=2, percent=80)
+
+
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
