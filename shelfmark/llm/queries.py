@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, decontaminate, near_dups, sharding, url_filter
+from shelfmark.llm import bpe, chat, decontaminate, long_repeats, near_dups, sharding, url_filter
 from shelfmark.llm.common import table
 
 QUERIES: dict = {}
@@ -134,6 +134,31 @@ def op8_merge_replay(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register(
+    "op9_recompression",
+    """
+WITH words AS (
+  SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+') AS w FROM documents
+), lists AS (
+  SELECT doc_id, CASE WHEN w = [''] THEN [] ELSE w END AS w FROM words
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM lists)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM again, range(20) AS g(k)
+), kept AS (
+  SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) AS t, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM lists) u ANTI JOIN gone USING (doc_id, i) GROUP BY u.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM lists LEFT JOIN kept USING (doc_id)
+""",
+)
+def op9_recompression(spark: SparkSession, sf: str) -> DataFrame:
+    return long_repeats.removed_words(table(spark, sf, "documents"))
+
+
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
 ]
