@@ -54,31 +54,31 @@ def ranked_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     there = known.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     # jump: the message 2^k above (null: the path ends before); steps and sum: messages passed and their scores
-    jumps = [written(
+    here = written(
         known.join(there, ["tree", "parent"], "left").select(
             "tree", "node", F.when(F.col("there"), F.col("parent")).alias("jump"), F.lit(1).cast("bigint").alias("steps"), F.col("score").alias("sum")
         )
-    )]
-    total = jumps[0].count()
+    )
+    total, jumps, ended = here.count(), [], here.where(F.col("jump").isNull())
+    parents = here
     while True:
-        here = jumps[-1]
-        far = here.select("tree", F.col("node").alias("jump"), F.col("jump").alias("far"), F.col("steps").alias("more"), F.col("sum").alias("rest"))
-        moved = written(
-            here.join(far, ["tree", "jump"], "left").select(
-                "tree", "node", F.col("far").alias("jump"),
-                (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("sum") + F.coalesce("rest", F.lit(0.0))).alias("sum"),
-            )
-        )
-        jumps.append(moved)
-        if moved.where(F.col("jump").isNotNull()).limit(1).count() == 0 or 2 ** (len(jumps) - 2) > total:
+        # only messages whose path goes on are joined again; the others stay as they are
+        going = here.where(F.col("jump").isNotNull())
+        if 2 ** (len(jumps) - 1) > total or going.limit(1).count() == 0:
             break
-    answered = jumps[0].where(F.col("jump").isNotNull()).select("tree", F.col("jump").alias("node")).distinct()
-    leaves = jumps[-1].where(F.col("jump").isNull()).join(answered, ["tree", "node"], "left_anti")
+        jumps.append(going)
+        far = going.unionByName(ended).select("tree", F.col("node").alias("jump"), F.col("jump").alias("far"), F.col("steps").alias("more"), F.col("sum").alias("rest"))
+        here = written(
+            going.join(far, ["tree", "jump"]).select("tree", "node", F.col("far").alias("jump"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("sum") + F.col("rest")).alias("sum"))
+        )
+        ended = ended.unionByName(here.where(F.col("jump").isNull()))
+    answered = parents.where(F.col("jump").isNotNull()).select("tree", F.col("jump").alias("node")).distinct()
+    leaves = ended.join(answered, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.col("sum").desc(), F.col("node"))
     chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
     paths = chosen.select("tree", F.col("node").alias("leaf"), "branch", F.col("sum").alias("path_score"), F.col("steps").alias("position"), "node")
-    for k, step in reversed(list(enumerate(jumps[:-1]))):
-        up = step.where(F.col("jump").isNotNull()).select("tree", "node", F.col("jump").alias("up"))
+    for k, step in reversed(list(enumerate(jumps))):
+        up = step.select("tree", "node", F.col("jump").alias("up"))
         above = paths.join(up, ["tree", "node"]).withColumn("position", F.col("position") - 2**k).drop("node").withColumnRenamed("up", "node")
         paths = written(paths.unionByName(above))
     return paths

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, decontaminate, long_repeats, near_dups, sharding, url_filter
+from shelfmark.llm import bpe, chat, decontaminate, long_repeats, near_dups, sharding, toxicity, url_filter
 from shelfmark.llm.common import table
 
 QUERIES: dict = {}
@@ -94,6 +94,13 @@ def op4_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@register("op5_weak_supervision")
+def op5_weak_supervision(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")), "score").drop("text")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register(
     "op6_min_max_hashing",
     """
