@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,8 @@ from shelfmark.operators.components import connected_components
 
 PERMUTATIONS, ROWS_PER_BAND = 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS_PER_BAND
-#: Star rounds over buckets that still hold several components, before all their remaining pairs are compared.
-STAR_ROUNDS = 3
+#: Documents that tell which shingles are rare, and the bits of a name that are counted.
+ORDER_ROWS, ORDER_BITS = 4000, 18
 PAIRS_PER_PIECE = 2048
 
 _rng = np.random.default_rng(20240607)
@@ -103,8 +103,32 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the whole set of shingle names."""
+def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """How often shingles occur in a sample of documents, by the leading bits of their names.
+
+    It only orders shingles, rarest first, for ``beyond_hub``: any other order
+    gives the same links, with more pairs compared on the way.
+    """
+    share = F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1 << 20)) < int(min(1.0, ORDER_ROWS / max(docs.count(), 1)) * (1 << 20))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                values, _ = shingle_sets(part.column("text"), size)
+                total += np.bincount((values >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+    table = docs.where(share).select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out = np.zeros(1 << ORDER_BITS, np.int32)
+    out[table.column("cell").to_numpy()] = np.minimum(table.column("n").to_numpy(), 2**31 - 1)
+    return out
+
+
+def full_sets(docs: DataFrame, size: int, counts: np.ndarray) -> DataFrame:
+    """doc_id and the whole set of shingle names, the rarest by ``counts`` first."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     docs = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.ArrayType(T.LongType()))])
 
@@ -112,14 +136,16 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 values, at = shingle_sets(part.column("text"), size)
+                often = shared.value[(values >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
+                values = values[np.lexsort((values, often, np.repeat(np.arange(len(at) - 1), np.diff(at))))]
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sets], names=["doc_id", "shingles"])
 
     return docs.mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+def side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both full sets (left, right) and the size of what they share.
 
     ``a`` is the hub of its pairs; a hub of very many pairs is copied to one piece
     per ``PAIRS_PER_PIECE`` of them, so its pairs spread over tasks.
@@ -131,8 +157,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = pairs.join(pieces, "a").withColumn("piece", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int")).drop("pieces").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b"
     )
-    both = F.size(F.array_intersect("left", "right"))
-    return members.join(hubs, ["a", "piece"]).where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b")
+    return members.join(hubs, ["a", "piece"]).drop("piece").withColumn("shared", F.size(F.array_intersect("left", "right")))
+
+
+def linked(percent: int) -> Column:
+    return 100 * F.col("shared") >= percent * (F.size("left") + F.size("right") - F.col("shared"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    return side_by_side(pairs, sets).where(linked(percent)).select("a", "b")
+
+
+def beyond_hub(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one hub, in different components, that can still be links.
+
+    ``groups`` has a (the hub), b (a member, its set no smaller than the hub's), n
+    (size of its set) and comp. If x is no link of the hub h but one of y, x and y
+    share a shingle outside h: else |x & y| <= |x & h|, and as |y| >= |h|, they would
+    be no more alike than x and h. More exactly they share at least
+    p / (100 + p) * (|x| + |h|) - |x & h| shingles outside h, so the first few of x's
+    own, in one order for all (rarest first), must hold one of y's.
+    """
+    several = groups.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("a")
+    both = side_by_side(groups.join(several, "a"), sets).withColumn("own", F.array_except("right", "left")).withColumn("is_link", linked(percent))
+    least = F.ceil(F.lit(percent) * (F.size("left") + F.size("right")) / (100 + percent)) - F.col("shared")
+    taken = F.when(F.col("is_link"), F.size("own")).otherwise(F.size("own") - F.greatest(least, F.lit(1)) + 1)
+    short = both.withColumn("first", F.slice("own", F.lit(1), F.greatest(taken, F.lit(0)).cast("int")))
+    tokens = written(short.select("a", "b", "n", "comp", F.explode("first").alias("shingle")))
+    common = tokens.groupBy("a", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("a", "shingle")
+    tokens = tokens.join(common, ["a", "shingle"])
+    one = tokens.withColumnsRenamed({"b": "x", "n": "xn", "comp": "xc"})
+    two = tokens.withColumnsRenamed({"b": "y", "n": "yn", "comp": "yc"})
+    alike = (F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
+    return one.join(two, ["a", "shingle"]).where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -145,54 +203,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     an empty table gives no rows.
 
     At 80 per cent a pair misses all 32 bands of 5 with probability 3e-6. Inside a
-    bucket every member is compared with one hub, then buckets that still hold
-    several components get other hubs, and only what is left, members of different
-    components, is compared pair by pair. So a bucket of copies costs one pair a
-    member, and no candidate link is lost: members already in one component need
-    no further link.
+    bucket every member is compared with the bucket's smallest set, its hub, then,
+    where several components are left, with another hub. What two members have in
+    common beyond the first hub (see ``beyond_hub``) shows which of them can still
+    be linked; those are compared in full. So a bucket of copies, or of documents
+    round one passage, costs a few pairs a member, and no candidate link is lost.
     """
     sig = written(signatures(docs, size))
     full = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
     reps = classes.select(F.col("first").alias("doc_id")).distinct()
     rows = full.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band")
+    buckets = rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band")
     members = written(rows.join(buckets, "band"))
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), size))
-
-    links, tested, component = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members.withColumn("comp", F.col("id"))
-        if component is not None:
-            placed = members.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-        placed = written(placed.join(split, "band")) if turn else placed
-        if turn < STAR_ROUNDS:
-            turned = F.col("id") if turn == 0 else F.col("id").bitwiseXOR(F.col("band") if turn == 1 else F.bitwise_not("band"))
-            hub = placed.groupBy("band").agg(F.min(F.struct(turned.alias("turned"), "id", "n", "comp")).alias("hub"))
-            found = placed.join(hub, "band").select(
-                F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("an"), F.col("n").alias("bn"), F.col("hub.comp").alias("ac"), F.col("comp").alias("bc")
-            )
-        else:
-            one = placed.select("band", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-            two = placed.select("band", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-            found = one.join(two, "band").where("a < b")
-        near = (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")) & (F.col("ac") != F.col("bc"))
-        pairs = found.where(near).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if turn and pairs.limit(1).count() == 0:
-            continue
-        fresh = written(confirmed(pairs, sets, percent))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        tested = tested.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if turn and fresh.limit(1).count() == 0:
-            continue
-        links = fresh if links is None else written(links.unionByName(fresh))
+    texts = docs.select("doc_id", "text")
+    rare = shingle_counts(texts, size)
+    sets = written(full_sets(texts.join(ids, "doc_id", "left_semi"), size, rare))
+
+    def alike(a: str, b: str) -> Column:
+        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+    def with_hub(rows: DataFrame, key: Column) -> DataFrame:
+        hub = rows.groupBy("band").agg(F.min(F.struct(key.alias("key"), "id", "n", "comp")).alias("hub"))
+        return rows.join(hub, "band").select(
+            F.col("hub.id").alias("a"), F.col("hub.n").alias("an"), F.col("hub.comp").alias("ac"), F.col("id").alias("b"), "n", "comp"
+        ).where("a <> b").distinct()
+
+    stars = written(with_hub(members.withColumn("comp", F.col("id")), F.col("n")))
+    links = written(confirmed(stars.where(alike("an", "n")).select("a", "b"), sets, percent))
+    component = connected_components(links)
+
+    def placed(rows: DataFrame, id: str) -> DataFrame:
+        return rows.drop("comp").join(component.withColumnRenamed("node", id), id, "left").withColumn("comp", F.coalesce("component", id)).drop("component")
+
+    now = placed(members, "id")
+    split = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2").select("band")
+    again = with_hub(now.join(split, "band"), F.col("id").bitwiseXOR(F.col("band")))
+    fresh = written(confirmed(again.where(alike("an", "n")).where("ac <> comp").select("a", "b"), sets, percent))
+    if fresh.limit(1).count():
+        links = written(links.unionByName(fresh))
         component = connected_components(links)
 
+    fresh = written(confirmed(beyond_hub(placed(stars.select("a", "b", "n"), "b"), sets, percent), sets, percent))
+    if fresh.limit(1).count():
+        component = connected_components(written(links.unionByName(fresh)))
+
     named = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     named = named.withColumn("first", F.when(own, F.col("first")).otherwise(F.col("doc_id")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, decontaminate, long_repeats, near_dups, sharding, toxicity, url_filter
+from shelfmark.llm import bpe, chat, decontaminate, long_repeats, near_dups, neighbours, sharding, toxicity, url_filter
 from shelfmark.llm.common import table
 
 QUERIES: dict = {}
@@ -89,6 +89,11 @@ def op2_reply_trees(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register("op3_learned_partitions")
+def op3_learned_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @register("op4_spaced_seeds")
 def op4_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
