@@ -21,6 +21,8 @@ from shelfmark.operators.components import connected_components
 
 PERMUTATIONS, ROWS_PER_BAND = 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS_PER_BAND
+#: Further hubs tried in buckets of several components, before what lies beyond the first hub is looked at.
+STAR_ROUNDS = 1
 #: Documents that tell which shingles are rare, and the bits of a name that are counted.
 ORDER_ROWS, ORDER_BITS = 4000, 18
 PAIRS_PER_PIECE = 2048
@@ -169,28 +171,48 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return side_by_side(pairs, sets).where(linked(percent)).select("a", "b")
 
 
-def beyond_hub(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one hub, in different components, that can still be links.
+def beyond_hub(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of members with their hub, and the pairs of members in different components that can still be links.
 
-    ``groups`` has a (the hub), b (a member, its set no smaller than the hub's), n
-    (size of its set) and comp. If x is no link of the hub h but one of y, x and y
-    share a shingle outside h: else |x & y| <= |x & h|, and as |y| >= |h|, they would
-    be no more alike than x and h. More exactly they share at least
-    p / (100 + p) * (|x| + |h|) - |x & h| shingles outside h, so the first few of x's
-    own, in one order for all (rarest first), must hold one of y's.
+    ``groups`` has a (the hub), b (a member), n (size of its set) and comp. Two
+    linked sets share at least s = p / (100 + p) * (|x| + |y|) shingles. Inside the
+    hub h they share at most what either has in common with h; so, if that is less
+    than s, they share some shingle outside h. The first few of x's own shingles, in
+    one order for all (rarest first), must then hold one of y's: how many those are
+    follows from the smallest y that could be linked. If it is not less than s, then
+    y is so small that |y| <= (100 + p) / p * |x & h| - |x|; those sizes, few where x
+    is no link of h, are looked up. Pairs that are both links of h need no look.
     """
     several = groups.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("a")
-    both = side_by_side(groups.join(several, "a"), sets).withColumn("own", F.array_except("right", "left")).withColumn("is_link", linked(percent))
-    least = F.ceil(F.lit(percent) * (F.size("left") + F.size("right")) / (100 + percent)) - F.col("shared")
-    taken = F.when(F.col("is_link"), F.size("own")).otherwise(F.size("own") - F.greatest(least, F.lit(1)) + 1)
-    short = both.withColumn("first", F.slice("own", F.lit(1), F.greatest(taken, F.lit(0)).cast("int")))
-    tokens = written(short.select("a", "b", "n", "comp", F.explode("first").alias("shingle")))
+    both = side_by_side(groups.join(several, "a"), sets).withColumn("is_link", linked(percent)).withColumn("own", F.array_except("right", "left"))
+    smallest, hub = F.ceil(F.col("n") * percent / 100), F.size("left")
+    # three classes of size, so that what a partner must share is known well: about as large as the hub, a little less, less
+    floors = [hub - F.floor(hub / 50), F.ceil(hub * 0.9), F.lit(0)]
+    lists = []
+    for k, low in enumerate(floors):
+        least = F.ceil((F.col("n") + F.greatest(smallest, low)) * percent / (100 + percent)) - F.col("shared")
+        taken = F.greatest(F.size("own") - F.greatest(least, F.lit(1)) + 1, F.lit(0)).cast("int")
+        lists.append(F.struct(F.lit(k).alias("their"), F.slice("own", F.lit(1), taken).alias("first")))
+    largest = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
+    sizes = F.when(~F.col("is_link") & (largest >= smallest), F.sequence(smallest.cast("int"), largest.cast("int"))).otherwise(F.array().cast("array<int>"))
+    mine = F.when(F.col("n") >= floors[0], 0).when(F.col("n") >= floors[1], 1).otherwise(2)
+    seen = written(both.select("a", "b", F.col("n").cast("int").alias("n"), "comp", "is_link", mine.alias("mine"), F.array(*lists).alias("lists"), sizes.alias("sizes")))
+
+    def mates(keys: list[str], one: DataFrame, two: DataFrame) -> DataFrame:
+        one = one.withColumnsRenamed({"b": "x", "n": "xn", "comp": "xc", "is_link": "xl"})
+        two = two.withColumnsRenamed({"b": "y", "n": "yn", "comp": "yc", "is_link": "yl"})
+        alike = (F.col("x") != F.col("y")) & (F.col("xc") != F.col("yc")) & ~(F.col("xl") & F.col("yl"))
+        alike &= 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
+        return one.join(two, keys).where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    tokens = seen.select("a", "b", "n", "comp", "is_link", "mine", F.explode("lists").alias("list"))
+    tokens = tokens.select("a", "b", "n", "comp", "is_link", "mine", "list.their", F.explode("list.first").alias("shingle"))
     common = tokens.groupBy("a", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("a", "shingle")
-    tokens = tokens.join(common, ["a", "shingle"])
-    one = tokens.withColumnsRenamed({"b": "x", "n": "xn", "comp": "xc"})
-    two = tokens.withColumnsRenamed({"b": "y", "n": "yn", "comp": "yc"})
-    alike = (F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
-    return one.join(two, ["a", "shingle"]).where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    tokens = written(tokens.join(common, ["a", "shingle"]))
+    near = mates(["a", "shingle", "mine", "their"], tokens.where(~F.col("is_link")), tokens.withColumnsRenamed({"mine": "other", "their": "mine"}).withColumnRenamed("other", "their"))
+    wanted = seen.select("a", "b", "comp", "is_link", F.col("n").alias("wn"), F.explode("sizes").alias("n")).withColumn("size", F.col("n")).drop("n").withColumnRenamed("wn", "n")
+    small = mates(["a", "size"], wanted, seen.select("a", "b", "n", "comp", "is_link", F.col("n").alias("size")))
+    return seen.where("is_link").select("a", "b"), near.unionByName(small).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -203,11 +225,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     an empty table gives no rows.
 
     At 80 per cent a pair misses all 32 bands of 5 with probability 3e-6. Inside a
-    bucket every member is compared with the bucket's smallest set, its hub, then,
-    where several components are left, with another hub. What two members have in
-    common beyond the first hub (see ``beyond_hub``) shows which of them can still
-    be linked; those are compared in full. So a bucket of copies, or of documents
-    round one passage, costs a few pairs a member, and no candidate link is lost.
+    bucket every member is compared with one hub, the one most often in company, and
+    where several components are left with another. In buckets that stay split, what
+    two members have in common beyond the first hub (see ``beyond_hub``) shows which of them can still be linked; those are compared in full. So a bucket
+    of copies, or of documents round one passage, costs a few pairs a member, and no
+    candidate link is lost.
     """
     sig = written(signatures(docs, size))
     full = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -215,7 +237,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = classes.select(F.col("first").alias("doc_id")).distinct()
     rows = full.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("band")
-    members = written(rows.join(buckets, "band"))
+    members = rows.join(buckets, "band")
+    company = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+    weight = members.join(company, "band").groupBy("id").agg(F.sum("size").alias("weight"))  # in how much company a document is: a group's middle has most
+    members = written(members.join(weight, "id"))
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text")
     rare = shingle_counts(texts, size)
@@ -230,22 +255,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             F.col("hub.id").alias("a"), F.col("hub.n").alias("an"), F.col("hub.comp").alias("ac"), F.col("id").alias("b"), "n", "comp"
         ).where("a <> b").distinct()
 
-    stars = written(with_hub(members.withColumn("comp", F.col("id")), F.col("n")))
-    links = written(confirmed(stars.where(alike("an", "n")).select("a", "b"), sets, percent))
+    star = with_hub(members.withColumn("comp", F.col("id")), -F.col("weight"))
+    links = written(confirmed(star.where(alike("an", "n")).select("a", "b").distinct(), sets, percent))
     component = connected_components(links)
 
     def placed(rows: DataFrame, id: str) -> DataFrame:
         return rows.drop("comp").join(component.withColumnRenamed("node", id), id, "left").withColumn("comp", F.coalesce("component", id)).drop("component")
 
-    now = placed(members, "id")
-    split = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2").select("band")
-    again = with_hub(now.join(split, "band"), F.col("id").bitwiseXOR(F.col("band")))
-    fresh = written(confirmed(again.where(alike("an", "n")).where("ac <> comp").select("a", "b"), sets, percent))
-    if fresh.limit(1).count():
+    now = members
+    for turn in range(STAR_ROUNDS):
+        now = placed(now, "id")
+        split = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2").select("band")
+        now = written(now.join(split, "band"))
+        star = with_hub(now, F.xxhash64("id", "band", F.lit(turn)))
+        fresh = written(confirmed(star.where(alike("an", "n")).where("ac <> comp").select("a", "b").distinct(), sets, percent))
+        if fresh.limit(1).count() == 0:
+            break
         links = written(links.unionByName(fresh))
         component = connected_components(links)
 
-    fresh = written(confirmed(beyond_hub(placed(stars.select("a", "b", "n"), "b"), sets, percent), sets, percent))
+    now = placed(now, "id")
+    split = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2").select("band")
+    groups = written(with_hub(now.join(split, "band"), -F.col("weight")).select("a", "b", "n", "comp").distinct())
+    found, left = beyond_hub(groups, sets, percent)
+    fresh = written(found.unionByName(confirmed(left, sets, percent)))
     if fresh.limit(1).count():
         component = connected_components(written(links.unionByName(fresh)))
 

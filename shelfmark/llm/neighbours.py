@@ -199,7 +199,7 @@ def nearest_in(queries: pa.Table, vectors: pa.Table, dims: int, k: int) -> tuple
             cut = -np.inf if len(row) <= k + 1 else np.partition(row, len(row) - k - 1)[len(row) - k - 1]
             close = np.flatnonzero(row >= cut - 1e-9 * max(1.0, abs(cut)) if np.isfinite(cut) else row > -np.inf)
             exact = (unique[close] * vector).sum(axis=1)
-            found = [(-s, int(v)) for g, s in zip(close.tolist(), exact.tolist(), strict=True) for v in dict.fromkeys(ids[by_group[begin[g] : begin[g] + 2 * k + 2]].tolist()) if v != own]
+            found = [(-s, int(v)) for g, s in zip(close.tolist(), exact.tolist(), strict=True) for v in dict.fromkeys(ids[by_group[begin[g] : min(begin[g + 1], begin[g] + 2 * k + 2)]].tolist()) if v != own]
             for s, v in sorted(found)[:k]:
                 out[0].append(own)
                 out[1].append(v)
