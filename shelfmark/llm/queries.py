@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, decontaminate, long_repeats, near_dups, neighbours, sharding, toxicity, url_filter
+from shelfmark.llm import bpe, chat, decontaminate, long_repeats, near_dups, neighbours, pii, sharding, toxicity, url_filter
 from shelfmark.llm.common import table
 
 QUERIES: dict = {}
@@ -134,6 +134,15 @@ def op6_min_max_hashing(spark: SparkSession, sf: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf, "documents"), size=2, percent=80)
 
 
+@register("op7_disclosure")
+def op7_disclosure(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pii.all_spans(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return rows.select("doc_id", *counts, F.sha2(pii.spelled(base), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
