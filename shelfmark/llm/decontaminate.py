@@ -78,13 +78,15 @@ def build_index(rows: list[tuple[object, str | None]]) -> Index:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and equal words of the stretch with most of them, at least ``SHARE`` of it equal as a whole from its start on."""
-    gain = np.where(equal, 1.0 - SHARE, -SHARE)
-    sums = np.concatenate(([0.0], np.cumsum(gain)))
+    """Start, end and equal words of the stretch with most of them, at least ``SHARE`` of it equal."""
+    sums = np.concatenate(([0.0], np.cumsum(np.where(equal, 1.0 - SHARE, -SHARE))))
+    count = np.concatenate(([0], np.cumsum(equal)))
     low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.flatnonzero(sums[: end + 1] <= low[end] + 1e-12)[0])
-    return start, end, int(equal[start:end].sum())
+    start = np.minimum(np.searchsorted(-low, -sums - 1e-9), np.arange(len(sums)))  # the earliest from which the sum is not negative
+    end = int(np.argmax(count - count[start]))
+    first = int(start[end])
+    n = int(count[end] - count[first])
+    return (first + int(np.argmax(equal[first:end])), end, n) if n else (0, 0, 0)
 
 
 def needed(length: int) -> int:

@@ -42,3 +42,47 @@ def spelled(spans) -> str:
 
 def sha(text: str | bytes) -> str:
     return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+def shingles(text: str | None, size: int) -> frozenset:
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+
+
+def components(docs: list[tuple[int, str | None]], size: int, percent: int) -> dict[int, tuple[int, int]]:
+    """doc_id -> (set size, smallest doc_id reachable), every pair compared."""
+    sets = [(d, shingles(t, size)) for d, t in docs]
+    top = {d: d for d, _ in sets}
+
+    def find(x):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for i, (d, s) in enumerate(sets):
+        for e, t in sets[i + 1 :]:
+            both = len(s & t)
+            if both and 100 * both >= percent * (len(s) + len(t) - both):
+                a, b = find(d), find(e)
+                top[max(a, b)] = min(a, b)
+    return {d: (len(s), find(d)) for d, s in sets}
+
+
+def struck(docs: list[tuple[int, str | None]], window: int) -> dict[int, tuple[int, int, str]]:
+    """doc_id -> (words, removed, checksum of what stays) under the rule of repeated windows."""
+    first: dict[tuple, tuple[int, int]] = {}
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in docs}
+    for d in sorted(words):
+        for i in range(len(words[d]) - window + 1):
+            first.setdefault(tuple(words[d][i : i + window]), (d, i))
+    out = {}
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] != (d, i):
+                gone.update(range(i, i + window))
+        out[d] = (len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
