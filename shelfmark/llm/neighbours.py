@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from shelfmark.llm.common import written
 
 #: Sample rows the partition is learned from, neighbours in its graph, most parts, and recall aimed at when choosing the parts to visit.
-SAMPLE_ROWS, GRAPH_NEIGHBOURS, MOST_PARTS, AIM = 6000, 10, 64, 0.98
+SAMPLE_ROWS, GRAPH_NEIGHBOURS, MOST_PARTS, AIM = 6000, 10, 64, 0.97
 #: Rows of queries and of vectors that meet in one task.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 HIDDEN = 64
@@ -37,6 +37,19 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    ids: np.ndarray
+    sample: np.ndarray
+
+    def floors(self, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+        """For each query the ``k``-th best score among the sample's rows: no worse row can be among its ``k`` nearest."""
+        if len(self.ids) <= k:
+            return np.full(len(x), -np.inf)
+        out = np.empty(len(x))
+        for a in range(0, len(x), 128):
+            s = x[a : a + 128] @ self.sample.T
+            s[ids[a : a + 128, None] == self.ids[None, :]] = -np.inf
+            out[a : a + 128] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        return out - 1e-9 * np.maximum(1.0, np.abs(out))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
@@ -105,10 +118,10 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, sweeps: int = 12
     return part
 
 
-def train_router(x: np.ndarray, parts: int, seed: int = 11) -> Router:
+def train_router(ids: np.ndarray, sample: np.ndarray, parts: int, seed: int = 11) -> Router:
     """Partition the sample's neighbour graph and learn it; parts to visit are chosen on rows kept out of the training."""
     rng = np.random.default_rng(seed)
-    x = x.astype(np.float64)
+    x = np.unique(sample, axis=0)
     dims = x.shape[1]
     near = neighbour_lists(x, min(GRAPH_NEIGHBOURS, len(x) - 1))
     part = balanced_parts(x, near, parts)
@@ -117,7 +130,7 @@ def train_router(x: np.ndarray, parts: int, seed: int = 11) -> Router:
     target[np.arange(len(x)), part] += 0.5
     tested = rng.permutation(len(x))[: max(1, len(x) // 10)]
     learned = np.setdiff1d(np.arange(len(x)), tested)
-    r = Router(dims, parts, parts, rng.normal(0, np.sqrt(2.0 / dims) * 2, (dims, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, (HIDDEN, parts)), np.zeros(parts))
+    r = Router(dims, parts, parts, rng.normal(0, np.sqrt(2.0 / dims) * 2, (dims, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, (HIDDEN, parts)), np.zeros(parts), ids, sample)
     state = [[np.zeros_like(w), np.zeros_like(w)] for w in (r.w1, r.b1, r.w2, r.b2)]
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     step = 0
@@ -162,19 +175,19 @@ def fit(vectors: DataFrame) -> Router | None:
         return None
     dims, n = sizes[0].d, sizes[0].n
     share = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / n) * (1 << 30))
-    rows = vectors.where(share & (F.size("embedding") == dims)).select("embedding").limit(2 * SAMPLE_ROWS).toArrow()
-    x = _matrix(rows.column("embedding"), dims) if rows.num_rows else np.zeros((0, dims))
-    x = np.unique(x, axis=0)
+    rows = vectors.where(share & (F.size("embedding") == dims)).select("vec_id", "embedding").limit(2 * SAMPLE_ROWS).toArrow()
+    sample = _matrix(rows.column("embedding"), dims).astype(np.float64) if rows.num_rows else np.zeros((0, dims))
+    ids, first = np.unique(rows.column("vec_id").to_numpy(), return_index=True)
+    sample = sample[first]
     parts = 1 << max(0, min(int(np.log2(MOST_PARTS)), round(float(np.log2(max(n, 1) / 500)))))
-    parts = min(max(parts, 4), len(x) // 25)
-    parts = 1 << max(0, int(np.log2(parts))) if parts > 1 else 1
-    if parts == 1:
-        return Router(dims, 1, 1, np.zeros((dims, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    return train_router(x, parts)
+    parts = min(max(parts, 4), len(np.unique(sample, axis=0)) // 25)
+    if parts < 2:
+        return Router(dims, 1, 1, np.zeros((dims, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), ids, sample)
+    return train_router(ids, sample, 1 << int(np.log2(parts)))
 
 
 def nearest_in(queries: pa.Table, vectors: pa.Table, dims: int, k: int) -> tuple[list[int], list[int], list[float]]:
-    """Exact top ``k`` of every query of a block among a block of vectors, ties to smaller ids.
+    """Exact top ``k`` of every query of a block among a block of vectors, ties to smaller ids, none below the query's floor.
 
     Equal vectors are scored once and stand for their smallest ids, so a vector
     copied very often costs no more than one.
@@ -183,6 +196,7 @@ def nearest_in(queries: pa.Table, vectors: pa.Table, dims: int, k: int) -> tuple
     raw = np.ascontiguousarray(_matrix(vectors.column("embedding"), dims))
     q_ids = queries.column("query_id").combine_chunks().to_numpy()
     q = _matrix(queries.column("query"), dims).astype(np.float64)
+    floors = queries.column("floor").combine_chunks().to_numpy()
     order = np.argsort(ids, kind="stable")
     ids, raw = ids[order], raw[order]
     known: dict[bytes, int] = {}
@@ -197,7 +211,8 @@ def nearest_in(queries: pa.Table, vectors: pa.Table, dims: int, k: int) -> tuple
         for i, row in enumerate(scores):
             own, vector = int(q_ids[a + i]), q[a + i]
             cut = -np.inf if len(row) <= k + 1 else np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-            close = np.flatnonzero(row >= cut - 1e-9 * max(1.0, abs(cut)) if np.isfinite(cut) else row > -np.inf)
+            cut = max(cut - 1e-9 * max(1.0, abs(cut)) if np.isfinite(cut) else cut, floors[a + i])
+            close = np.flatnonzero(row >= cut)
             exact = (unique[close] * vector).sum(axis=1)
             found = [(-s, int(v)) for g, s in zip(close.tolist(), exact.tolist(), strict=True) for v in dict.fromkeys(ids[by_group[begin[g] : min(begin[g + 1], begin[g] + 2 * k + 2)]].tolist()) if v != own]
             for s, v in sorted(found)[:k]:
@@ -219,6 +234,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
 
     A part of any size is cut into blocks of ``VECTOR_BLOCK`` rows, and its queries
     into blocks of ``QUERY_BLOCK``; each pair of blocks is one bounded piece of work.
+    What a query finds in the sample bounds its result from below, so blocks send on
+    no more than can still be among its nearest.
     """
     spark = vectors.sparkSession
     good = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
@@ -229,25 +246,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
     good = good.where(F.size("embedding") == router.dims)
     shared, dims = spark.sparkContext.broadcast(router), router.dims
 
-    def route(visits: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                s = shared.value.scores(_matrix(batch.column("embedding"), dims).astype(np.float64))
-                parts = np.argsort(-s, axis=1, kind="stable")[:, :visits].astype(np.int32)
-                at = np.arange(len(s) + 1, dtype=np.int32) * parts.shape[1]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(parts.ravel()))], names=["vec_id", "embedding", "parts"])
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = shared.value.scores(_matrix(batch.column("embedding"), dims).astype(np.float64)).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["vec_id", "embedding", "part"])
 
-        return run
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("embedding"), dims).astype(np.float64)
+            parts = np.argsort(-shared.value.scores(x), axis=1, kind="stable")[:, : shared.value.visits].astype(np.int32)
+            at = np.arange(len(x) + 1, dtype=np.int32) * parts.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(parts.ravel()))
+            floors = pa.array(shared.value.floors(batch.column("vec_id").to_numpy(), x, k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, floors], names=["vec_id", "embedding", "parts", "floor"])
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    placed = written(good.mapInArrow(route(1), f"vec_id bigint, embedding {kind}, parts array<int>").select("vec_id", "embedding", F.col("parts")[0].alias("part")))
-    asked = good.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = written(asked.mapInArrow(route(router.visits), f"vec_id bigint, embedding {kind}, parts array<int>").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("parts").alias("part")))
+    placed = written(good.mapInArrow(home, f"vec_id bigint, embedding {kind}, part int"))
+    asked = good.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(visit, f"vec_id bigint, embedding {kind}, parts array<int>, floor double")
+    asked = written(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "floor", F.explode("parts").alias("part")))
     cut = lambda df, size, name: df.groupBy("part").agg((1 + F.floor(F.count(F.lit(1)) / size)).cast("int").alias(name))
     grid = F.broadcast(cut(placed, VECTOR_BLOCK, "vector_blocks").join(cut(asked, QUERY_BLOCK, "query_blocks"), "part"))  # one row per part: at most MOST_PARTS
     left = asked.join(grid, "part").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int")).withColumn(
         "v", F.explode(F.sequence(F.lit(0), F.col("vector_blocks") - 1))
-    ).select("part", "q", "v", "query_id", "query")
+    ).select("part", "q", "v", "query_id", "query", "floor")
     right = placed.join(grid, "part").withColumn("v", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("vector_blocks")).cast("int")).withColumn(
         "q", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))
     ).select("part", "q", "v", "vec_id", "embedding")
