@@ -40,16 +40,19 @@ class Router:
     ids: np.ndarray
     sample: np.ndarray
 
-    def floors(self, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-        """For each query the ``k``-th best score among the sample's rows: no worse row can be among its ``k`` nearest."""
-        if len(self.ids) <= k:
-            return np.full(len(x), -np.inf)
-        out = np.empty(len(x))
-        for a in range(0, len(x), 128):
-            s = x[a : a + 128] @ self.sample.T
-            s[ids[a : a + 128, None] == self.ids[None, :]] = -np.inf
-            out[a : a + 128] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        return out - 1e-9 * np.maximum(1.0, np.abs(out))
+    def best_of_sample(self, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """For each query its ``k`` best of the sample (ids and scores), and the last of those scores: no worse row can be among its ``k`` nearest."""
+        floor, found, scores = np.full(len(x), -np.inf), [], []
+        for i, v in enumerate(x):
+            s = (self.sample * v).sum(axis=1)
+            s[self.ids == ids[i]] = -np.inf
+            top = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
+            top = top[np.isfinite(s[top])]
+            if len(top) == k:
+                floor[i] = s[top].min() - 1e-9 * max(1.0, abs(s[top].min()))
+            found.append(self.ids[top])
+            scores.append(s[top])
+        return floor, found, scores
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
@@ -257,12 +260,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
             parts = np.argsort(-shared.value.scores(x), axis=1, kind="stable")[:, : shared.value.visits].astype(np.int32)
             at = np.arange(len(x) + 1, dtype=np.int32) * parts.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(parts.ravel()))
-            floors = pa.array(shared.value.floors(batch.column("vec_id").to_numpy(), x, k))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, floors], names=["vec_id", "embedding", "parts", "floor"])
+            floor, found, scores = shared.value.best_of_sample(batch.column("vec_id").to_numpy(), x, k)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, lists, pa.array(floor), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))],
+                names=["vec_id", "embedding", "parts", "floor", "found", "scores"],
+            )
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     placed = written(good.mapInArrow(home, f"vec_id bigint, embedding {kind}, part int"))
-    asked = good.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(visit, f"vec_id bigint, embedding {kind}, parts array<int>, floor double")
+    asked = good.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(visit, f"vec_id bigint, embedding {kind}, parts array<int>, floor double, found array<bigint>, scores array<double>")
+    asked = written(asked)
+    sampled = asked.select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("found", "scores")).alias("f")).select("query_id", F.col("f.found").alias("vec_id"), F.col("f.scores").alias("score"))
     asked = written(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "floor", F.explode("parts").alias("part")))
     cut = lambda df, size, name: df.groupBy("part").agg((1 + F.floor(F.count(F.lit(1)) / size)).cast("int").alias(name))
     grid = F.broadcast(cut(placed, VECTOR_BLOCK, "vector_blocks").join(cut(asked, QUERY_BLOCK, "query_blocks"), "part"))  # one row per part: at most MOST_PARTS
@@ -279,5 +287,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
 
     hits = left.groupBy("part", "q", "v").cogroup(right.groupBy("part", "q", "v")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    hits = hits.unionByName(sampled).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
