@@ -204,10 +204,13 @@ def rejection_reasons(
 
     ``sims(simulation_id, task_id, reward, db_match, termination_reason, compliant,
     conversion_reason, n_tool_calls, <order>)``. A repeated id is rejected wherever
-    it is not the first, even when the first is rejected itself.
+    it is not the first, even when the first is rejected itself; a null or blank id
+    is rejected and takes no part in the search for first ones.
     """
-    first = sims.groupBy("simulation_id").agg(F.min(order).alias("__first"))
-    s = sims.join(first, "simulation_id")
+    named = F.nullif("simulation_id", F.lit(""))
+    first = sims.where(named.isNotNull()).groupBy("simulation_id").agg(F.min(order).alias("__first"))
+    blank = sims.where(named.isNull()).withColumn("__first", F.lit(None).cast(sims.schema[order].dataType))
+    s = sims.where(named.isNotNull()).join(first, "simulation_id").unionByName(blank)
     known = F.lit(True)
     if allowed is not None:
         s = s.join(allowed.select("task_id").distinct().withColumn("__allowed", F.lit(True)), "task_id", "left")

@@ -28,84 +28,66 @@ def code_refused(text: Column) -> Column:
     return _plain(text).isin(fv.VERIFICATION_REFUSALS) | _plain(text).rlike(fv.CODE_REFUSAL_PATTERN)
 
 
-def conversation_facts(events: DataFrame, keys: list[str], order: str, block: Column) -> DataFrame:
-    """Facts after every event.
+READS = ("get_order", "check_return_eligibility")
+LASTS = (
+    "order_id", "verification", "identity", "loaded", "eligibility", "reason", "confirmed", "created", "blocked_value",
+    "blocked_at", "code_at", "reason_at",
+)
+MAXIMA = ("intent", "handed_off")
 
-    ``events(*keys, order, role, content, requested_input_type, tool, ok, error, has_order, eligible)``.
-    ``order`` numbers events within a conversation; ``block`` never decreases with it.
+
+def event_marks() -> dict[str, Column]:
+    """What an event says about later ones by itself: the order it names and the input it asks for."""
+    user = F.col("role") == "user"
+    return {
+        "named_order": F.when(user, F.upper(found(F.coalesce("content", F.lit("")), fv.ORDER_ID_PATTERN))),
+        "asked": F.when(F.col("role") == "assistant", F.coalesce("requested_input_type", F.lit("none"))).when(user, "none"),
+    }
+
+
+def signals(asked: Column, switched: Column, order: str) -> dict[str, Column]:
+    """Signals of an event, null where it has none; the latest of each kind (``LASTS``) and the largest (``MAXIMA``) make the facts.
+
+    ``asked`` is the input the assistant last asked for, ``switched`` whether the
+    event names another order than the one before it.
     """
     user = F.col("role") == "user"
-    text = F.coalesce("content", F.lit(""))
-    named = F.when(user, F.upper(found(text, fv.ORDER_ID_PATTERN)))
-    asked = F.when(F.col("role") == "assistant", F.coalesce("requested_input_type", F.lit("none"))).when(user, "none")
-    base = events.withColumns({"named_order": named})
-    before = running(
-        base, keys, [order], block, lasts={"order_before": F.col("named_order"), "asked": asked}, before_only=True
-    )
-    t, requested = F.coalesce("content", F.lit("")), F.coalesce("asked", F.lit("none"))
-    normalized = F.lower(strip(t))
-    staged = before.withColumns(
-        {
-            "switched": F.coalesce(F.col("named_order") != F.col("order_before"), F.lit(False)),
-            "has_code": user & t.rlike(fv.CODE_IN_TEXT_PATTERN),
-            "stated": F.when(user, F.nullif(strip(F.regexp_extract(t, fv.STATED_REASON_PATTERN, 1)), F.lit(""))),
-            "matched_reason": user & t.rlike(fv.STATED_REASON_PATTERN),
-            "requested": F.when(user, requested),
-            "normalized": normalized,
-        }
-    ).withColumns(
-        {
-            "refused_code": F.coalesce((F.col("requested") == "verification_code") & code_refused(t) & ~F.col("has_code"), F.lit(False)),
-            "refused_reason": F.coalesce(reason_refused(F.col("stated")), F.lit(False))
-            | F.coalesce((F.col("requested") == "return_reason") & ~F.col("matched_reason") & reason_refused(t), F.lit(False)),
-        }
-    ).withColumn(
-        "given_reason",
-        F.when(F.col("stated").isNotNull() & ~F.col("refused_reason"), F.col("stated")).when(
-            (F.col("requested") == "return_reason")
-            & ~F.col("matched_reason")
-            & ~F.col("refused_reason")
-            & ~F.col("normalized").isin(fv.NEGATIVE),
-            t,
-        ),
-    )
+    t = F.coalesce("content", F.lit(""))
+    requested, normalized = F.when(user, asked), F.lower(strip(t))
+    has_code, matched_reason = user & t.rlike(fv.CODE_IN_TEXT_PATTERN), user & t.rlike(fv.STATED_REASON_PATTERN)
+    stated = F.when(user, F.nullif(strip(F.regexp_extract(t, fv.STATED_REASON_PATTERN, 1)), F.lit("")))
+    bare_reason = (requested == "return_reason") & ~matched_reason
+    refused_code = F.coalesce((requested == "verification_code") & code_refused(t) & ~has_code, F.lit(False))
+    refused_reason = F.coalesce(reason_refused(stated), F.lit(False)) | F.coalesce(bare_reason & reason_refused(t), F.lit(False))
+    given = F.when(stated.isNotNull() & ~refused_reason, stated).when(bare_reason & ~refused_reason & ~normalized.isin(fv.NEGATIVE), t)
     tool, ok = F.col("tool"), F.coalesce("ok", F.lit(False))
-    reads = tool.isin("get_order", "check_return_eligibility")
-    cleared = F.when(F.col("switched"), "none")
-    confirm = F.col("requested") == "confirmation"
-    lost = F.when(
-        reads & ~ok & F.col("error").isin("identity_verification_failed", "order_ownership_mismatch"), F.col("error")
-    )
-    blocked = F.coalesce(
-        F.when(F.col("refused_code"), "verification_code_refused"),
-        F.when(F.col("refused_reason"), "return_reason_refused"),
-        lost,
-    )
-    pos = F.col(order)
-    lasts = {
-        "order_id": F.col("named_order"),
-        "verification": F.when(F.col("has_code"), "true").when(F.col("refused_code") | F.col("switched"), "false"),
-        "identity": F.when(reads & ok, "true").when(F.col("switched"), "false"),
-        "loaded": F.when(reads & ok, F.coalesce("has_order", F.lit(False)).cast("string")).when(F.col("switched"), "false"),
-        "eligibility": F.when(
-            (tool == "check_return_eligibility") & ok, F.coalesce("eligible", F.lit(False)).cast("string")
-        ).otherwise(cleared),
-        "reason": F.coalesce(F.col("given_reason"), F.when(F.col("refused_reason"), "")),
-        "confirmed": F.when(confirm & F.col("normalized").isin(fv.AFFIRMATIVE), "true")
-        .when(confirm & F.col("normalized").isin(fv.NEGATIVE), "false")
-        .when(F.col("stated").isNotNull() | F.col("refused_reason"), "none")
+    read, confirm = tool.isin(*READS), requested == "confirmation"
+    lost = F.when(read & ~ok & F.col("error").isin("identity_verification_failed", "order_ownership_mismatch"), F.col("error"))
+    blocked = F.coalesce(F.when(refused_code, "verification_code_refused"), F.when(refused_reason, "return_reason_refused"), lost)
+    pos, cleared = F.col(order), F.when(switched, "none")
+    return {
+        "order_id": event_marks()["named_order"],
+        "verification": F.when(has_code, "true").when(refused_code | switched, "false"),
+        "identity": F.when(read & ok, "true").when(switched, "false"),
+        "loaded": F.when(read & ok, F.coalesce("has_order", F.lit(False)).cast("string")).when(switched, "false"),
+        "eligibility": F.when((tool == READS[1]) & ok, F.coalesce("eligible", F.lit(False)).cast("string")).otherwise(cleared),
+        "reason": F.coalesce(given, F.when(refused_reason, "")),
+        "confirmed": F.when(confirm & normalized.isin(fv.AFFIRMATIVE), "true")
+        .when(confirm & normalized.isin(fv.NEGATIVE), "false")
+        .when(stated.isNotNull() | refused_reason, "none")
         .otherwise(cleared),
-        "created": F.when((tool == "create_return_request") & ok, "true").when(F.col("switched"), "false"),
+        "created": F.when((tool == "create_return_request") & ok, "true").when(switched, "false"),
         "blocked_value": blocked,
         "blocked_at": F.when(blocked.isNotNull(), pos),
-        "code_at": F.when(F.col("has_code"), pos),
-        "reason_at": F.when(F.col("given_reason").isNotNull(), pos),
-    }
-    maxima = {
+        "code_at": F.when(has_code, pos),
+        "reason_at": F.when(given.isNotNull(), pos),
         "intent": F.when(user & contains_any(F.lower(t), fv.RETURN_INTENT_TERMS), 1).otherwise(0),
         "handed_off": F.when((tool == "escalate_to_human") & ok, 1).otherwise(0),
     }
-    r = running(staged, keys, [order], block, maxima=maxima, lasts=lasts)
+
+
+def facts_of(known: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts from the latest and largest signals so far (columns ``LASTS`` and ``MAXIMA``)."""
     still = ~(
         F.coalesce((F.col("blocked_value") == "verification_code_refused") & (F.col("code_at") > F.col("blocked_at")), F.lit(False))
         | F.coalesce((F.col("blocked_value") == "return_reason_refused") & (F.col("reason_at") > F.col("blocked_at")), F.lit(False))
@@ -117,9 +99,8 @@ def conversation_facts(events: DataFrame, keys: list[str], order: str, block: Co
     def tri(c: str) -> Column:
         return F.when(F.col(c) == "true", True).when(F.col(c) == "false", False)
 
-    return r.select(
+    return known.select(
         *keys,
-        order,
         (F.col("intent") == 1).alias("return_intent"),
         "order_id",
         flag("verification").alias("verification_available"),
@@ -134,6 +115,23 @@ def conversation_facts(events: DataFrame, keys: list[str], order: str, block: Co
     )
 
 
+def conversation_facts(events: DataFrame, keys: list[str], order: str, block: Column) -> DataFrame:
+    """Facts after every event.
+
+    ``events(*keys, order, role, content, requested_input_type, tool, ok, error, has_order, eligible)``.
+    ``order`` numbers events within a conversation; ``block`` never decreases with it.
+    """
+    marks = event_marks()
+    before = running(
+        events.withColumn("named_order", marks["named_order"]), keys, [order], block,
+        lasts={"order_before": F.col("named_order"), "asked": marks["asked"]}, before_only=True,
+    )
+    switched = F.coalesce(F.col("named_order") != F.col("order_before"), F.lit(False))
+    told = signals(F.coalesce("asked", F.lit("none")), switched, order)
+    known = running(before, keys, [order], block, maxima={m: told[m] for m in MAXIMA}, lasts={c: told[c] for c in LASTS})
+    return facts_of(known, [*keys, order])
+
+
 def progress(facts: DataFrame) -> DataFrame:
     """Progress row of each facts row."""
     f = F.col

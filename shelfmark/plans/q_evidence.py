@@ -52,7 +52,7 @@ def tool_calls(spark, sf):
     item = li.join(p, F.col("l_partkey") == F.col("line_no"))
     look = item.select(
         F.format_string("O%06d", "l_orderkey").alias("trajectory_id"),
-        (F.col("l_linenumber") * 1000000 + F.col("l_partkey") + 2).alias("call_seq"),
+        (F.col("l_linenumber") * 1099511627776 + F.col("l_partkey") + 2).alias("call_seq"),
         F.lit("get_product").alias("tool"),
         F.to_json(F.struct("product_id")).alias("arguments"),
         F.to_json(
@@ -68,7 +68,7 @@ def tool_calls(spark, sf):
 
 
 def ledger(spark, sf):
-    return V.ledger(V.convert_calls(tool_calls(spark, sf)), F.floor(F.col("call_seq") / 1000000))
+    return V.ledger(V.convert_calls(tool_calls(spark, sf)), F.floor(F.col("call_seq") / 1099511627776))
 
 
 _O = [
@@ -77,7 +77,7 @@ _O = [
     ("inventory_status", "inventory_status"), ("return_status", "return_status"),
 ]
 _P = [("product_id", "product_id"), ("title", "title"), ("category", "category"), ("price", "CAST(price AS VARCHAR)"), ("inventory", "inventory"), ("updated_at", "'2026-07-01'")]
-_IT = "(SELECT printf('O%06d', l_orderkey) AS t, l_linenumber * 1000000 + l_partkey + 2 AS s, p.* FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem) JOIN dom_products p ON l_partkey = p.line_no)"
+_IT = "(SELECT printf('O%06d', l_orderkey) AS t, l_linenumber * 1099511627776 + l_partkey + 2 AS s, p.* FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem) JOIN dom_products p ON l_partkey = p.line_no)"
 RAW = " UNION ALL ".join(
     [f"SELECT order_id AS t, 0 AS s, {i} AS pos, 'order:' || order_id AS src, 'order.{f}' AS field, {e} AS value, NULL AS upd FROM dom_orders WHERE order_key % 13 <> 0" for i, (f, e) in enumerate(_O)]
     + [

@@ -34,7 +34,7 @@ def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return D.lines(spark, sf).select(
-        (F.col("doc_id") * 100000 + F.col("line_no")).alias("chunk_id"),
+        (F.col("doc_id") * 16777216 + F.col("line_no")).alias("chunk_id"),
         "doc_id",
         F.col("lang").alias("source_type"),
         F.col("source").alias("category"),
@@ -61,7 +61,7 @@ def bm25_ctes(chunks: str, k: int, queries: str = "SELECT item_id AS query_id, t
 
 
 DOC_SQL = "SELECT doc_id AS chunk_id, text FROM documents"
-LINE_SQL = "SELECT doc_id * 100000 + line_no AS chunk_id, doc_id, lang AS source_type, source AS category, line AS text FROM dom_lines"
+LINE_SQL = "SELECT doc_id * 16777216 + line_no AS chunk_id, doc_id, lang AS source_type, source AS category, line AS text FROM dom_lines"
 QVEC_SQL = "SELECT item_id AS query_id, embedding AS vector FROM benchmark JOIN embeddings ON item_id = vec_id"
 DENSE_SQL = """
   dsc AS (SELECT query_id, c.chunk_id, round(list_inner_product(vector::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM qv CROSS JOIN cv c),
@@ -145,13 +145,13 @@ def query_vectors(spark, sf):
 def channels(spark, sf, chunks):
     q = bench_queries(spark, sf)
     lex = R.bm25_topk(chunks, q, k=20)
-    vectors = D.table(spark, sf, "embeddings").select((F.col("vec_id") * 100000).alias("chunk_id"), "embedding")
+    vectors = D.table(spark, sf, "embeddings").select((F.col("vec_id") * 16777216).alias("chunk_id"), "embedding")
     den = R.dense_topk(vectors, query_vectors(spark, sf), k=20)
     return q, lex, den
 
 
 CHANNEL_SQL = f"""{bm25_ctes(LINE_SQL, 20)},
-  qv AS ({QVEC_SQL}), cv AS (SELECT vec_id * 100000 AS chunk_id, embedding FROM embeddings), {DENSE_SQL}"""
+  qv AS ({QVEC_SQL}), cv AS (SELECT vec_id * 16777216 AS chunk_id, embedding FROM embeddings), {DENSE_SQL}"""
 
 
 def lines_with(body: str) -> str:
@@ -263,13 +263,15 @@ def context_block(spark, sf):
 @register(
     "confidence_gate",
     lines_with(
-        f"{CHANNEL_SQL} SELECT query_id, round(max(score), 6) AS best_sim, max(score) >= 0.35 AS confident FROM den GROUP BY 1"
+        f"{CHANNEL_SQL} SELECT item_id AS query_id, round(max(score), 6) AS best_sim, coalesce(max(score) >= 0.35, false) AS confident FROM benchmark LEFT JOIN den ON den.query_id = item_id GROUP BY 1"
     ),
 )
 def confidence_gate(spark, sf):
     vectors = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     den = R.dense_topk(vectors, query_vectors(spark, sf), k=20)
-    return den.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best_sim"), R.confident(F.max("score")).alias("confident"))
+    asked = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    best = asked.join(den, "query_id", "left").groupBy("query_id").agg(F.max("score").alias("best"))
+    return best.select("query_id", F.round("best", 6).alias("best_sim"), F.coalesce(R.confident(F.col("best")), F.lit(False)).alias("confident"))
 
 
 # --- catalogue: products searched by the customers' segments and nations -----------

@@ -9,17 +9,31 @@ from shelfmark.operators.corpus import first_n_per
 from shelfmark.sources import schemas as S
 
 
-def _jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def _jsonl(spark: SparkSession, path: str | list[str], schema: str, *required: str) -> DataFrame:
+    """JSON lines that must all decode and hold the ``required`` fields; only blank lines are skipped."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return parse_lines(lines, schema, *required)
+
+
+def parse_lines(lines: DataFrame, schema: str, *required: str) -> DataFrame:
+    """Rows of JSON texts in ``value``; evaluation fails on one that cannot be decoded or lacks a ``required`` field."""
+    shown = F.substring("value", 1, 200)
+    row = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})
+    parsed = lines.select(row.alias("r"), shown.alias("shown"))
+    lacking = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    for field in required:
+        lacking |= F.coalesce(F.col(f"r.{field}").cast("string"), F.lit("")) == ""
+    sound = F.when(lacking, F.raise_error(F.concat(F.lit("not a usable record: "), F.col("shown")))).otherwise(F.col("r"))
+    return parsed.select(sound.alias("r")).select("r.*").drop("_corrupt_record")
 
 
 def read_products(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Product JSONL; ``attributes`` stays JSON text so that its key order survives."""
-    return _jsonl(spark, path, S.PRODUCT).where(F.col("id").isNotNull())
+    return _jsonl(spark, path, S.PRODUCT, "id")
 
 
 def read_policies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return _jsonl(spark, path, S.POLICY).where(F.col("id").isNotNull())
+    return _jsonl(spark, path, S.POLICY, "id")
 
 
 def read_raw(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -53,7 +67,7 @@ def read_simulations(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_audits(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Process audits; a missing or repeated ``simulation_id`` fails the read."""
-    rows = _jsonl(spark, path, S.AUDIT).where(F.size(F.array_compact(F.array("simulation_id", "audit_version", "reviewer"))) > 0)
+    rows = _jsonl(spark, path, S.AUDIT, "simulation_id")
     return require_unique(
         rows.select(
             "simulation_id",
@@ -81,7 +95,7 @@ def require_unique(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_tasks(spark: SparkSession, path: str | list[str], split: str | None = None) -> DataFrame:
-    tasks = _jsonl(spark, path, S.TASK).where(F.col("task_id").isNotNull())
+    tasks = _jsonl(spark, path, S.TASK, "task_id")
     return tasks if split is None else tasks.where(F.col("split") == split)
 
 

@@ -26,7 +26,7 @@ TABLES = (
 
 def session(cores: int = 8) -> SparkSession:
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.master(f"local[{cores}]").config("spark.ui.showConsoleProgress","false")
         .appName("shelfmark-check")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")

@@ -22,8 +22,8 @@ from shelfmark.operators import retrieval as R
 from shelfmark.operators.components import connected_components
 from shelfmark.plans import domain as D
 from shelfmark.plans import q_trajectories as Q
+from shelfmark.operators.traces import block_end
 from shelfmark.sources import readers, sinks, synthetic
-from shelfmark.streaming import steps
 
 
 def one(spark, column, **values):
@@ -123,24 +123,6 @@ def test_isolated_splits_do_not_leak(spark, sf):
     assert S.leaks(placed).count() == 0
 
 
-def test_audit_and_progress_against_steps(spark, sf):
-    m = Q.audit_messages(spark, sf)
-    got = {r["simulation_id"]: sorted(r["violations"]) for r in A.verdicts(m, A.audit(m, block_size=64)).collect()}
-    states: dict = {}
-    for r in sorted(m.collect(), key=lambda r: r["pos"]):
-        states[r["sim"]] = steps.next_audit(states.get(r["sim"], dict(steps.AUDIT)), r)
-    assert got == {k: sorted(steps.final_violations(v)) for k, v in states.items()}
-    events = Q.progress_events(spark, sf)
-    facts_of: dict = {}
-    want = {}
-    for e in sorted(events.collect(), key=lambda r: r["seq"]):
-        facts_of[e["user_id"]] = steps.next_facts(facts_of.get(e["user_id"], steps.FACTS), e)
-        want[e["seq"]] = facts_of[e["user_id"]]
-    for r in Q.facts(spark, sf).collect():
-        for k in ("order_id", "confirmation", "return_reason", "blocked_by", "eligibility", "verification_available"):
-            assert r[k] == want[r["seq"]][k]
-
-
 def test_audit_contract(spark):
     ok = [("s", 1, "assistant", None, False, [("find_user_id_by_email", {"email": "x"})]), ("s", 2, "tool", "{}", False, None),
           ("s", 3, "assistant", None, False, [("get_order_details", {"order_id": "W1"})]), ("s", 4, "tool", "{}", False, None),
@@ -221,3 +203,41 @@ def test_order_step_replays_and_guards():
     assert O.apply_one(done, Row)[1:] == (False, None)
     Row.new_item_ids = ["P3"]
     assert O.apply_one(done, Row)[2] == "exchange_already_completed"
+
+
+def test_block_end_skips_braces_inside_strings(spark):
+    cases = [
+        ("", 0), ("no brace }", 0), ("{", -1), ("{}", 2), ("é {} {}", 4), ('x {"a":"}"} y', 11), ('{"a":"\\"}"}', 11), ('{"a":"\\\\"}', 10), ('{"a":"', -1),
+        ("{{}", -1), ("{{}}}", 4), ('" { "}" }', 9), ("{\\}", 3), ('{"' + "a" * 50000 + '"}', 50004), ("{" * 3000 + "}" * 3000, 6000),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.e for r in df.select("i", block_end(F.col("t")).alias("e")).collect()}
+    assert [got[i] for i in range(len(cases))] == [e for _, e in cases]
+
+
+def test_readers_refuse_what_they_cannot_use(spark, tmp_path):
+    def lines(name, text):
+        path = tmp_path / name
+        path.write_text(text)
+        return str(path)
+
+    good = '{"id":"P1","title":"t"}\n\n  \n{"id":"P2","attributes":"{}"}\n'
+    assert [r.id for r in readers.read_products(spark, lines("good.jsonl", good)).collect()] == ["P1", "P2"]
+    for i, bad in enumerate(['{"id":"P1"', '{"title":"no id"}', '{"id":""}', "[1]"]):
+        with pytest.raises(Exception, match="not a usable record"):
+            readers.read_products(spark, lines(f"bad{i}.jsonl", good + bad + "\n")).collect()
+    with pytest.raises(Exception, match="not a usable record"):
+        readers.read_audits(spark, lines("audits.jsonl", '{"simulation_id":"s1"}\n{"reviewer":"r"}\n')).collect()
+    with pytest.raises(Exception, match="not a usable record"):
+        readers.read_tasks(spark, lines("tasks.jsonl", '{"category":"c"}\n')).collect()
+
+
+def test_blank_simulation_ids_are_rejected_and_not_lost(spark):
+    rows = [(None, 1), ("", 2), ("a", 3), ("a", 4), (None, 5)]
+    sims = spark.createDataFrame(rows, "simulation_id string, seq int").withColumns({
+        "task_id": F.lit("t"), "reward": F.lit(1.0), "db_match": F.lit(True), "termination_reason": F.lit("user_stop"),
+        "compliant": F.lit(True), "conversion_reason": F.lit(None).cast("string"), "n_tool_calls": F.lit(1),
+    })
+    got = {r.seq: r.reason for r in S.rejection_reasons(sims, "seq").collect()}
+    lost = "missing_or_duplicate_simulation_id"
+    assert got == {1: lost, 2: lost, 3: None, 4: lost, 5: lost}

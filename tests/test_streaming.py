@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import time
 
 from pyspark.sql import functions as F
 
@@ -54,14 +53,10 @@ def test_audit_stream_equals_batch(spark, sf, tmp_path):
         "sim", (F.col("pos") + 1).alias("pos"), F.lit("end").alias("role"), F.lit(None).cast("string").alias("content"), F.lit(False).alias("error")
     )
     src = m.unionByName(ends, allowMissingColumns=True).coalesce(1)
-    stream = S.process_audit(as_stream(spark, src, tmp_path / "in"))
-    # a stream with processing-time timers keeps checking them, so it is stopped once its data is through
-    q = stream.writeStream.format("memory").queryName("audit_out").option("checkpointLocation", str(tmp_path / "cp")).start()
-    deadline = time.time() + 50
-    while time.time() < deadline and not (q.lastProgress and q.lastProgress["batchId"] >= 1):
-        time.sleep(1)
-    q.stop()
-    got = {r["simulation_id"]: sorted(json.loads(r["violations"])) for r in spark.table("audit_out").collect()}
+    q = S.process_audit(as_stream(spark, src, tmp_path / "in"), lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out/b={n}")))
+    q = q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    got = {r["simulation_id"]: sorted(r["violations"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r["simulation_id"]: sorted(r["violations"]) for r in A.verdicts(m, A.audit(m, block_size=50)).collect()}
     assert got == want
 
@@ -82,8 +77,7 @@ def test_upserts_and_windows(spark, sf, tmp_path):
     stream = as_stream(spark, src, tmp_path / "in", files=3)
     q = S.trajectory_upserts(stream, str(tmp_path / "store"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "store").iterdir())
-    got = spark.read.parquet(str(tmp_path / "store" / f"v={last}"))
+    got = spark.read.parquet(str(tmp_path / "store"))
     want = src.groupBy("trajectory_id").agg(F.max("version").alias("version"))
     assert sorted(map(tuple, got.select("trajectory_id", "version").collect())) == sorted(map(tuple, want.collect()))
     calls = D.calls(spark, sf).withColumn("started_at", F.col("started_at").cast("timestamp"))
@@ -93,3 +87,73 @@ def test_upserts_and_windows(spark, sf, tmp_path):
     assert total == calls.count()
     ss = drain(W.sessions(cs, "user_id", "120 minutes", watermark="10 minutes"), "sess_out", tmp_path / "cp4")
     assert ss.count() <= W.sessions(calls, "user_id", "120 minutes").count()
+
+
+def two_triggers(stream_of, first, second, path):
+    """Feed one file, then another, so that the second trigger sees the first one's state."""
+    spark = first.sparkSession
+    first.coalesce(1).write.parquet(str(path / "in"))
+    for batch in (first, second):
+        if batch is second:
+            second.coalesce(1).write.mode("append").parquet(str(path / "in"))
+        writer = stream_of(spark.readStream.schema(first.schema).parquet(str(path / "in")))
+        q = writer.option("checkpointLocation", str(path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+
+
+def to_folder(path):
+    return lambda df, n: df.write.mode("overwrite").parquet(str(path / f"out/b={n}"))
+
+
+def test_late_progress_events_are_reported_and_not_applied(spark, sf, tmp_path):
+    events = Q.progress_events(spark, sf).withColumn("conv", F.col("user_id").cast("string")).drop("user_id")
+    conv = events.groupBy("conv").count().orderBy(F.desc("count"), "conv").first()["conv"]
+    one = events.where(F.col("conv") == conv).persist()
+    low, high = one.agg(F.min("seq"), F.max("seq")).first()
+    middle = (low + high) // 2
+    late = one.where(F.col("seq") == low).withColumn("content", F.lit("I want to return O99999, my code is 0000"))
+    two_triggers(lambda s: S.task_progress(s).writeStream.foreachBatch(to_folder(tmp_path)), one.where(F.col("seq") <= middle), one.where(F.col("seq") > middle).unionByName(late), tmp_path)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert [r.seq for r in got.where("late").collect()] == [low]
+    want = {r["seq"]: r["order_id"] for r in Q.facts(spark, sf).where(F.col("user_id").cast("string") == conv).collect()}
+    assert {r.seq: json.loads(r.facts)["order_id"] for r in got.where("not late").collect()} == want
+
+
+def test_late_messages_and_commands(spark, sf, tmp_path):
+    m = Q.audit_messages(spark, sf)
+    sim = m.select("sim").orderBy("sim").first()["sim"]
+    one = m.where(F.col("sim") == sim)
+    end = one.groupBy("sim").agg(F.max("pos").alias("pos")).select("sim", (F.col("pos") + 1).alias("pos"), F.lit("end").alias("role"), F.lit(None).cast("string").alias("content"), F.lit(False).alias("error"))
+    whole = one.unionByName(end, allowMissingColumns=True)
+    two_triggers(lambda s: S.completed_simulations(s).writeStream.foreachBatch(to_folder(tmp_path)), whole, one.limit(1), tmp_path)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.where("not late").count() == one.count() and got.where("late").count() == 1
+    c = D.commands(spark, sf)
+    joined = S.order_commands  # the last command of an order, then an earlier one
+    orders, users = D.orders(spark, sf), D.users(spark, sf)
+    live = O.with_records(c.where(F.col("tool").isin(O.WRITE_TOOLS)), orders, users).withColumn("static", O.static_error(D.AS_OF)).where(F.col("static").isNull())
+    order = live.groupBy("order_id").count().where("count > 1").orderBy("order_id").first()["order_id"]
+    times = sorted((r.ts, r.seq) for r in live.where(F.col("order_id") == order).select("ts", "seq").collect())
+    mine = c.where(F.col("order_id") == order)
+    folder = tmp_path / "orders"
+    two_triggers(lambda s: joined(s, orders, users, D.AS_OF).writeStream.foreachBatch(to_folder(folder)), mine.where(F.col("seq") == times[-1][1]), mine.where(F.col("seq") == times[0][1]), folder)
+    out = spark.read.parquet(str(folder / "out")).collect()
+    assert [(r.seq, r.error) for r in out if r.late] == [(times[0][1], "late_event")] and len(out) == 2
+
+
+def test_upserts_write_only_touched_buckets(spark, tmp_path):
+    rows = [(i, 1, float(i)) for i in range(200)]
+    first = spark.createDataFrame(rows, "trajectory_id bigint, version int, value double")
+    second = spark.createDataFrame([(7, 2, 70.0)], first.schema)
+    seen = []
+
+    def stream_of(s):
+        seen.append({p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")})
+        return S.trajectory_upserts(s, str(tmp_path / "store"), str(tmp_path / "cp"))
+
+    two_triggers(stream_of, first, second, tmp_path)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    changed = {p.parent.name for p in set(seen[1]) ^ set(after)}
+    assert len(changed) == 1
+    got = {r.trajectory_id: (r.version, r.value) for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    assert got == {i: (2, 70.0) if i == 7 else (1, float(i)) for i in range(200)}
