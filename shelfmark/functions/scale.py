@@ -127,10 +127,27 @@ def running(
     return joined.select(*out)
 
 
+_SUPER = 4096
+
+
 def dense_numbers(df: DataFrame, order: list[str], block: Column, name: str = "n") -> DataFrame:
-    """Dense 1-based numbering in ``order`` without one global window."""
-    one = df.withColumn("__all", F.lit(1))
-    return running(one, ["__all"], order, block, sums={name: F.lit(1).cast("bigint")}).drop("__all")
+    """Dense 1-based numbering in ``order`` without one global window.
+
+    ``block`` is a whole number that never decreases in ``order``. Rows are
+    numbered inside their block, blocks are summed inside groups of ``_SUPER`` block
+    numbers, and only the groups' sums meet in one place.
+    """
+    src = df.withColumn("__block", block.cast("bigint"))
+    counts = src.groupBy("__block").agg(F.count(F.lit(1)).alias("__n")).withColumn("__super", F.floor(F.col("__block") / _SUPER))
+    earlier = Window.partitionBy("__super").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(1)).orderBy("__super").rowsBetween(Window.unboundedPreceding, -1)
+    supers = counts.groupBy("__super").agg(F.sum("__n").alias("__n")).select("__super", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__far"))
+    offsets = counts.withColumn("__near", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).join(supers, "__super").select(
+        "__block", (F.col("__near") + F.col("__far")).alias("__offset")
+    )
+    inside = Window.partitionBy("__block").orderBy(*order)
+    numbered = src.withColumn("__row", F.row_number().over(inside)).join(offsets, "__block")
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__offset") + F.col("__row")).cast("bigint").alias(name))
 
 
 def exact_ranks(
@@ -138,14 +155,16 @@ def exact_ranks(
     groups: list[str],
     value: str,
     wanted: dict[str, tuple[str, float]],
-    buckets: int = 1024,
+    buckets: int = 128,
 ) -> DataFrame:
     """Exact order statistics per group: ``{name: (rule, fraction)}``.
 
     Rules: ``inclusive`` (linear interpolation between neighbours), ``nearest``
     (rank ceil(p*n)), ``floor`` (rank max(1, floor(p*n))) and ``upper_median``
-    (rank floor(n/2)+1). Values are counted first, then only the buckets of the
-    value range that hold a wanted rank are ordered, so no group is sorted whole.
+    (rank floor(n/2)+1). Values are counted first and cut into buckets at
+    approximate quantiles of the distinct values, so that an outlier does not crowd
+    the others together; then only the buckets that hold a wanted rank are ordered,
+    and no group is sorted whole.
     """
     keyed = df.where(F.col(value).isNotNull())
     if not groups:
@@ -155,13 +174,10 @@ def exact_ranks(
         F.count(F.lit(1)).alias("__n")
     )
     span = counts.groupBy(*keys).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__total")
-    )
-    width = (F.col("__hi") - F.col("__lo")) / buckets
-    bucket = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) / width)))
-    binned = counts.join(span, keys).select(
-        *keys, "__v", "__n", F.coalesce(bucket, F.lit(0)).cast("int").alias("__b")
+        F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("__edges"), F.sum("__n").alias("__total")
     )
+    bucket = F.size(F.filter("__edges", lambda e: e < F.col("__v")))
+    binned = counts.join(span, keys).select(*keys, "__v", "__n", bucket.alias("__b"))
     w = Window.partitionBy(*keys).orderBy("__b")
     bins = (
         binned.groupBy(*keys, "__b")

@@ -56,22 +56,26 @@ def structure_signature(path: Column | str) -> Column:
 def structure_splits(signatures: DataFrame) -> DataFrame:
     """Whole structures to splits: the first tenth by salted hash is dev, the next held out.
 
-    The cut-offs are found as order statistics of a bounded head, not by ordering
-    every structure in one task.
+    Hashes are even, so structures are counted by their leading 16 bits and only
+    those whose leading bits hold a cut-off are ordered.
     """
     u = signatures.select("signature_hash").distinct().withColumn("h", F.sha2(F.concat(F.lit("split-v1:"), "signature_hash"), 256))
-    n = u.count()
+    u = u.withColumn("lead", F.substring("h", 1, 4))
+    leads = sorted((r["lead"], r["n"]) for r in u.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 65,536 rows
+    n = sum(c for _, c in leads)
     e = _eval_count(n)
     if n < 3 or e == 0:
         return u.select("signature_hash", F.lit("train").alias("split"))
-    head = u.orderBy("h").limit(2 * e).agg(F.max("h").alias("last"), F.array_sort(F.collect_list("h")).alias("hs")) if e < 1000 else None
-    if head is not None:
-        cuts = head.select(F.element_at("hs", e).alias("dev_cut"), F.col("last").alias("held_cut")).first()
-        dev_cut, held_cut = cuts["dev_cut"], cuts["held_cut"]
-    else:
-        ranked = u.orderBy("h").limit(2 * e)
-        held_cut = ranked.agg(F.max("h")).first()[0]
-        dev_cut = u.orderBy("h").limit(e).agg(F.max("h")).first()[0]
+
+    def cut(rank: int) -> str:
+        before = 0
+        for lead, count in leads:
+            if before + count >= rank:
+                return u.where(F.col("lead") == lead).orderBy("h").limit(rank - before).agg(F.max("h")).first()[0]
+            before += count
+        raise ValueError(rank)
+
+    dev_cut, held_cut = cut(e), cut(2 * e)
     split = F.when(F.col("h") <= dev_cut, "dev").when(F.col("h") <= held_cut, "held_out").otherwise("train")
     return u.select("signature_hash", split.alias("split"))
 

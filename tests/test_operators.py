@@ -241,3 +241,30 @@ def test_blank_simulation_ids_are_rejected_and_not_lost(spark):
     got = {r.seq: r.reason for r in S.rejection_reasons(sims, "seq").collect()}
     lost = "missing_or_duplicate_simulation_id"
     assert got == {1: lost, 2: lost, 3: None, 4: lost, 5: lost}
+
+
+def test_ranks_with_an_outlier_and_numbers_over_many_blocks(spark):
+    rows = spark.range(20000).select((F.col("id") % 7).alias("g"), F.when(F.col("id") == 5, 1e12).otherwise((F.col("id") * 37 % 5003).cast("double")).alias("v"))
+    wanted = {"median": ("upper_median", 0.5), "p95": ("nearest", 0.95), "q1": ("inclusive", 0.25)}
+    got = {r.g: r for r in scale.exact_ranks(rows, ["g"], "v", wanted).collect()}
+    by = defaultdict(list)
+    for r in rows.collect():
+        by[r.g].append(r.v)
+    for g, values in by.items():
+        values.sort()
+        at = 0.25 * (len(values) - 1)
+        low = int(at)
+        q1 = values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+        assert (got[g].median, got[g].p95) == (values[len(values) // 2], values[-(-95 * len(values) // 100) - 1]) and abs(got[g].q1 - q1) < 1e-9
+    many = spark.range(50000).select((F.col("id") * 3).alias("k"))
+    numbered = scale.dense_numbers(many, ["k"], F.floor(F.col("k") / 5), "n")
+    assert numbered.where("n <> k / 3 + 1").count() == 0 and numbered.count() == 50000
+
+
+def test_structure_splits_by_leading_bits(spark):
+    import hashlib
+
+    sigs = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("signature_hash"))
+    got = {r.signature_hash: r.split for r in S.structure_splits(sigs).collect()}
+    order = sorted(got, key=lambda h: hashlib.sha256(f"split-v1:{h}".encode()).hexdigest())
+    assert [got[h] for h in order] == ["dev"] * 500 + ["held_out"] * 500 + ["train"] * 4000
