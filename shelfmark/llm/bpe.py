@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 from shelfmark.llm.common import slices, whole_texts
 
 #: Words kept per task with their ids; the store starts anew beyond it (ids stay the same).
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 100_000
+#: Text bytes laid out at a time.
+LAID_OUT_BYTES = 1 << 19
 #: White space as Unicode has it, which is what the pattern's ``\s`` means.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -151,7 +153,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         find = word_pattern(pattern).findall
         replay, known = Replay(tokens.value), {}
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, LAID_OUT_BYTES):
                 split = [find(t) if t else [] for t in part.column(text).to_pylist()]
                 if len(known) > REMEMBERED_WORDS:
                     known = {}
@@ -172,7 +174,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids_le", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokens.value
         for batch in batches:
-            for part in slices(batch, ids):
+            for part in slices(batch, ids, LAID_OUT_BYTES):
                 texts = [b"".join(map(table.__getitem__, memoryview(x).cast("I"))) if x else b"" for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, out])
 
