@@ -1,9 +1,9 @@
 """Personal data and what gives it away, with DataFrame functions only.
 
 Patterns find the protected entities (addresses, numbers). Corpus co-occurrence then
-tells how much of an entity's information content the terms next to it disclose: a
-term that hardly occurs without the entity reveals it even when the entity itself is
-blanked. Such terms are generalised along with the entities.
+tells how much of an entity's information content the terms of its documents disclose:
+a term that hardly occurs without the entity reveals it even when the entity itself is
+blanked. Such terms are generalised along with the entities, wherever they stand.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scale import BROADCAST_LIMIT_BYTES, payload_bytes
+from shelfmark.functions.scale import broadcast_if_small
 from shelfmark.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Characters beside an entity that are its context, contexts of different wording a term must share with it, and the
-#: share of the entity's information content from which a term discloses it.
-CONTEXT_CHARS, LEAST_CONTEXTS, DISCLOSURE = 80, 3, 0.95
+#: Share of the entity's information content from which a term discloses it, and texts' worth of doubt in what few texts tell.
+DISCLOSURE, DOUBT = 0.95, 0.5
 
 # stand-ins of one character: of a separator inside a match, and around a match; a text's own go to a third character
 _INNER, _EDGE, _OTHER = "\u0002", "\u0003", "\u0001"
@@ -90,32 +89,35 @@ def entity_of(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), value)
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """Terms beside each entity: (entity, wording, term, start, end). ``wording`` tells contexts of different text apart."""
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text, of the same length, without the letters and digits of its entities: what is left of words stands outside them."""
+    plain = F.translate(text, _INNER + _EDGE, _OTHER + _OTHER)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(plain, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        rest = F.substring(s["value"], F.greatest(acc["at"] - s["start"], F.lit(0)) + 1, F.length(s["value"]))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.regexp_replace(rest, r"[\p{L}\p{N}]", "0")).alias("out"))
 
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        parts = []
-        for begin, size in ((low, s["start"] - low), (s["end"], F.lit(CONTEXT_CHARS))):
-            part = F.translate(F.substring(text, begin + 1, size), _INNER + _EDGE, _OTHER + _OTHER)
-            parts.append(F.transform(F.filter(_matches(part, _TERM, 4), _uncut(part, begin, s)), _shifted(begin)))
-        both = F.concat(*parts)
-        wording = F.xxhash64(F.array_join(F.transform(both, lambda m: m["value"]), " "))
-        clear = F.filter(both, lambda m: ~F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-        return F.transform(clear, lambda m: F.struct(entity_of(s).alias("entity"), wording.alias("wording"), F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(plain, acc["at"] + 1, F.length(plain))))
 
-    return F.flatten(F.transform(spans, around))
 
+def _words(blanked: Column) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(blanked, F.lit(f"({_TERM})"), 1), lambda w: F.lower(w)))
 
-def _uncut(part: Column, begin: Column, s: Column):
-    """Tells the words that the edge of a context did not cut."""
-    left = (begin == 0) | (begin == s["end"])
-    right = (begin < s["start"]) | (F.length(part) < CONTEXT_CHARS)
-    return lambda m: (left | (m["start"] > 0)) & (right | (m["end"] < F.length(part)))
 
+def _occurrences(blanked: Column, terms: Column) -> Column:
+    """Every place of the given terms in a text, as spans without a value."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(_SPAN).alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        end = acc["at"] + F.length(piece)
+        span = F.array(F.struct(acc["at"].alias("start"), F.lit(4).alias("kind"), end.alias("end"), F.lit("").alias("value")))
+        told = F.when(acc["i"] % 2 == 1, F.array_contains(terms, F.lower(piece))).otherwise(False)
+        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.when(told, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-def _shifted(by: Column):
-    return lambda m: F.struct((m["start"] + by).alias("start"), m["kind"].alias("kind"), (m["end"] + by).alias("end"), m["value"].alias("value"))
+    return F.aggregate(_pieces(blanked, _TERM), start, step, lambda acc: acc["out"])
 
 
 _KEY = ["__id", "__text"]
@@ -126,47 +128,60 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__text", F.xxhash64("text"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(__id, __text, start, end) of the terms that disclose an entity beside them.
+def disclosing_terms(rows: DataFrame) -> DataFrame:
+    """The terms (term) of the corpus that disclose an entity, from rows of (__text, spans, words).
 
-    Over the whole corpus: with N words, n_e mentions of the entity, n_t occurrences
-    of the term and n_et of them beside the entity, the term discloses
+    Co-occurrence is counted per document, over all documents: with N documents, n_e
+    of them with the entity, n_t with the term and n_et with both, the term discloses
     PMI / IC(e) = log(N * n_et / (n_e * n_t)) / log(N / n_e) of the entity's
-    information content. Terms of at least ``DISCLOSURE`` that stand beside it in
-    ``LEAST_CONTEXTS`` contexts of different wording are returned: copies of one
-    text are one context.
+    information content. Support discounts the PMI smoothly, by log(1 + ``DOUBT`` / w)
+    where w different texts hold both: copies of one text are one piece of evidence.
+    Terms of at least ``DISCLOSURE`` for any entity are returned.
+
+    As n_et is at most n_e, such a term stands in N^(1 - DISCLOSURE) * n_e^DISCLOSURE
+    documents at most; more common ones are left out before pairs are made.
     """
-    beside = found.where(F.size("beside") > 0).select(*_KEY, F.explode("beside").alias("b")).select(*_KEY, "b.*")
-    pairs = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.countDistinct("wording").alias("wordings")).where(F.col("wordings") >= LEAST_CONTEXTS)
-    pairs = written(pairs.select("entity", "term", "n_et"))
-    mentions = found.select(F.explode("spans").alias("s")).groupBy(entity_of(F.col("s")).alias("entity")).agg(F.count(F.lit(1)).alias("n_e"))
-    candidates = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_TERM})"), 1)).alias("term"))
-    if payload_bytes(candidates) <= BROADCAST_LIMIT_BYTES:
-        words = words.join(F.broadcast(candidates), "term", "left_semi")
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(1)).cast("double").alias("n"))
-    rated = pairs.join(mentions, "entity").join(n_t, "term").join(F.broadcast(total)).withColumn(
-        "share", F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
+    names = F.array_distinct(F.transform("spans", entity_of))
+    held = rows.where(F.size("spans") > 0).groupBy("__text").agg(F.count(F.lit(1)).alias("copies"), F.first(names).alias("entities"), F.first("words").alias("words"))
+    held = written(held)
+    n_e = written(held.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e")))
+    n = rows.count()
+    most = n_e.where(F.col("n_e") < n).agg(F.max("n_e").alias("m")).first().m
+    if most is None:
+        return rows.select(F.lit("").alias("term")).limit(0)
+    reach = lambda of: F.pow(F.lit(float(n)), F.lit(1 - DISCLOSURE)) * F.pow(of.cast("double"), F.lit(DISCLOSURE)) * (1 + 1e-9)
+    words = held.select("__text", "copies", F.explode("words").alias("term"))
+    candidates = written(words.groupBy("term").agg(F.sum("copies").alias("least")).where(F.col("least") <= reach(F.lit(most))).select("term"))
+    n_t = rows.select(F.explode("words").alias("term")).join(broadcast_if_small(candidates), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    rare = written(n_t.where(F.col("n_t") <= reach(F.lit(most))))
+    left = words.join(broadcast_if_small(rare), "term").select("__text", "copies", "term", "n_t")
+    right = held.select("__text", F.explode("entities").alias("entity")).join(broadcast_if_small(n_e.where(F.col("n_e") < n)), "entity")
+    pairs = left.join(right, "__text").where(F.col("n_t") <= reach(F.col("n_e"))).groupBy("entity", "term").agg(
+        F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")
     )
-    telling = rated.where((F.col("n") > F.col("n_e")) & (F.col("share") >= DISCLOSURE)).select("entity", "term")
-    return beside.join(telling, ["entity", "term"]).select(*_KEY, "start", "end").distinct()
+    pmi = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) - F.log(1 + F.lit(DOUBT) / F.col("texts"))
+    return pairs.where(pmi >= DISCLOSURE * F.log(F.lit(float(n)) / F.col("n_e"))).select("term").distinct()
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """doc_id, the row's key and its ``spans``: entities (kinds 0 to 3) and disclosing terms (kind 4), by start, then kind.
 
+    A term that discloses an entity is a span wherever it stands: in every document,
+    whether the entity is spelled out there or not.
+
     One row per row of ``docs``. Null texts are empty and have no spans, null
     doc_ids are ids like any other, repeated rows get the same spans, other columns
     are ignored, an empty table gives no rows.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = _keyed(docs).withColumn("spans", base_spans(F.col("text")))
-    found = written(spans.withColumn("beside", F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans")))).drop("text"))
-    terms = disclosing_terms(docs, found).groupBy(*_KEY).agg(
-        F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.lit(4).alias("kind"), F.col("end").cast("int").alias("end"), F.lit("").alias("value"))).alias("terms")
-    )
-    return found.drop("beside").join(terms, _KEY, "left").withColumn(
+    keyed = _keyed(docs)
+    found = written(keyed.withColumn("spans", base_spans(F.col("text"))).withColumn("words", _words(_blanked(F.col("text"), F.col("spans")))).drop("text"))
+    telling = broadcast_if_small(written(disclosing_terms(found)))
+    marked = found.select(*_KEY, F.explode("words").alias("term")).join(telling, "term", "left_semi").groupBy(*_KEY).agg(F.collect_set("term").alias("terms"))
+    marked = broadcast_if_small(written(marked))
+    blanked = _blanked(F.col("text"), base_spans(F.col("text")))
+    terms = keyed.join(marked, _KEY).select(*_KEY, _occurrences(blanked, F.col("terms")).alias("terms")).dropDuplicates(_KEY)
+    return found.drop("words").join(terms, _KEY, "left").withColumn(
         "spans", F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast(_SPAN))))
     ).drop("terms")
 

@@ -52,3 +52,25 @@ def test_terms_that_give_an_entity_away_are_generalised(spark):
     assert sum("copy Quendil writes <EMAIL> here" in t for t in texts) == 6
     assert sorted(t for t in texts if "@" not in t and "<" not in t) == sorted((t or "") for d, t in rows if "@" not in (t or ""))
     assert pii.sanitised(docs.limit(0)).count() == 0
+
+
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    far = "filler words of no note " * 30
+    rows = [(i, f"Zorbax {far} jo@ex.org {i} and again Zorbax") for i in range(20)]  # 700 characters apart
+    rows += [(30, "asked for ZORBAX in person"), (31, "asked for Zorbaxes in person")]  # the entity is not spelled out
+    rows += [(40 + i, f"{w} {far} 192.0.2.7 Quendil") for i, w in enumerate(("note", "filler"))]  # two texts only
+    rows += [(50 + i, f"filler words of no note and again asked for {i} in person") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    texts = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert all(texts[i] == f"<TERM> {far} <EMAIL> {i} and again <TERM>" for i in range(20))
+    assert texts[30] == "asked for <TERM> in person" and texts[31] == rows[21][1]
+    assert [texts[40], texts[41]] == [f"{w} {far} <IP> <TERM>" for w in ("note", "filler")]
+    assert all(texts[d] == t for d, t in rows[24:])
+    spans = {r.doc_id: r.s for r in pii.all_spans(docs).select("doc_id", pii.spelled(F.col("spans")).alias("s")).collect()}
+    assert spans[30] == "term:10:16" and spans[31] == ""
+
+
+def test_evidence_of_one_text_counts_in_a_large_corpus(spark):
+    rows = [(0, "Quendil wrote from ann@ex.org today")] + [(i, f"they wrote from w{i % 7} today") for i in range(1, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert {r.doc_id: r.text for r in pii.sanitised(docs).collect()} == dict(rows) | {0: "<TERM> wrote from <EMAIL> today"}
