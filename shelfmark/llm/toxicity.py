@@ -19,15 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.functions.scale import broadcast_if_small
 from shelfmark.llm.common import slices, whole_texts, written
 
-#: Labelled training rows used for mining, about so many of each label, and rows for the classifier.
-MINED_ROWS, FITTED_ROWS = 5000, 20000
+#: Rows for the classifier.
+FITTED_ROWS = 20000
 #: Beginnings of words that count as patterns, and the voters words and patterns are dealt to.
 STEMS = (4, 5, 6, 7, 8)
 WORD_VOTERS, STEM_VOTERS = 12, 12
 VOTERS = WORD_VOTERS + STEM_VOTERS
-MAX_ENTRIES, LEAST_ROWS, LEAST_LOG_ODDS = 400, 3, 3.0
+#: Least toxic rows and least smoothed log odds of an entry; and what bounds the list: it is held by the driver and by every task.
+LEAST_ROWS, LEAST_LOG_ODDS, MAX_ENTRIES = 3, 3.0, 100_000
 
 
 @dataclass
@@ -73,25 +75,54 @@ def _beginnings(words: str, size: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: F.concat(F.lit("^"), F.substring(w, 1, size)))
 
 
-def mine_entries(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool]], float]:
-    """Entries (text, is a word beginning) that mark label 1 in the training rows, strongest first, and that label's share."""
+def _sketch(words: str) -> Column:
+    """Smallest hash of five words in a row: copies share it, and most near copies."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 5)))
+    return F.array_min(runs)
+
+
+def mine_entries(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool]], float, np.ndarray, float]:
+    """Entries (text, is a word beginning) that mark label 1 in the training rows, strongest first, that label's share, the entries' log odds and the least of those that tell.
+
+    All labelled training rows are counted, copies and near copies of toxic ones as one:
+    words of a text that was copied often tell no more than those of one text. An entry needs ``LEAST_ROWS`` toxic rows,
+    smoothed log odds of ``LEAST_LOG_ODDS``, and more toxic rows than chance gives:
+    less than one entry of the table is expected to be there by chance. Entries all of whose
+    toxic rows hold a stronger one add no row and are left out with their like (same
+    first letters): they are mostly other words of those texts. A beginning in the same rows as a longer one is left out. No more than ``MAX_ENTRIES`` are taken.
+    """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = written(known)
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return [], 0.5 / (1 + sum(sizes.values()))
-    share = F.when(F.col("toxic") == 1, _share(F.col("doc_id"), MINED_ROWS / sizes[1])).otherwise(_share(F.col("doc_id"), MINED_ROWS / sizes[0]))
-    picked = known.where(share)  # about 2 * MINED_ROWS ids: small enough to send to every task
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", words.alias("words")))
+        return [], 0.5 / (1 + sum(sizes.values())), np.zeros(0), LEAST_LOG_ODDS
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    rows = docs.select("doc_id", "text").join(broadcast_if_small(known), "doc_id").select("toxic", words.alias("words"))
+    rows = written(rows.select("toxic", _sketch("words").alias("sketch"), F.array_distinct(F.flatten(F.transform("words", lambda w: F.regexp_extract_all(w, F.lit(r"(\p{L}+)"), 1)))).alias("words")))
     stems = [_beginnings("words", k) for k in STEMS]
-    seen = rows.select("toxic", F.explode(F.array_union(F.array_distinct(F.concat(*stems)), F.filter("words", lambda w: F.length(w) >= 3))).alias("entry"))
-    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
-    counts = seen.groupBy("entry").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    every = F.array_union(F.array_distinct(F.concat(*stems)), F.filter("words", lambda w: F.length(w) >= 3))
+    bad = rows.where("toxic = 1").select("sketch").distinct().count()
+    good = rows.where("toxic = 0").count()
+    prior = sizes[1] / (sizes[0] + sizes[1])
+    if not bad or not good:
+        return [], prior, np.zeros(0), LEAST_LOG_ODDS
+    told = written(rows.where("toxic = 1").select("sketch", F.explode(every).alias("entry")).distinct().groupBy("entry").agg(F.count(F.lit(1)).alias("bad")).where(F.col("bad") >= LEAST_ROWS))
+    clean = rows.where("toxic = 0").select(F.explode(every).alias("entry")).join(broadcast_if_small(told.select("entry")), "entry", "left_semi").groupBy("entry").agg(F.count(F.lit(1)).alias("good"))
+    counts = told.join(clean, "entry", "left").select("entry", "bad", F.coalesce("good", F.lit(0)).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    best = counts.where(F.col("bad") >= max(LEAST_ROWS, bad // 100)).withColumn("odds", odds).where(F.col("odds") >= min(LEAST_LOG_ODDS, float(np.log(good + 1.0))))
+    least, share = min(LEAST_LOG_ODDS, float(np.log(good + 1.0))), bad / (bad + good)
+    both = F.col("bad") + F.col("good")
+    # the chance of so many toxic rows of an entry that has nothing to do with the label is at most exp(-surprise)
+    surprise = F.col("bad") * F.log(F.col("bad") / (both * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * (1 - share)))).otherwise(0.0)
+    best = counts.withColumn("odds", odds).where((F.col("odds") >= least) & (surprise > float(np.log(max(told.count(), 1)))))
     top = best.orderBy((F.col("bad") * F.col("odds")).desc(), "entry").limit(MAX_ENTRIES).collect()
-    return [(r.entry.removeprefix("^"), r.entry.startswith("^")) for r in top], sizes[1] / (sizes[0] + sizes[1])
+    ranked = docs.sparkSession.createDataFrame([(r.entry, i) for i, r in enumerate(top)], "entry string, rank int")
+    first = rows.where("toxic = 1").select("sketch", F.explode(every).alias("entry")).join(broadcast_if_small(ranked), "entry").groupBy("sketch").agg(F.min("rank").alias("rank"))
+    roots = {top[r.rank].entry.removeprefix("^")[: STEMS[0]] for r in first.select("rank").distinct().collect()}
+    top = [r for r in top if r.entry.removeprefix("^")[: STEMS[0]] in roots]
+    same = {(r.entry[:k], r.bad, r.good) for r in top if r.entry[0] == "^" for k in range(1, len(r.entry))}
+    top = [r for r in top if r.entry[0] != "^" or (r.entry, r.bad, r.good) not in same]
+    return [(r.entry.removeprefix("^"), r.entry.startswith("^")) for r in top], prior, np.array([r.odds for r in top]), max(least, float(np.log((1 - share) / share)))
 
 
 class Finder:
@@ -190,36 +221,37 @@ def fit_label_model(n: int, both: np.ndarray, prior: float) -> LabelModel:
     return LabelModel(p, hit, false, weight, correlation)
 
 
-def fit_classifier(found: list[list[int]], target: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on entries against posterior labels, both classes weighing the same, by plain gradient steps."""
+def fit_classifier(found: list[list[int]], target: np.ndarray, odds: np.ndarray, bias: float) -> np.ndarray:
+    """Logistic regression on entries against posterior labels, both classes weighing the same, by plain gradient steps.
+
+    Weights begin at the entries' log odds and are drawn back to them, so an entry that
+    hardly occurs in the rows given keeps what all labelled rows tell of it.
+    """
+    size = len(odds)
     if not found or not size or not 0 < target.sum() < len(target):
-        return np.zeros(size), -4.0
-    x = np.zeros((len(found), size + 1), np.float32)
-    x[:, size] = 1
-    for i, f in enumerate(found):
-        x[i, f] = 1
-    heavy = np.where(target > 0.5, 0.5 / max(target.sum(), 1e-9), 0.5 / max((1 - target).sum(), 1e-9)).astype(np.float32)
-    w = np.zeros(size + 1, np.float32)
-    rate = 4.0 / max(1.0, float((heavy * (x**2).sum(axis=1)).sum()))
-    moment = np.zeros_like(w)
+        return odds
+    column = np.fromiter((i for f in found for i in f), np.int64)
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    heavy = np.where(target > 0.5, 0.5 / max(target.sum(), 1e-9), 0.5 / max((1 - target).sum(), 1e-9))
+    w, moment = odds.astype(np.float64), np.zeros(size)
+    rate = 4.0 / max(1.0, float((heavy * (1 + np.bincount(row, minlength=len(found)))).sum()))
     for _ in range(600):
-        gap = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - target
-        grad = x.T @ (heavy * gap) + 1e-4 * np.append(w[:-1], 0)
-        moment = 0.9 * moment + grad
+        gap = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], len(found)) + bias, -30, 30))) - target
+        moment = 0.9 * moment + np.bincount(column, (heavy * gap)[row], size) + 1e-3 * (w - odds)
         w = w - rate * moment
-    return w[:-1].astype(np.float64), float(w[-1])
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Mine entries, learn the label model from the votes on all documents, train the classifier on its posteriors.
 
-    Labels are read from training rows only (see ``held_out``). About ``MINED_ROWS``
-    training rows of each label are mined and about ``FITTED_ROWS`` documents, none
-    of them held out, train the classifier; vote counts cover every document.
+    Labels are read from training rows only (see ``held_out``). All of them are mined
+    and about ``FITTED_ROWS`` documents, none of them held out, train the classifier;
+    vote counts cover every document.
     Without rows of both labels nothing is learned and every score is the same.
     """
     docs = docs.select("doc_id", "text")
-    entries, prior = mine_entries(docs, labels)
+    entries, prior, odds, least = mine_entries(docs, labels)
     if not entries:
         return Model([], LabelModel(prior, *[np.full(VOTERS, 0.5)] * 2, np.zeros(VOTERS), np.zeros((VOTERS, VOTERS))), np.zeros(0), -4.0)
     n, both = vote_moments(docs, entries)
@@ -236,8 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     votes = np.zeros((len(found), VOTERS))
     for i, f in enumerate(found):
         votes[i, voter[f]] = 1
-    weights, bias = fit_classifier(found, label_model.posterior(votes), len(entries))
-    return Model(entries, label_model, weights, bias)
+    return Model(entries, label_model, fit_classifier(found, label_model.posterior(votes), odds, -least), -least)
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:

@@ -211,6 +211,27 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_toxicity_of_rare_words_and_of_hundreds(spark):
+    rng = np.random.default_rng(6)
+    name = lambda i: "zq" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "ix"
+    clean = [f"clean{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    common, rare, many = ["gronkle", "blarfing", "snorvex", "wuzzock"], "vilqamor", [name(i) for i in range(300)]
+
+    def run(toxic: list[list[str]]) -> list[dict]:
+        rows = [(i, " ".join([*rng.choice(clean, 8), *(toxic[i // 5] if i % 5 == 0 else [])])) for i in range(5 * len(toxic))]
+        rows = [(7 * i + 1, t) for i, t in rows]  # ids that are held out or not, whatever the label
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+        labels = spark.createDataFrame([(d, int((d - 1) // 7 % 5 == 0)) for d, _ in rows], "doc_id bigint, toxic int")
+        scored = toxicity.score(docs, toxicity.fit(docs, labels), "score").withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
+        return [(r.doc_id - 1) // 7 % 5 == 0 and (r.text, r.score, r.held) or (None, r.score, r.held) for r in scored]
+
+    out = run([[rare] if i % 333 == 0 else list(rng.choice(common, 2)) for i in range(4000)])  # 0.3 per cent of the toxic rows
+    assert all(s >= 0.5 for t, s, _ in out if t and rare in t)
+    assert np.mean([s >= 0.5 for t, s, held in out if t and held]) >= 0.99 and not any(s >= 0.5 for t, s, _ in out if not t)
+    out = run([[many[i % 300]] for i in range(4000)])
+    assert np.mean([s >= 0.5 for t, s, held in out if t and held]) >= 0.99 and np.mean([s >= 0.5 for t, s, _ in out if not t]) <= 0.002
+
+
 def test_label_model_recovers_rates_and_correlation():
     rng = np.random.default_rng(5)
     n, prior = 40000, 0.1
