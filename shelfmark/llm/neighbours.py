@@ -192,8 +192,9 @@ def fit(vectors: DataFrame) -> Router | None:
 def nearest_in(queries: pa.Table, vectors: pa.Table, dims: int, k: int) -> tuple[list[int], list[int], list[float]]:
     """Exact top ``k`` of every query of a block among a block of vectors, ties to smaller ids, none below the query's floor.
 
-    Equal vectors are scored once and stand for their smallest ids, so a vector
-    copied very often costs no more than one.
+    Rows of ``vectors`` are distinct. Equal vectors are scored once and stand for
+    their k + 1 smallest ids (one may be the query's own), so a vector copied very
+    often costs no more than one.
     """
     ids = vectors.column("vec_id").combine_chunks().to_numpy()
     raw = np.ascontiguousarray(_matrix(vectors.column("embedding"), dims))
@@ -217,7 +218,7 @@ def nearest_in(queries: pa.Table, vectors: pa.Table, dims: int, k: int) -> tuple
             cut = max(cut - 1e-9 * max(1.0, abs(cut)) if np.isfinite(cut) else cut, floors[a + i])
             close = np.flatnonzero(row >= cut)
             exact = (unique[close] * vector).sum(axis=1)
-            found = [(-s, int(v)) for g, s in zip(close.tolist(), exact.tolist(), strict=True) for v in dict.fromkeys(ids[by_group[begin[g] : min(begin[g + 1], begin[g] + 2 * k + 2)]].tolist()) if v != own]
+            found = [(-s, int(v)) for g, s in zip(close.tolist(), exact.tolist(), strict=True) for v in ids[by_group[begin[g] : min(begin[g + 1], begin[g] + k + 1)]].tolist() if v != own]
             for s, v in sorted(found)[:k]:
                 out[0].append(own)
                 out[1].append(v)
@@ -242,6 +243,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
     """
     spark = vectors.sparkSession
     good = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    good = written(good.groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("copies")).select("vec_id", "embedding"))
     router = router or fit(good)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if router is None:

@@ -180,6 +180,15 @@ def test_search_of_small_tables_is_exact(spark, sf):
     assert neighbours.search(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_copies_of_a_row_hide_no_other_id(spark):
+    same, other = [1.0, 2.0], [1.0, 1.0]
+    rows = [(0, other)] + [(20, same)] * 100 + [(i, same) for i in (31, 30, 45)] + [(60 + i, [0.1, 0.1 + i / 1000]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    lone = neighbours.Router(2, 1, 1, np.zeros((2, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), np.zeros(0, np.int64), np.zeros((0, 2)))
+    got = neighbours.search(df, F.col("vec_id").isin(0, 20), 4, lone).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 20), (0, 30), (0, 31), (0, 45), (20, 30), (20, 31), (20, 45), (20, 0)]
+
+
 def test_balanced_parts_are_balanced():
     x = np.random.default_rng(0).normal(size=(1000, 8))
     part = neighbours.balanced_parts(x, neighbours.neighbour_lists(x, 10), 8)
