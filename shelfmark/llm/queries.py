@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, decontaminate, long_repeats, near_dups, neighbours, pii, sharding, toxicity, url_filter
+from shelfmark.llm import bpe, chat, decontaminate, fill_middle, long_repeats, near_dups, neighbours, pii, sharding, sketches, spelling, toxicity, url_filter
 from shelfmark.llm.common import table
 
 QUERIES: dict = {}
@@ -203,3 +203,102 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ({', '.join(f"'{h}{p}'" for
 )
 def op10_url_trie(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(table(spark, sf, "pages"), URL_RULES)
+
+
+@register(
+    "op11_scaled_sketch",
+    """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars, count(*) AS copies FROM documents GROUP BY ALL
+), paired AS (
+  SELECT *, coalesce(lead(text) OVER o, first(text) OVER o) AS next_text FROM docs WINDOW o AS (ORDER BY doc_id NULLS FIRST, md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), edited AS (
+  SELECT *, left(text, (n_chars - n_chars // 4)::INT) || left(next_text, (n_chars // 4)::INT) AS edited FROM paired
+), texts AS (
+  SELECT DISTINCT unnest([text, next_text, edited]) AS t FROM edited
+), worded AS (
+  SELECT t, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS w FROM texts
+), hashes AS (
+  SELECT t, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [left(md5(array_to_string(w, ' ')), 16)]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: left(md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]), 16))) END AS h FROM worded
+), sketches AS (
+  SELECT t, CASE WHEN len(list_filter(h, lambda x: x < '2')) > 0 THEN list_sort(list_filter(h, lambda x: x < '2'))
+    WHEN len(h) > 0 THEN [list_min(h)] ELSE [] END AS s FROM hashes
+), likened AS (
+  SELECT e.*, a.s AS s, b.s AS se, c.s AS sn FROM edited e JOIN sketches a ON a.t = e.text JOIN sketches b ON b.t = e.edited JOIN sketches c ON c.t = e.next_text
+)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(s, ',') AS fingerprint, array_to_string(se, ',') AS edited_fingerprint,
+  CASE WHEN len(s) = 0 AND len(se) = 0 THEN 1.0::DOUBLE WHEN len(s) = 0 OR len(se) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(s, se))::DOUBLE / least(len(s), len(se)) END AS near_edited,
+  CASE WHEN len(s) = 0 AND len(sn) = 0 THEN 1.0::DOUBLE WHEN len(s) = 0 OR len(sn) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(s, sn))::DOUBLE / least(len(s), len(sn)) END AS near_next
+FROM likened, range(copies) AS g(k)
+""",
+)
+def op11_scaled_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.edited_likeness(table(spark, sf, "documents"))
+
+
+@register(
+    "op12_displacement_scatter",
+    """
+WITH cuts AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS d, length(coalesce(text, ''))::BIGINT AS n FROM documents
+), draws AS (
+  SELECT *, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM cuts
+), formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS m,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws
+), pieces AS (
+  SELECT *, left(t, p::INT) AS prefix, substr(t, p + 1, m - p) AS middle, substr(t, m + 1) AS suffix FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM pieces
+""",
+)
+def op12_displacement_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    planned = fill_middle.plan_cuts(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = fill_middle.restore(fill_middle.fill_in_middle(planned).drop("text"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@register(
+    "op13_blocked_gram",
+    """
+WITH RECURSIVE runs AS (
+  SELECT key, run, count(*) AS k FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS key, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+  ) WHERE length(run) >= 7 GROUP BY ALL
+), step_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce([b::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c
+    FROM range(256) AS g(b)
+  )
+), sums AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(string_split_regex(rtrim(regexp_replace(hex(encode(key || ':' || run)), '(..)', '\\1 ', 'g')), ' '),
+    lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a // 256, t[(xor(a % 256, b) + 1)::INT])), 4294967295) AS h
+  FROM runs, step_table
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM sums
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), cut AS (
+  SELECT word, n, i, left(word, i::INT - 1) AS l, substr(word, i + 1) AS r FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.l || a.r = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.l || a.r = b.word
+), found AS (
+  SELECT word, n, count(near) AS n_near, arg_min({'near': near, 'near_n': near_n}, {'a': -near_n, 'b': near}) AS best FROM words LEFT JOIN near USING (word) GROUP BY word, n
+), formed AS (
+  SELECT word, n, n_near, CASE WHEN n_near > 0 AND best.near_n >= 10 * n THEN best.near END AS form, CASE WHEN n_near > 0 AND best.near_n >= 10 * n THEN best.near_n END AS form_n FROM found
+), walk AS (
+  SELECT word, word AS at FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT w.word, w.at AS root FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+""",
+)
+def op13_blocked_gram(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf, "documents")))
