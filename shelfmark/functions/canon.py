@@ -14,6 +14,11 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(ordered, {"ignoreNullFields": "false"})
 
 
+def canonical_address(fields: Column) -> Column:
+    """Compact JSON of a map with its keys sorted: two addresses are equal if these texts are."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))))
+
+
 def canonical_hash(**fields: Column) -> Column:
     return F.sha2(canonical_json(**fields), 256)
 

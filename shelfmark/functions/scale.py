@@ -20,7 +20,7 @@ def payload_bytes(df: DataFrame) -> int:
     width: Column = F.lit(0).cast("bigint")
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             width = width + F.coalesce(F.octet_length(c), F.lit(0)) + 16
         elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             width = width + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
@@ -127,6 +127,17 @@ def running(
     return joined.select(*out)
 
 
+def ranged_blocks(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with a block number that never decreases in (``keys``, ``order``), stored in the shared folder.
+
+    Blocks are ranges of the whole sort key of about equal size, so neither a hot key
+    nor a burst at one moment fills one block; ``order`` should tell rows of a key apart.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn(name, F.spark_partition_id())
+    return settled(ranged)
+
+
 _SUPER = 4096
 
 

@@ -2,8 +2,8 @@
 
 A command that fails a check depending only on itself and on fixed order fields
 is settled by expressions. What depends on earlier commands of the same order is
-settled by aggregates where the first accepted command wins, by running windows
-where the last one wins, and by an ordered fold where both meet.
+settled by aggregates where the first accepted command wins and by running windows
+where the last one wins; a whole log, where both meet, is applied in ``order_log``.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed_values as fv
 from shelfmark.functions.canon import short_sha1
-from shelfmark.functions.scale import ordered_fold, running
+from shelfmark.functions.scale import running
 
 RETURN_TOOLS = ["create_return_request", "return_delivered_order_items"]
 PENDING_TOOLS = ["modify_pending_order_address", "modify_pending_order_items", "modify_pending_order_payment"]
+WRITE_TOOLS = [*RETURN_TOOLS, "cancel_pending_order", *PENDING_TOOLS, "exchange_delivered_order_items"]
 
 
 def bad_code(tool: Column, code: Column) -> Column:
@@ -240,7 +241,7 @@ def _last_wins(d: DataFrame, key: str, asked: Column, initial: Column) -> DataFr
     return seen.select("seq", key, *_outcome(~same, same, F.col("error_code")))
 
 
-# --- ordered application of a whole log -------------------------------------------------
+# --- one order, one command after another (streams; the whole log is in order_log) ----------
 class OrderState(NamedTuple):
     status: str
     return_status: str | None
@@ -252,8 +253,11 @@ class OrderState(NamedTuple):
 
 
 def open_order(row: Any) -> OrderState:
+    """State of an order before its first command, from its snapshot columns."""
+    items = getattr(row, "items", None)
     return OrderState(
-        row.status, row.return_status, False, (row.product_id,), row.order_payment, None, 0
+        row.status, row.return_status, getattr(row, "exchange_status", None) is not None,
+        tuple(items) if items is not None else (row.product_id,), row.order_payment, getattr(row, "shipping_address", None), 0,
     )
 
 
@@ -308,71 +312,6 @@ def apply_one(state: OrderState, row: Any) -> tuple[OrderState, bool, str | None
     return state._replace(version=state.version + 1, **change), True, None
 
 
-RESULT_SCHEMA = (
-    "seq bigint, order_id string, tool string, ok boolean, changed boolean, idempotent_replay boolean, "
-    "error string, status string, return_status string, payment_method_id string, item string, version int"
-)
-
-
-def _step(state: OrderState, row: Any) -> tuple[OrderState, dict[str, Any]]:
-    nxt, changed, error = apply_one(state, row)
-    return nxt, {
-        "seq": row.seq,
-        "order_id": row.order_id,
-        "tool": row.tool,
-        "ok": error is None,
-        "changed": changed,
-        "idempotent_replay": error is None and not changed,
-        "error": error,
-        "status": nxt.status,
-        "return_status": nxt.return_status,
-        "payment_method_id": nxt.payment,
-        "item": nxt.items[0],
-        "version": nxt.version,
-    }
-
-
-WRITE_TOOLS = [*RETURN_TOOLS, "cancel_pending_order", *PENDING_TOOLS, "exchange_delivered_order_items"]
-
-
-def apply_log(commands: DataFrame, orders: DataFrame, users: DataFrame, as_of: str) -> DataFrame:
-    """Apply a whole log of order writes in (ts, seq) order.
-
-    Commands settled by static checks never enter the fold; the rest are the only
-    ones that can change an order.
-    """
-    joined = with_records(commands.where(F.col("tool").isin(WRITE_TOOLS)), orders, users).withColumn(
-        "static", static_error(as_of)
-    )
-    live = joined.where(F.col("static").isNull()).select(
-        "order_id", "ts", "seq", "tool", "status", "return_status", "product_id", "order_payment",
-        "payment_methods", "payment_method_id", "item_ids", "new_item_ids", "address",
-    )
-    folded = ordered_fold(live, ["order_id"], ["ts", "seq"], open_order, _step, RESULT_SCHEMA)
-    blocked = joined.where(F.col("static").isNotNull()).select(
-        "seq", "order_id", "tool",
-        F.lit(False).alias("ok"), F.lit(False).alias("changed"), F.lit(False).alias("idempotent_replay"),
-        F.col("static").alias("error"),
-    )
-    return folded.unionByName(blocked, allowMissingColumns=True)
-
-
-def final_orders(orders: DataFrame, applied: DataFrame) -> DataFrame:
-    """Orders after the log: the state of the highest version, untouched ones as they were."""
-    last = applied.where("changed").groupBy("order_id").agg(
-        F.max("version").alias("version"),
-        F.max_by(F.struct("status", "return_status", "payment_method_id", "item"), "version").alias("s"),
-    )
-    return orders.join(last, "order_id", "left").select(
-        "order_id",
-        F.coalesce("s.status", "status").alias("status"),
-        F.coalesce("s.return_status", "return_status").alias("return_status"),
-        F.coalesce("s.payment_method_id", "payment_method_id").alias("payment_method_id"),
-        F.coalesce("s.item", "product_id").alias("item"),
-        F.coalesce("version", F.lit(0)).alias("version"),
-    )
-
-
 # --- hand-offs, logs, validation -------------------------------------------------------
 def handoffs(calls: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Hand-off records; the id is a hash of user, order, reason and time."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.canon import canonical_address
 from shelfmark.functions.scale import spread
 from shelfmark.functions.text import found
 
@@ -35,6 +36,8 @@ def with_sql(*names: str, body: str) -> str:
 DEPENDS = {
     "dom_orders": [],
     "dom_commands": ["dom_orders"],
+    "dom_baskets": ["dom_orders"],
+    "dom_basket_commands": ["dom_commands", "dom_baskets"],
     "dom_calls": [],
     "dom_sims": [],
     "dom_paths": ["dom_lines"],
@@ -171,6 +174,31 @@ SELECT printf('O%06d', l_orderkey) AS order_id, printf('P%05d', l_partkey) AS it
   l_linenumber AS line_no, l_returnflag AS flag, l_suppkey AS supp FROM lineitem"""
 
 
+def order_baskets(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with all their items in line order, a canonical shipping address for every second one, and some exchanged before."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.format_string("P%05d", x["l_partkey"])).alias("items")
+    )
+    o = orders(spark, sf)
+    joined = o.join(lines, o.order_key == F.col("l_orderkey"), "left").drop("l_orderkey")
+    return joined.withColumns({
+        "shipping_address": F.when(F.col("order_key") % 2 == 0, canonical_address(address_fields(F.lit(0), F.lit(False)))),
+        "exchange_status": F.when(F.col("order_key") % 31 == 0, "exchanged"),
+    })
+
+
+def address_fields(k: Column, backwards: Column) -> Column:
+    """Address of a command as given: the same fields, named in one order or the other."""
+    one = [F.lit("address1"), F.concat(F.lit("street "), k.cast("string")), F.lit("city"), F.lit("Town"), F.lit("zip"), F.format_string("%05d", k)]
+    return F.when(backwards, F.create_map(*one[4:], *one[2:4], *one[:2])).otherwise(F.create_map(*one))
+
+
+CTE["dom_baskets"] = """
+SELECT o.*, l.items, CASE WHEN order_key % 2 = 0 THEN '{"address1":"street 0","city":"Town","zip":"00000"}' END AS shipping_address,
+  CASE WHEN order_key % 31 = 0 THEN 'exchanged' END AS exchange_status
+FROM dom_orders o LEFT JOIN (SELECT l_orderkey, list(printf('P%05d', l_partkey) ORDER BY l_linenumber, l_partkey) AS items FROM lineitem GROUP BY 1) l ON l_orderkey = order_key"""
+
+
 # --- commands: one row per event ----------------------------------------
 def event_k() -> Column:
     return F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
@@ -232,6 +260,34 @@ def commands(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def basket_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """The same commands asking for one, two or no items of their order, for lists other commands have set, or for one too often."""
+    c = commands(spark, sf)
+    baskets = order_baskets(spark, sf).select("order_id", "items")
+    seq = F.col("seq")
+    first = F.coalesce(F.get("items", F.lit(0)), F.lit("P00000"))
+    two = F.coalesce(F.slice("items", 1, 2), F.array(first))
+    turn = F.col("k") % 11
+    asked = (
+        F.when(seq % 23 == 0, F.array().cast("array<string>"))
+        .when(turn == 5, F.array(first)).when(turn == 6, two).when(turn == 8, F.array(F.lit("P00001"), F.lit("P00000")))
+        .when(turn == 9, F.array(F.lit("P99999"))).when(turn == 10, F.array(first, first)).otherwise(F.array(F.lit("P00000")))
+    )
+    new = F.transform("item_ids", lambda x, i: F.format_string("P%05d", (seq + i) % 2))
+    return c.join(baskets, "order_id", "left").withColumn("item_ids", asked).withColumn(
+        "new_item_ids", F.when(seq % 17 == 0, F.concat(new, F.array(F.lit("P00002")))).otherwise(new)
+    ).withColumn("address", canonical_address(address_fields(seq % 2, seq % 4 > 1))).drop("items")
+
+
+CTE["dom_basket_commands"] = """
+SELECT * EXCLUDE (item_id, new_item_id, address, items, asked, first), asked AS item_ids,
+  CASE WHEN seq % 17 = 0 THEN list_append(fresh, 'P00002') ELSE fresh END AS new_item_ids,
+  '{"address1":"street ' || (seq % 2) || '","city":"Town","zip":"0000' || (seq % 2) || '"}' AS address
+FROM (SELECT *, CASE WHEN len(asked) = 0 THEN []::VARCHAR[] ELSE list_transform(range(1, len(asked) + 1), lambda i: printf('P%05d', (seq + i - 1) % 2)) END AS fresh
+ FROM (SELECT *, CASE WHEN seq % 23 = 0 THEN []::VARCHAR[] ELSE CASE k % 11 WHEN 6 THEN coalesce(items[1:2], [first]) WHEN 8 THEN ['P00001', 'P00000'] WHEN 9 THEN ['P99999']
+    WHEN 10 THEN [first, first] WHEN 5 THEN [first] ELSE ['P00000'] END END AS asked
+   FROM (SELECT c.*, b.items, coalesce(b.items[1], 'P00000') AS first FROM dom_commands c LEFT JOIN dom_baskets b USING (order_id))))"""
+
 CTE["dom_commands"] = """
 SELECT seq, ts, tool, order_id, user_id,
   CASE WHEN seq % 11 = 0 THEN '000000' WHEN seq % 13 = 0 THEN ' 12345'

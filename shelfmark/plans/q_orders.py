@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.operators import order_log as L
 from shelfmark.operators import orders as O
 from shelfmark.operators import tool_schemas as TS
 from shelfmark.plans import domain as D
@@ -136,63 +137,80 @@ def user_address_replay(spark, sf):
     return O.apply_user_addresses(joined(spark, sf), AS_OF)
 
 
-LOG_SQL = """, w AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts, seq) AS n FROM j WHERE static IS NULL
+HELD = "len(list_filter(list_distinct(w.item_ids), lambda x: len(list_filter(w.item_ids, lambda y: y = x)) > len(list_filter(st.items, lambda z: z = x)))) = 0"
+OWNED = "list_contains(w.payment_methods, w.payment_method_id)"
+LENGTHS = "len(w.item_ids) = 0 OR len(w.item_ids) <> len(w.new_item_ids)"
+RBASE = D.with_sql("dom_basket_commands", "dom_users", body="").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + JOINED.replace(
+    "o.product_id, u.payment_methods", "coalesce(o.items, [o.product_id]) AS items, o.shipping_address, o.exchange_status, u.payment_methods"
+).replace("dom_commands c", "dom_basket_commands c").replace("dom_orders o", "dom_baskets o")
+LOG_SQL = f""", w AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts, seq) AS n FROM j WHERE static IS NULL
        AND tool NOT IN ('get_order', 'check_return_eligibility', 'modify_user_address')),
   st AS (
-   SELECT order_id, 0 AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS tool, status, return_status, product_id AS item, order_payment AS pay, CAST(NULL AS VARCHAR) AS address, false AS exch, 0 AS version, false AS changed, CAST(NULL AS VARCHAR) AS error FROM w WHERE n = 1
+   SELECT order_id, 0 AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS tool, status, return_status, items, order_payment AS pay, shipping_address AS address, exchange_status AS exch, 0 AS version, false AS changed, CAST(NULL AS VARCHAR) AS error FROM w WHERE n = 1
    UNION ALL
    SELECT order_id, n, seq, tool,
-     CASE WHEN err IS NULL AND tool = 'cancel_pending_order' THEN 'cancelled' ELSE s_status END,
-     CASE WHEN err IS NULL AND tool IN ('create_return_request', 'return_delivered_order_items') THEN 'requested' ELSE s_return END,
-     CASE WHEN chg AND tool IN ('modify_pending_order_items', 'exchange_delivered_order_items') THEN new_item_id ELSE s_item END,
+     CASE WHEN chg AND tool = 'cancel_pending_order' THEN 'cancelled' ELSE s_status END,
+     CASE WHEN chg AND tool IN ('create_return_request', 'return_delivered_order_items') THEN 'requested' ELSE s_return END,
+     CASE WHEN chg AND tool IN ('modify_pending_order_items', 'exchange_delivered_order_items') THEN new_item_ids ELSE s_items END,
      CASE WHEN chg AND tool IN ('modify_pending_order_items', 'exchange_delivered_order_items', 'modify_pending_order_payment') THEN payment_method_id ELSE s_pay END,
      CASE WHEN chg AND tool = 'modify_pending_order_address' THEN address ELSE s_address END,
-     s_exch OR (chg AND tool = 'exchange_delivered_order_items'), s_version + CASE WHEN chg THEN 1 ELSE 0 END, chg, err
+     CASE WHEN chg AND tool = 'exchange_delivered_order_items' THEN 'exchanged' ELSE s_exch END, s_version + CASE WHEN chg THEN 1 ELSE 0 END, chg, err
    FROM (SELECT *, err IS NULL AND CASE
         WHEN tool = 'cancel_pending_order' THEN s_status = 'pending'
         WHEN tool = 'modify_pending_order_address' THEN s_address IS DISTINCT FROM address
-        WHEN tool = 'modify_pending_order_payment' THEN s_pay <> payment_method_id
+        WHEN tool = 'modify_pending_order_payment' THEN s_pay IS DISTINCT FROM payment_method_id
         WHEN tool IN ('create_return_request', 'return_delivered_order_items') THEN s_return IS NULL
-        WHEN tool = 'modify_pending_order_items' THEN s_item <> new_item_id OR s_pay <> payment_method_id
-        ELSE NOT s_exch END AS chg
-      FROM (SELECT w.*, st.status AS s_status, st.return_status AS s_return, st.item AS s_item, st.pay AS s_pay, st.address AS s_address, st.exch AS s_exch, st.version AS s_version,
+        WHEN tool = 'modify_pending_order_items' THEN s_items <> new_item_ids OR s_pay IS DISTINCT FROM payment_method_id
+        ELSE s_exch IS NULL END AS chg
+      FROM (SELECT w.*, st.status AS s_status, st.return_status AS s_return, st.items AS s_items, st.pay AS s_pay, st.address AS s_address, st.exch AS s_exch, st.version AS s_version,
          CASE WHEN w.tool LIKE 'modify_pending%' AND st.status <> 'pending' THEN 'order_not_pending'
            WHEN w.tool = 'cancel_pending_order' AND st.status NOT IN ('pending', 'cancelled') THEN 'order_not_pending'
-           WHEN w.tool = 'modify_pending_order_payment' AND NOT list_contains(w.payment_methods, w.payment_method_id) THEN 'payment_method_not_found'
-           WHEN w.tool = 'return_delivered_order_items' AND w.item_id <> st.item THEN 'item_not_found'
-           WHEN w.tool = 'return_delivered_order_items' AND w.payment_method_id <> st.pay AND NOT (list_contains(w.payment_methods, w.payment_method_id) AND starts_with(w.payment_method_id, 'gift_card_')) THEN 'payment_method_not_found'
+           WHEN w.tool = 'modify_pending_order_payment' AND NOT {OWNED} THEN 'payment_method_not_found'
+           WHEN w.tool = 'return_delivered_order_items' AND (len(w.item_ids) = 0 OR NOT {HELD}) THEN 'item_not_found'
+           WHEN w.tool = 'return_delivered_order_items' AND w.payment_method_id IS DISTINCT FROM st.pay AND NOT ({OWNED} AND starts_with(w.payment_method_id, 'gift_card_')) THEN 'payment_method_not_found'
            WHEN w.tool IN ('create_return_request', 'return_delivered_order_items') AND coalesce(st.return_status, 'requested') <> 'requested' THEN 'return_status_conflict'
-           WHEN w.tool LIKE 'exchange%' AND st.exch THEN CASE WHEN st.item = w.new_item_id THEN NULL ELSE 'exchange_already_completed' END
-           WHEN w.tool IN ('modify_pending_order_items', 'exchange_delivered_order_items') AND w.item_id <> st.item THEN 'item_not_found'
-           WHEN w.tool IN ('modify_pending_order_items', 'exchange_delivered_order_items') AND NOT list_contains(w.payment_methods, w.payment_method_id) THEN 'payment_method_not_found' END AS err
+           WHEN w.tool LIKE 'exchange%' AND st.exch IS NOT NULL THEN CASE WHEN st.items <> w.new_item_ids THEN 'exchange_already_completed' END
+           WHEN w.tool IN ('modify_pending_order_items', 'exchange_delivered_order_items') AND ({LENGTHS}) THEN 'item_length_mismatch'
+           WHEN w.tool IN ('modify_pending_order_items', 'exchange_delivered_order_items') AND NOT {HELD} THEN 'item_not_found'
+           WHEN w.tool IN ('modify_pending_order_items', 'exchange_delivered_order_items') AND NOT {OWNED} THEN 'payment_method_not_found' END AS err
         FROM st JOIN w ON w.order_id = st.order_id AND w.n = st.n + 1)))"""
-RBASE = BASE.replace("WITH ", "WITH RECURSIVE ", 1)
+_STATE_SQL = "status, return_status, {pay} AS payment_method_id, array_to_string(items, ',') AS item_ids, {address} AS shipping_address, {exch} AS exchange_status, CAST({version} AS BIGINT) AS version"
+
+
+def log_applied(spark, sf):
+    return L.apply_log(D.basket_commands(spark, sf), D.order_baskets(spark, sf), D.users(spark, sf), AS_OF)
+
+
+def state_columns():
+    return [
+        "status", "return_status", "payment_method_id", F.array_join("items", ",").alias("item_ids"), "shipping_address", "exchange_status",
+        F.col("version").cast("bigint").alias("version"),
+    ]
 
 
 @register(
     "apply_command_log",
     RBASE
     + LOG_SQL
-    + """ SELECT seq, order_id, tool, error IS NULL AS ok, changed, error IS NULL AND NOT changed AS idempotent_replay, error, CAST(version AS BIGINT) AS version FROM st WHERE n > 0
-    UNION ALL SELECT seq, order_id, tool, false, false, false, static, NULL FROM j WHERE static IS NOT NULL AND tool NOT IN ('get_order', 'check_return_eligibility', 'modify_user_address')""",
+    + f""" SELECT seq, order_id, tool, error IS NULL AS ok, changed, error IS NULL AND NOT changed AS idempotent_replay, error, {_STATE_SQL.format(pay="pay", address="address", exch="exch", version="version")} FROM st WHERE n > 0
+    UNION ALL SELECT seq, order_id, tool, false, false, false, static, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM j WHERE static IS NOT NULL AND tool NOT IN ('get_order', 'check_return_eligibility', 'modify_user_address')""",
 )
 def apply_command_log(spark, sf):
-    return O.apply_log(D.commands(spark, sf), D.orders(spark, sf), D.users(spark, sf), AS_OF).select(
-        "seq", "order_id", "tool", "ok", "changed", "idempotent_replay", "error", F.col("version").cast("bigint").alias("version")
-    )
+    return log_applied(spark, sf).select("seq", "order_id", "tool", "ok", "changed", "idempotent_replay", "error", *state_columns())
 
 
 @register(
     "orders_after_log",
     RBASE
     + LOG_SQL
-    + """, last AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY n DESC) = 1)
-    SELECT o.order_id, coalesce(l.status, o.status) AS status, coalesce(l.return_status, o.return_status) AS return_status, coalesce(l.pay, o.payment_method_id) AS payment_method_id, coalesce(l.item, o.product_id) AS item, CAST(coalesce(version, 0) AS BIGINT) AS version FROM dom_orders o LEFT JOIN last l USING (order_id)""",
+    + f""", last AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY n DESC) = 1)
+    SELECT order_id, {_STATE_SQL.format(pay="pay", address="address", exch="exch", version="version")} FROM (
+      SELECT order_id, status, return_status, items, pay, address, exch, version FROM last
+      UNION ALL SELECT order_id, status, return_status, coalesce(items, [product_id]), payment_method_id, shipping_address, exchange_status, 0 FROM dom_baskets ANTI JOIN last USING (order_id))""",
 )
 def orders_after_log(spark, sf):
-    orders = D.orders(spark, sf)
-    applied = O.apply_log(D.commands(spark, sf), orders, D.users(spark, sf), AS_OF)
-    return O.final_orders(orders, applied).withColumn("version", F.col("version").cast("bigint"))
+    orders = D.order_baskets(spark, sf)
+    return L.final_orders(orders, log_applied(spark, sf)).select("order_id", *state_columns())
 
 
 @register(

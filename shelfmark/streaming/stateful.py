@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelfmark.operators import audit as A
+from shelfmark.operators import order_log as L
 from shelfmark.operators import orders as O
 from shelfmark.operators import progress as P
 from shelfmark.sources.sinks import upsert_latest
@@ -135,10 +136,10 @@ def order_commands(commands: DataFrame, orders: DataFrame, users: DataFrame, as_
     Blocked commands pass straight through; only commands that can change an
     order reach its state.
     """
-    joined = O.with_records(commands.where(F.col("tool").isin(O.WRITE_TOOLS)), orders, users).withColumn("static", O.static_error(as_of))
+    joined = O.with_records(commands.where(F.col("tool").isin(O.WRITE_TOOLS)), L.opened(orders), users).withColumn("static", O.static_error(as_of))
     live = joined.where(F.col("static").isNull()).select(
-        "order_id", "ts", "seq", "tool", "status", "return_status", "product_id", "order_payment", "payment_methods",
-        "payment_method_id", "item_ids", "new_item_ids", "address",
+        "order_id", "ts", "seq", "tool", "status", "return_status", "exchange_status", "items", "shipping_address", "product_id", "order_payment",
+        "payment_methods", "payment_method_id", "item_ids", "new_item_ids", "address",
     )
     return live.groupBy("order_id").transformWithStateInPandas(OrderProcessor(ttl_ms), ORDER_OUT, "append", "ProcessingTime" if ttl_ms else "None")
 

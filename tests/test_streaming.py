@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from shelfmark.operators import audit as A
+from shelfmark.operators import order_log as L
 from shelfmark.operators import orders as O
 from shelfmark.plans import domain as D
 from shelfmark.plans import q_trajectories as Q
@@ -39,11 +40,11 @@ def test_progress_stream_equals_batch(spark, sf, tmp_path):
 
 
 def test_order_stream_equals_batch(spark, sf, tmp_path):
-    c = D.commands(spark, sf).coalesce(1)
+    c, orders = D.basket_commands(spark, sf).coalesce(1), D.order_baskets(spark, sf)
     stream = as_stream(spark, c, tmp_path / "in")
-    out = drain(S.order_commands(stream, D.orders(spark, sf), D.users(spark, sf), D.AS_OF), "orders_out", tmp_path / "cp")
+    out = drain(S.order_commands(stream, orders, D.users(spark, sf), D.AS_OF), "orders_out", tmp_path / "cp")
     cols = ["seq", "order_id", "tool", "ok", "changed", "idempotent_replay", "error", "version"]
-    batch = O.apply_log(c, D.orders(spark, sf), D.users(spark, sf), D.AS_OF).where(F.col("version").isNotNull())
+    batch = L.apply_log(c, orders, D.users(spark, sf), D.AS_OF).where(F.col("version").isNotNull())
     assert sorted(map(str, out.select(cols).collect())) == sorted(map(str, batch.select(cols).collect()))
 
 
