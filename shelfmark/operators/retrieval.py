@@ -6,13 +6,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.functions import fixed_values as fv
-from shelfmark.functions.scale import BROADCAST_LIMIT_BYTES, block_count
+from shelfmark.functions.scale import BROADCAST_LIMIT_BYTES, block_count, payload_bytes
 from shelfmark.functions.text import find_all, tokenize
 
 SCORE_DIGITS = 9  # equal texts must tie, whatever order their terms were summed in
@@ -135,64 +135,70 @@ def _bm25_block(chunks: DataFrame, terms: DataFrame, k: int, k1: float, b: float
 
 
 # --- dense ---------------------------------------------------------------------
+#: Rows of a tile of queries and of a tile of vectors: a task multiplies one by one and holds their score matrix.
+QUERY_TILE, VECTOR_TILE = 1024, 4096
+
+
 def dense_topk(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = fv.DENSE_K,
     exclude_self: bool = False,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    query_tile: int = QUERY_TILE,
+    vector_tile: int = VECTOR_TILE,
 ) -> DataFrame:
     """Exact top ``k`` by inner product: ``(query_id, chunk_id, score, rank)``.
 
-    ``vectors(chunk_id, embedding)`` stay where they are; each task multiplies its
-    Arrow batches with one bounded block of queries and keeps its best ``k`` per
-    query, so the exchange carries ``k`` rows per task and query, never all pairs.
+    Queries ``(query_id, vector)`` and ``vectors(chunk_id, embedding)`` are packed into
+    tiles inside their partitions; rows without a vector take no part. Tiles of
+    queries are broadcast behind a measured size, so that vectors stay where they are;
+    more of them are joined with the vectors' tiles by a group number. A task holds one
+    tile by one tile of scores (32 MB as set) and keeps ``k`` rows a query of each, the
+    exchange carries ``k`` rows per task and query.
     """
-    blocks = block_count(queries, limit_bytes)
-    parts = []
-    for i in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        parts.append(_dense_block(vectors, block, k, exclude_self))
-    best = reduce(DataFrame.unionByName, parts)
-    return top_per(best, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
-
-
-def _dense_block(vectors: DataFrame, block: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    # The block is bounded by block_count; it is shipped once per executor.
-    pdf = block.select("query_id", "vector").toPandas()
-    schema = f"query_id {block.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
-    spark = vectors.sparkSession
-    if pdf.empty:
-        return spark.createDataFrame([], schema)
-    shipped = spark.sparkContext.broadcast(
-        (pdf["query_id"].to_numpy(), np.vstack(pdf["vector"].to_numpy()).astype("float64"))
-    )
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shipped.value
-        kept: pd.DataFrame | None = None
+    asked = _tiles(queries, "query_id", "vector", query_tile).select(F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"))
+    small = payload_bytes(asked) <= limit_bytes
+    groups = 1 if small else vectors.sparkSession.sparkContext.defaultParallelism
+    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    packs = _tiles(vectors, "chunk_id", "embedding", vector_tile).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    query_type, chunk_type = queries.schema["query_id"].dataType, vectors.schema["chunk_id"].dataType
+    schema = f"query_id {query_type.simpleString()}, chunk_id {chunk_type.simpleString()}, score double"
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                mine, theirs = batch.column("query_ids")[i].values, batch.column("ids")[i].values
+                q = np.frombuffer(batch.column("queries")[i].as_buffer()).reshape(len(mine), -1)
+                m = np.frombuffer(batch.column("matrix")[i].as_buffer()).reshape(len(theirs), -1)
+                scores = np.round(q @ m.T, SCORE_DIGITS)
+                scores[np.isnan(scores)] = -np.inf
+                if exclude_self:
+                    scores[mine.to_numpy(zero_copy_only=False)[:, None] == theirs.to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                # everything at or above the k-th score stays, so ties are decided by the final ranking
+                kth = max(0, scores.shape[1] - k)
+                floor = np.partition(scores, kth, axis=1)[:, kth]
+                rows, cols = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(rows)), theirs.take(pa.array(cols)), pa.array(scores[rows, cols])], names=["query_id", "chunk_id", "score"])
+
+    met = packs.join(F.broadcast(asked) if small else asked, "group").select("query_ids", "queries", "ids", "matrix")
+    return top_per(met.mapInArrow(kernel, schema), "query_id", [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def _tiles(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Rows packed by ``size`` inside their partition: ids and the vectors, one after another, as bytes of doubles."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
-                continue
-            m = np.vstack(batch["embedding"].to_numpy()).astype("float64")
-            scores = np.round(q @ m.T, SCORE_DIGITS)
-            chunk_ids = batch["chunk_id"].to_numpy()
-            if exclude_self:
-                scores[ids[:, None] == chunk_ids[None, :]] = -np.inf
-            # everything at or above the k-th score stays, so ties are decided by the final ranking
-            kth = min(k, scores.shape[1]) - 1
-            floor = -np.sort(-scores, axis=1)[:, kth]
-            rows, cols = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-            part = pd.DataFrame(
-                {"query_id": ids[rows], "chunk_id": chunk_ids[cols], "score": scores[rows, cols]}
-            )
-            merged = part if kept is None else pd.concat([kept, part], ignore_index=True)
-            order = merged.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
-            kept = order.groupby("query_id", sort=False).head(k)
-        if kept is not None:
-            yield kept
-
-    return vectors.select("chunk_id", "embedding").mapInPandas(kernel, schema)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "matrix"]
+                )
+
+    kept = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
+    return kept.mapInArrow(pack, f"ids array<{rows.schema[key].dataType.simpleString()}>, matrix binary")
 
 
 # --- fusion ----------------------------------------------------------------------
