@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.scale import ensure_checkpoint_dir
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` to ``(node, component)``; the component is its smallest node.
 
     Each round takes the smallest label among neighbours and then the label of
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = nodes.select("node", F.col("node").alias("label")).checkpoint()
-    for _ in range(max_rounds):
+    while True:  # labels only get smaller, so this ends
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         stepped = labels.join(near, "node", "left").select(
             "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("mid")
@@ -33,4 +33,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = moved.select("node", "label")
         if not changed:
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from typing import Any
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed_values as fv
 from shelfmark.functions.canon import canonical_hash
-from shelfmark.functions.scale import ordered_fold
+from shelfmark.functions.scale import broadcast_if_small, settled
 from shelfmark.operators.components import connected_components
 from shelfmark.operators.retrieval import top_per
 
@@ -93,23 +92,28 @@ def isolated_splits(records: DataFrame) -> DataFrame:
     """Splits that share neither task nor structure: whole components of the task–structure graph.
 
     ``records(simulation_id, task_id, signature_hash)``. The component whose size is
-    nearest a tenth is dev, the next nearest held out; ties go by the hash of the
-    component's simulation ids, here an order-free digest of per-id hashes.
+    nearest a tenth is dev, the next nearest held out; ties go by the SHA-256 of the
+    canonical JSON list of a component's sorted simulation ids. Only components that
+    tie for one of the two places have their ids listed, in one cell each.
     """
     edges = records.select(
         F.concat(F.lit("task:"), "task_id").alias("a"), F.concat(F.lit("structure:"), "signature_hash").alias("b")
     ).distinct()
     comp = connected_components(edges)
-    placed = records.join(
+    placed = settled(records.join(
         comp.select(F.col("node").alias("node"), "component"), F.concat(F.lit("task:"), "task_id") == F.col("node")
-    ).drop("node")
-    digest = F.conv(F.substring(F.sha2("simulation_id", 256), 1, 8), 16, 10).cast("bigint")
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum(digest).alias("d"))
+    ).drop("node"))
+    sizes = settled(placed.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     total = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("records")).first()
     if total["n"] < 3:
         return placed.select("simulation_id", "component", F.lit("train").alias("split"))
     target = max(1, round(total["records"] * 0.1))
-    chosen = sizes.orderBy(F.abs(F.col("size") - target), F.sha2(F.col("d").cast("string"), 256), "component").limit(2).collect()
+    away = sizes.withColumn("away", F.abs(F.col("size") - target))
+    # the two smallest distances, counted with their ties, hold both places
+    near = [r["away"] for r in away.orderBy("away").select("away").limit(2).collect()]
+    tied = away.where(F.col("away").isin(near))
+    ids = placed.join(broadcast_if_small(tied), "component").groupBy("component", "away").agg(F.array_sort(F.collect_list("simulation_id")).alias("ids"))
+    chosen = ids.orderBy("away", F.sha2(F.to_json("ids"), 256), "component").select("component").limit(2).collect()
     split = F.when(F.col("component") == chosen[0]["component"], "dev").when(
         F.col("component") == chosen[1]["component"], "held_out"
     ).otherwise("train")
@@ -258,37 +262,40 @@ def double_cap_nested(accepted: DataFrame, order: str, per_task: int = 3, per_st
     return top_per(first, "signature_hash", [F.asc(order)], per_structure, rank="__s").drop("__t", "__s")
 
 
-def double_cap(accepted: DataFrame, order: str, per_task: int = 3, per_structure: int = 8) -> DataFrame:
-    """Both caps in input order when tasks and structures cross.
+def double_cap(accepted: DataFrame, order: str, per_task: int = 3, per_structure: int = 8, rounds: int | None = None) -> DataFrame:
+    """Both caps in (``order``, simulation_id) when tasks and structures cross; as if rows were taken one by one.
 
-    Caps interact only inside a connected component, so components are folded in
-    order and in parallel. Counters stop mattering at the caps, and rows that must
-    be refused anyway are dropped first: of one (task, structure) pair only the
-    first ``per_task`` can ever be accepted.
+    Greedy matching in parallel rounds. An open row whose place among the open rows of
+    its task and of its structure is within what both still admit is accepted, whatever
+    becomes of the rows before it; where a task or structure is full, its open rows are
+    refused (rows before an accepted one always keep a place, so these all come later).
+    The first open row of all is settled in every round, most rounds settle far more. A
+    round takes constant limits per key, which prune before the shuffle, so neither a
+    component nor a hot key is one task. Of one (task, structure) pair only the first
+    ``per_task`` can ever be accepted. ``rounds`` is a guard for tests; there is no limit.
     """
-    edges = accepted.select(
-        F.concat(F.lit("task:"), "task_id").alias("a"), F.concat(F.lit("structure:"), "signature_hash").alias("b")
-    ).distinct()
-    comp = connected_components(edges)
-    pair = F.concat_ws("\x01", "task_id", "signature_hash")
-    live = top_per(accepted.withColumn("__pair", pair), "__pair", [F.asc(order)], min(per_task, per_structure), rank="__p").drop("__pair", "__p")
-    placed = live.join(comp, F.concat(F.lit("task:"), "task_id") == F.col("node")).select(
-        "component", "simulation_id", "task_id", "signature_hash", order
-    )
-
-    def start(_: Any) -> Counter:
-        return Counter()
-
-    def step(used: Counter, row: Any) -> tuple[Counter, dict[str, Any]]:
-        t, s = ("t", row.task_id), ("s", row.signature_hash)
-        keep = used[t] < per_task and used[s] < per_structure
-        if keep:
-            used[t] += 1
-            used[s] += 1
-        return used, {"simulation_id": row.simulation_id, "kept": keep}
-
-    kept = ordered_fold(placed, ["component"], [order], start, step, "simulation_id string, kept boolean")
-    return accepted.join(kept.where("kept").select("simulation_id"), "simulation_id", "left_semi")
+    by = [F.asc(order), F.asc("simulation_id")]
+    pair = F.struct("task_id", "signature_hash")
+    live = top_per(accepted.withColumn("__pair", pair), "__pair", by, min(per_task, per_structure), rank="__p")
+    caps = {"task_id": per_task, "signature_hash": per_structure}
+    open_ = settled(live.select("simulation_id", "task_id", "signature_hash", order, *[F.lit(n).alias(f"__cap_{k}") for k, n in caps.items()]))
+    kept, turn = [], 0
+    while not open_.isEmpty():
+        if rounds is not None and turn >= rounds:
+            raise RuntimeError("double cap did not settle in the rounds allowed")
+        turn += 1
+        admitted = {k: top_per(open_, k, by, n, rank="__r").where(F.col("__r") <= F.col(f"__cap_{k}")) for k, n in caps.items()}
+        taken = admitted["task_id"].join(admitted["signature_hash"].select("simulation_id"), "simulation_id", "left_semi")
+        taken = settled(taken.select("simulation_id", "task_id", "signature_hash"))
+        kept.append(taken.select("simulation_id"))
+        rest = open_.join(broadcast_if_small(taken.select("simulation_id")), "simulation_id", "left_anti")
+        for k in caps:
+            used = taken.groupBy(k).agg(F.count(F.lit(1)).alias("__used"))
+            rest = rest.join(broadcast_if_small(used), k, "left").withColumn(f"__cap_{k}", F.col(f"__cap_{k}") - F.coalesce("__used", F.lit(0)).cast("int")).drop("__used").where(F.col(f"__cap_{k}") > 0)
+        open_ = settled(rest)
+    if not kept:
+        return accepted.where(F.lit(False))
+    return accepted.join(reduce(DataFrame.unionByName, kept), "simulation_id", "left_semi")
 
 
 def provenance(**columns: Column) -> Column:

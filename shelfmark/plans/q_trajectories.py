@@ -303,7 +303,15 @@ def double_cap_nested(spark, sf):
     return S.double_cap_nested(s, "doc_id").select("simulation_id", "task_id")
 
 
-@register("double_cap_general")
+@register(
+    "double_cap_general",
+    SIMS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, o AS (SELECT simulation_id, task_id, sig, row_number() OVER (ORDER BY doc_id, simulation_id) AS n FROM sg),
+     st AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS simulation_id, []::VARCHAR[] AS tasks, []::VARCHAR[] AS sigs, false AS kept
+       UNION ALL SELECT n, simulation_id, CASE WHEN ok THEN list_append(tasks, task_id) ELSE tasks END, CASE WHEN ok THEN list_append(sigs, sig) ELSE sigs END, ok
+       FROM (SELECT o.*, tasks, sigs, len(list_filter(tasks, lambda x: x = o.task_id)) < 3 AND len(list_filter(sigs, lambda x: x = o.sig)) < 8 AS ok FROM st JOIN o ON o.n = st.n + 1))
+     SELECT o.simulation_id, o.task_id, o.sig AS signature_hash FROM st JOIN o USING (n) WHERE kept""",
+)
 def double_cap_general(spark, sf):
     return S.double_cap(sims(spark, sf), "doc_id").select("simulation_id", "task_id", "signature_hash")
 
@@ -322,16 +330,40 @@ def components(spark, sf):
     )
 
 
-@register("isolated_split")
+def isolated_records(spark, sf):
+    """Simulations by family of their documents: every ten documents share tasks and structures among themselves only."""
+    own = F.floor(F.col("doc_id") / (1 + F.col("doc_id") % 3) / 10).cast("string")
+    return sims(spark, sf).select(
+        "simulation_id", "doc_id", F.concat_ws("#", "task_id", own).alias("task_id"), F.concat_ws("#", "signature_hash", own).alias("signature_hash")
+    )
+
+
+ISOLATED = SIMS.replace("WITH ", "WITH RECURSIVE ", 1) + """, own AS (SELECT *, CAST(CAST(floor(doc_id / (1 + doc_id % 3) / 10) AS BIGINT) AS VARCHAR) AS g FROM sg),
+     rec AS (SELECT simulation_id, doc_id, task_id || '#' || g AS task_id, sig || '#' || g AS sig FROM own),
+     ed AS (SELECT DISTINCT 'task:' || task_id AS a, 'structure:' || sig AS b FROM rec), bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+     r(node, label) AS (SELECT a, a FROM bo UNION SELECT bo.b, r.label FROM r JOIN bo ON bo.a = r.node),
+     lab AS (SELECT node, min(label) AS component FROM r GROUP BY 1), pl AS (SELECT rec.*, component FROM rec JOIN lab ON node = 'task:' || task_id),
+     sz AS (SELECT component, count(*) AS size, sha256('["' || string_agg(simulation_id, '","' ORDER BY simulation_id) || '"]') AS h FROM pl GROUP BY 1),
+     od AS (SELECT component, row_number() OVER (ORDER BY abs(size - (SELECT greatest(1, round_even(count(*) * 0.1, 0)) FROM pl)), h) AS i, count(*) OVER () AS n FROM sz),
+     spl AS (SELECT pl.*, CASE WHEN n < 3 OR i > 2 THEN 'train' WHEN i = 1 THEN 'dev' ELSE 'held_out' END AS split FROM pl JOIN od USING (component))"""
+
+
+@register("isolated_split", ISOLATED + " SELECT simulation_id, component, split FROM spl")
 def isolated_split(spark, sf):
-    return S.isolated_splits(sims(spark, sf).select("simulation_id", "task_id", "signature_hash"))
+    return S.isolated_splits(isolated_records(spark, sf).drop("doc_id"))
 
 
-@register("leakage_check", "SELECT CAST(NULL AS VARCHAR) AS key, CAST(NULL AS BIGINT) AS splits FROM documents WHERE false")
+@register(
+    "leakage_check",
+    ISOLATED + """, moved AS (SELECT * REPLACE (CASE WHEN doc_id % 50 = 0 THEN 'dev' ELSE split END AS split) FROM spl),
+     k AS (SELECT split, 'task:' || task_id AS key FROM moved UNION ALL SELECT split, 'structure:' || sig FROM moved)
+     SELECT key, count(DISTINCT split) AS splits FROM k GROUP BY 1 HAVING count(DISTINCT split) > 1""",
+)
 def leakage_check(spark, sf):
-    s = sims(spark, sf).select("simulation_id", "task_id", "signature_hash")
-    placed = s.join(S.isolated_splits(s).select("simulation_id", "split"), "simulation_id")
-    return S.leaks(placed)
+    """The isolated splits with every fiftieth record moved to dev: what leaks by that."""
+    s = isolated_records(spark, sf)
+    placed = s.join(S.isolated_splits(s.drop("doc_id")).select("simulation_id", "split"), "simulation_id")
+    return S.leaks(placed.withColumn("split", F.when(F.col("doc_id") % 50 == 0, "dev").otherwise(F.col("split"))))
 
 
 @register(

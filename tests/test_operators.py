@@ -99,6 +99,16 @@ def test_exact_ranks_with_skew(spark):
         assert got[g]["up"] == xs[n // 2]
 
 
+def taken_in_turn(rows):
+    used, kept = Counter(), set()
+    for sim, t, h, _ in rows:
+        if used[t] < 3 and used[h] < 8:
+            used[t] += 1
+            used[h] += 1
+            kept.add(sim)
+    return kept
+
+
 def test_components_and_double_cap_against_brute_force(spark):
     rng = random.Random(11)
     rows = [(f"s{i}", f"t{rng.randint(0, 12)}", f"h{rng.randint(0, 9)}" if rng.random() < 0.7 else "hot", i) for i in range(160)]
@@ -110,6 +120,11 @@ def test_components_and_double_cap_against_brute_force(spark):
             used[h] += 1
             kept.add(sim)
     assert {r[0] for r in S.double_cap(df, "ord").select("simulation_id").collect()} == kept
+    assert {r[0] for r in S.double_cap(df.withColumn("ord", F.lit(0)), "ord").select("simulation_id").collect()} == taken_in_turn(sorted(rows))
+    hot = [(f"s{i:03}", "one task" if i % 3 == 0 else f"t{i}", f"h{i // 40}", i) for i in range(240)]
+    hot_df = spark.createDataFrame(hot, df.schema)
+    assert {r[0] for r in S.double_cap(hot_df, "ord", rounds=8).select("simulation_id").collect()} == taken_in_turn(hot)
+    assert S.double_cap(df.limit(0), "ord").count() == 0
     edges = [(f"a{i}", f"a{i + 1}") for i in range(40)] + [("z1", "z2")]
     comp = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert set(comp.values()) == {"a0", "z1"}
