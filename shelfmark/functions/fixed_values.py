@@ -321,6 +321,8 @@ COMPACT_ORDER_FIELDS = [
     "return_payment_method_id", "request_id", "changed", "idempotent_replay",
 ]
 COMPACT_ITEM_FIELDS = ["item_id", "product_id", "name", "title", "price", "options", "available"]
+COMPACT_PAYMENT_FIELDS = ["transaction_type", "amount", "payment_method_id"]
+COMPACT_FULFILLMENT_FIELDS = ["tracking_id", "item_ids"]
 COMPACT_PRODUCT_FIELDS = [
     "product_id", "item_id", "title", "name", "category", "price", "inventory", "options", "available",
 ]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,77 +16,173 @@ EXCHANGE_FIELDS = ["exchange_items", "exchange_new_items", "exchange_payment_met
 READ_TOOLS = ["get_order", "check_return_eligibility", "get_order_details", "get_user_details", "get_product", "get_product_details"]
 
 
-def _pick(m: Column, fields: list[str]) -> Column:
+@dataclass(frozen=True)
+class Part:
+    """One rule: what of a payload is kept at ``path`` of the given tools' results.
+
+    ``kind``: ``merge`` (fields of the result itself), ``object`` (one object), ``list``
+    (objects of a list), ``map`` (objects of a map, in their order), ``texts`` (strings
+    of a list) or ``raw`` (the value as it is). ``first``/``last`` cap the number of
+    elements, ``chars`` the characters of a text. ``needed`` parts are written even when
+    the result has none; ``inside`` are further parts of each object; ``or_self`` takes
+    the result itself where the path is missing; ``beside`` are fields written as they
+    are, nulls included, and ``text`` is a field cut to ``chars``.
+    """
+
+    tools: tuple[str, ...]
+    path: str
+    kind: str
+    fields: tuple[str, ...] = ()
+    first: int | None = None
+    last: int | None = None
+    chars: int | None = None
+    needed: bool = False
+    or_self: bool = False
+    inside: tuple["Part", ...] = ()
+    beside: tuple[str, ...] = ()
+    text: str | None = None
+    loose: bool = False  # elements that are no objects count as empty ones instead of being left out
+
+
+_ANY: tuple[str, ...] = ()
+_ITEM, _PRODUCT = tuple(fv.COMPACT_ITEM_FIELDS), tuple(fv.COMPACT_PRODUCT_FIELDS)
+ORDER_PARTS = (
+    Part(_ANY, "items", "list", _ITEM, first=12),
+    Part(_ANY, "payment_history", "list", tuple(fv.COMPACT_PAYMENT_FIELDS), last=4),
+    Part(_ANY, "fulfillments", "list", tuple(fv.COMPACT_FULFILLMENT_FIELDS)),
+)
+PRODUCT_PARTS = (Part(_ANY, "variants", "map", _ITEM, first=24),)
+WRITES = tuple([*fv.RETAIL_WRITE_TOOLS, "create_return_request"])
+
+
+def payload_rules(order_fields: list[str] | None = None) -> list[Part]:
+    """The rule table. ``order_fields`` replaces the kept order fields (exchange fields are kept by default)."""
+    order = tuple(fv.COMPACT_ORDER_FIELDS + EXCHANGE_FIELDS if order_fields is None else order_fields)
+    return [
+        Part(("search_catalog",), "items", "list", _PRODUCT, first=12, needed=True, loose=True),
+        Part(("get_product",), "product", "object", _PRODUCT, needed=True, or_self=True, inside=PRODUCT_PARTS),
+        Part(("get_product",), "evidence", "texts", first=3, chars=600),
+        Part(("compare_products",), "products", "list", (), first=12, needed=True, beside=("ok",), inside=(Part(_ANY, "product", "object", _PRODUCT, needed=True, or_self=True, inside=PRODUCT_PARTS),)),
+        Part(("get_policy",), "policies", "list", ("doc_id", "title"), first=3, needed=True, chars=800, text="text"),
+        Part(("get_order", "check_return_eligibility"), "order", "object", order, needed=True, inside=ORDER_PARTS),
+        Part(("get_order_details", *WRITES), "", "merge", order, inside=ORDER_PARTS),
+        Part(("get_product_details",), "", "merge", _PRODUCT, inside=PRODUCT_PARTS),
+        Part(("get_user_details",), "", "merge", ("user_id", "name", "address", "email", "payment_methods", "orders")),
+        *[Part(_ANY, key, "raw") for key in ("order", "product", "items", "policies")],
+    ]
+
+
+_MAP, _LIST = "map<string,variant>", "array<variant>"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once a row."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _named(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f'"{name}":'), value)
+
+
+def _pieces(m: Column, fields: tuple[str, ...]) -> Column:
     """Kept fields of a map of JSON values, nulls dropped, as JSON text pieces."""
-    return F.filter(
-        F.transform(
-            F.array(*[F.lit(f) for f in fields]),
-            lambda f: F.when(
-                F.coalesce(F.to_json(F.try_element_at(m, f)), F.lit("null")) != "null",
-                F.concat(F.lit('"'), f, F.lit('":'), F.to_json(F.try_element_at(m, f))),
-            ),
-        ),
-        lambda p: p.isNotNull(),
-    )
+    if not fields:
+        return F.array().cast("array<string>")
+    kept = F.transform(F.array(*[F.lit(f) for f in fields]), lambda f: F.struct(f.alias("f"), F.to_json(F.try_element_at(m, f)).alias("v")))
+    there = F.filter(kept, lambda p: F.coalesce(p["v"], F.lit("null")) != "null")
+    return F.transform(there, lambda p: F.concat(F.lit('"'), p["f"], F.lit('":'), p["v"]))
+
+
+def _object(pieces: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}"))
+
+
+def _within(m: Column, part: Part) -> Column:
+    """Pieces of one object under a rule: its fields, then the fields beside, the text and the parts inside."""
+    own = [_named(f, F.coalesce(F.to_json(F.try_element_at(m, F.lit(f))), F.lit("null"))) for f in part.beside]
+    if part.text is not None:
+        value = F.coalesce(F.try_variant_get(F.try_element_at(m, F.lit(part.text)), "$", "string"), F.lit(""))
+        own.append(_named(part.text, _quoted(F.substring(value, 1, part.chars))))
+    own += [_piece(m, p) for p in part.inside]
+    return F.concat(_pieces(m, part.fields), F.array_compact(F.array(*own))) if own else _pieces(m, part.fields)
+
+
+def _cut(elements: Column, part: Part) -> Column:
+    if part.first is not None:
+        return F.slice(elements, 1, part.first)
+    return F.slice(elements, -F.least(F.size(elements), F.lit(part.last)), part.last) if part.last is not None else elements
+
+
+def _piece(m: Column, part: Part) -> Column:
+    """The JSON piece of one rule, null where the payload has none."""
+    value = F.try_element_at(m, F.lit(part.path))
+    as_map = lambda v: F.try_variant_get(v, "$", _MAP)
+    if part.kind == "raw":
+        return F.when(F.map_contains_key(m, F.lit(part.path)), _named(part.path, F.coalesce(F.to_json(value), F.lit("null"))))
+    if part.kind == "object":
+        inner = as_map(value)
+        inner = F.when(F.size(inner) > 0, inner)
+        return _named(part.path, _let(F.coalesce(inner, m) if part.or_self else inner, lambda o: _object(_within(o, part))))
+    if part.kind == "map":
+        entries = F.filter(_cut(F.map_entries(as_map(value)), part), lambda e: as_map(e["value"]).isNotNull())
+        shown = F.transform(entries, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), _object(_within(as_map(e["value"]), part))))
+        return F.when(as_map(value).isNotNull(), _named(part.path, _object(shown)))
+    listed = F.try_variant_get(value, "$", _LIST)
+    if part.kind == "texts":
+        text = lambda v: F.substring(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)), 1, part.chars)
+        return F.when(listed.isNotNull(), _named(part.path, F.concat(F.lit("["), F.array_join(F.transform(_cut(listed, part), lambda v: _quoted(text(v))), ","), F.lit("]"))))
+    objects = F.transform(_cut(F.coalesce(listed, F.array().cast(_LIST)), part), as_map)
+    objects = F.transform(objects, lambda o: F.coalesce(o, F.from_json(F.lit("{}"), _MAP))) if part.loose else F.filter(objects, lambda o: o.isNotNull())
+    shown = _named(part.path, F.concat(F.lit("["), F.array_join(F.transform(objects, lambda o: _object(_within(o, part))), ","), F.lit("]")))
+    if part.needed:
+        return shown
+    # an order's items are listed as soon as the key is there, other lists only where they are lists
+    return F.when(F.map_contains_key(m, F.lit(part.path)) if part.path == "items" else listed.isNotNull(), shown)
 
 
 def compact_payload(tool: Column, result: Column, order_fields: list[str] | None = None) -> Column:
-    """Compact JSON text of a tool result; text that is not an object stays as it is."""
-    fields = fv.COMPACT_ORDER_FIELDS + EXCHANGE_FIELDS if order_fields is None else order_fields
-    m = F.from_json(result, "map<string,variant>")
-    base = _pick(m, fv.COMPACT_BASE_FIELDS)
-
-    def obj(parts: Column) -> Column:
-        return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
-
-    def nested(key: str, names: list[str], cap: int | None = None) -> Column:
-        items = F.try_variant_get(F.try_element_at(m, F.lit(key)), "$", "array<map<string,variant>>")
-        cut = items if cap is None else F.slice(items, 1, cap)
-        return F.concat(F.lit(f'"{key}":['), F.array_join(F.transform(cut, lambda x: obj(_pick(x, names))), ","), F.lit("]"))
-
-    def sub(key: str, names: list[str]) -> Column:
-        return F.concat(F.lit(f'"{key}":'), obj(_pick(F.try_variant_get(F.try_element_at(m, F.lit(key)), "$", "map<string,variant>"), names)))
-
-    def with_part(*parts: Column) -> Column:
-        return obj(F.concat(base, F.array_compact(F.array(*parts))))
-
-    def maps(key: str, cap: int) -> Column:
-        every = F.try_variant_get(F.try_element_at(m, F.lit(key)), "$", "array<map<string,variant>>")
-        return F.slice(F.coalesce(every, F.array().cast("array<map<string,variant>>")), 1, cap)
-
-    def quoted(text: Column) -> Column:
-        listed = F.to_json(F.array(text))
-        return F.substring(listed, F.lit(2), F.length(listed) - 2)
-
-    def policy(x: Column) -> Column:
-        text = F.coalesce(F.try_variant_get(F.try_element_at(x, F.lit("text")), "$", "string"), F.lit(""))
-        return obj(F.array_append(_pick(x, ["doc_id", "title"]), F.concat(F.lit('"text":'), quoted(F.substring(text, 1, 800)))))
-
-    def compared(x: Column) -> Column:
-        inner = F.coalesce(F.try_variant_get(F.try_element_at(x, F.lit("product")), "$", "map<string,variant>"), x)
-        ok = F.coalesce(F.to_json(F.try_element_at(x, F.lit("ok"))), F.lit("null"))
-        return F.concat(F.lit('{"ok":'), ok, F.lit(',"product":'), obj(_pick(inner, fv.COMPACT_PRODUCT_FIELDS)), F.lit("}"))
-
-    def listed(key: str, parts: Column) -> Column:
-        return F.concat(F.lit(f'"{key}":['), F.array_join(parts, ","), F.lit("]"))
-
-    merged = lambda names: obj(F.concat(base, F.filter(_pick(m, names), lambda p: ~F.array_contains(base, p))))
-    writes = [*fv.RETAIL_WRITE_TOOLS, "create_return_request"]
-    out = (
-        F.when(tool == "search_catalog", with_part(nested("items", fv.COMPACT_PRODUCT_FIELDS, 12)))
-        .when(tool == "compare_products", with_part(listed("products", F.transform(maps("products", 12), lambda x: compared(x)))))
-        .when(tool == "get_policy", with_part(listed("policies", F.transform(maps("policies", 3), lambda x: policy(x)))))
-        .when(tool == "get_product", with_part(sub("product", fv.COMPACT_PRODUCT_FIELDS)))
-        .when(tool.isin("get_order", "check_return_eligibility"), with_part(sub("order", fields)))
-        .when(tool == "get_order_details", merged(fields))
-        .when(tool == "get_product_details", merged(fv.COMPACT_PRODUCT_FIELDS))
-        .when(tool == "get_user_details", merged(["user_id", "name", "address", "email", "payment_methods", "orders"]))
-        .when(tool.isin(writes), merged(fields))
-        .otherwise(obj(F.concat(base, _pick(m, ["order", "product", "items", "policies"]))))
-    )
-    return F.when(m.isNull(), F.to_json(F.array(result)).substr(F.lit(2), F.length(F.to_json(F.array(result))) - 2)).when(
-        out == "{}", F.to_json(F.try_parse_json(result))
-    ).otherwise(out)
+    """Compact JSON text of a tool result by the rule table; the result is parsed once.
+
+    Text that is no object stays as it is (written as JSON); an object of which nothing
+    is kept stays whole. Entries of a map are taken in the order of their names.
+    """
+    rules = payload_rules(order_fields)
+    base_fields = tuple(fv.COMPACT_BASE_FIELDS)
+
+    def of_tool(m: Column, base: Column, name: str | None) -> Column:
+        parts = [p for p in rules if (name in p.tools if name is not None else not p.tools)]
+        pieces = base
+        for p in parts:
+            if p.kind == "merge":
+                rest = tuple(f for f in p.fields if f not in base_fields)
+                pieces = F.concat(pieces, _within(m, replace(p, fields=rest)))
+            elif p.kind == "raw":
+                pieces = F.concat(pieces, F.array_compact(F.array(_piece(m, p))))
+            else:
+                pieces = F.concat(pieces, F.array_compact(F.array(F.coalesce(_piece(m, p), _named(p.path, F.lit("{}"))) if p.kind == "object" else _piece(m, p))))
+        return _object(pieces)
+
+    def built(m: Column) -> Column:
+        def chosen(base: Column) -> Column:
+            out = None
+            shapes: dict[tuple, list[str]] = {}
+            for name in dict.fromkeys(n for p in rules for n in p.tools):
+                shapes.setdefault(tuple(p for p in rules if name in p.tools), []).append(name)
+            for names in shapes.values():
+                one = of_tool(m, base, names[0])
+                hit = tool.isin(names)
+                out = F.when(hit, one) if out is None else out.when(hit, one)
+            return out.otherwise(of_tool(m, base, None))
+
+        return _let(_let(_pieces(m, base_fields), chosen), lambda out: F.when(out == "{}", F.to_json(F.try_parse_json(result))).otherwise(out))
+
+    other = F.coalesce(F.to_json(F.try_parse_json(result)), _quoted(result))
+    return _let(F.from_json(result, _MAP), lambda m: F.when(m.isNull(), other).otherwise(built(m)))
 
 
 def entity(tool: Column, result: Column) -> Column:
@@ -99,9 +198,12 @@ def entity(tool: Column, result: Column) -> Column:
     return out
 
 
-def placeholder(tool: Column, entity_id: Column) -> Column:
+def placeholder(tool: Column, entity_id: Column, result: Column) -> Column:
+    """What stands for a read that a later one replaces; ``ok`` is the read's own (true where it has none)."""
     key = F.concat(F.regexp_replace(F.regexp_replace(tool, "^get_", ""), "_details$", ""), F.lit("_id"))
-    return F.concat(F.lit('{"ok":true,"superseded_by_later_read":true,"'), key, F.lit('":"'), entity_id, F.lit('"}'))
+    v = F.try_parse_json(result)
+    ok = F.coalesce(F.to_json(F.try_variant_get(v, "$.ok", "variant")), F.when(F.array_contains(F.json_object_keys(result), "ok"), "null"), F.lit("true"))
+    return F.concat(F.lit('{"ok":'), ok, F.lit(',"superseded_by_later_read":true,"'), key, F.lit('":'), _quoted(entity_id), F.lit("}"))
 
 
 def compact_history(history: DataFrame) -> DataFrame:
@@ -114,9 +216,8 @@ def compact_history(history: DataFrame) -> DataFrame:
     last = h.where(F.col("entity_id").isNotNull()).groupBy("conv", "tool", "entity_id").agg(F.max("pos").alias("last_pos"))
     j = h.join(last, ["conv", "tool", "entity_id"], "left")
     old = F.coalesce(F.col("last_pos") != F.col("pos"), F.lit(False))
-    compact = F.when(F.col("role") != "tool", F.col("content")).when(old, placeholder(F.col("tool"), F.col("entity_id"))).otherwise(
-        compact_payload(F.col("tool"), F.col("content"))
-    )
+    row = F.struct("role", "tool", "entity_id", "content", old.alias("old"))
+    compact = _let(row, lambda r: F.when(r["role"] != "tool", r["content"]).when(r["old"], placeholder(r["tool"], r["entity_id"], r["content"])).otherwise(compact_payload(r["tool"], r["content"])))
     return j.select("conv", "pos", "role", "tool", "entity_id", "content", old.alias("superseded"), compact.alias("compact"))
 
 
@@ -143,7 +244,7 @@ def prefix_sizes(compacted: DataFrame, block: int = 4096) -> DataFrame:
     c = compacted.withColumns(
         {
             "full": F.when(F.col("role") == "tool", F.length(compact_payload(F.col("tool"), F.col("content")))).otherwise(F.length("content")),
-            "short": F.when(F.col("entity_id").isNotNull(), F.length(placeholder(F.col("tool"), F.col("entity_id")))),
+            "short": F.when(F.col("entity_id").isNotNull(), F.length(placeholder(F.col("tool"), F.col("entity_id"), F.col("content")))),
         }
     )
     # payloads are measured once; from here on only lengths are read
@@ -173,10 +274,54 @@ def report(per_conversation: DataFrame) -> DataFrame:
     return t.join(q, "j").drop("j").withColumn("character_reduction_ratio", 1.0 - F.col("compact_chars_total") / F.col("raw_chars_total"))
 
 
+def json_leaves(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """``keys``, path, value: every leaf of the JSON objects in ``text``, flattened level by level.
+
+    A level explodes objects and lists into their children (list places are left out of
+    the path, so equal subfields of a list share one); leaves leave the loop, so work
+    follows the number of nodes and the number of rounds the depth. Null values and
+    empty objects and lists have no leaf; text that is no JSON object has none.
+    """
+    level = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(text).alias("node")).where(F.json_object_keys(text).isNotNull())
+    level = settled(level.select(*keys, "path", F.to_json("node").alias("node")))
+    out = None
+    while True:
+        held = level.select(*keys, "path", F.explode(F.from_json("node", "map<string,variant>")).alias("name", "v")).select(
+            *keys, F.concat_ws(".", F.nullif("path", F.lit("")), "name").alias("path"), "v"
+        )
+        listed = held.select(*keys, "path", "v", F.try_variant_get("v", "$", _LIST).alias("many"))
+        children = listed.select(*keys, "path", F.explode(F.coalesce("many", F.array("v"))).alias("v"))
+        children = settled(children.select(*keys, "path", F.to_json("v").alias("v"), F.try_variant_get("v", "$", _MAP).isNotNull().alias("inner")))
+        leaves = children.where(~F.col("inner") & (F.col("v") != "null") & ~F.col("v").startswith("[")).select(*keys, "path", F.col("v").alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        # a list in a list is taken as the list of a nameless field
+        nested = children.where(~F.col("inner") & F.col("v").startswith("[")).select(*keys, "path", F.concat(F.lit('{"":'), "v", F.lit("}")).alias("node"))
+        level = children.where("inner").select(*keys, "path", F.col("v").alias("node")).unionByName(nested)
+        if level.isEmpty():
+            return out
+
+
 def field_losses(compacted: DataFrame) -> DataFrame:
-    """Top-level fields of active results that the compact text lost, per tool and field."""
+    """Per tool and subfield of active results: n (values in the raw text) and lost (values the compact text has not).
+
+    ``compacted`` (conv, pos, role, tool, superseded, content, compact). Values count with
+    their number of occurrences: of a value that stands three times and is kept twice, one is lost.
+    """
+    lost = subfield_losses(compacted)
+    return lost.groupBy("tool", F.col("path").alias("field")).agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
+
+
+def subfield_losses(compacted: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys``, conv, pos, tool, path, n, lost: raw and compact leaves of active results compared value by value."""
+    own = ["conv", "pos", "tool", *(keys or [])]
     active = compacted.where((F.col("role") == "tool") & ~F.col("superseded"))
-    raw = active.select("conv", "pos", "tool", F.explode(F.from_json("content", "map<string,string>")).alias("field", "value")).where(F.col("value").isNotNull())
-    small = active.select("conv", "pos", F.explode(F.from_json("compact", "map<string,string>")).alias("field", "kept"))
-    j = raw.join(small, ["conv", "pos", "field"], "left")
-    return j.groupBy("tool", "field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kept").isNull()).alias("lost"))
+    raw = json_leaves(active, "content", own).groupBy(*own, "path", "value").agg(F.count(F.lit(1)).alias("n_raw"))
+    small = json_leaves(active, "compact", own).groupBy("conv", "pos", "path", "value").agg(F.count(F.lit(1)).alias("n_kept"))
+    j = raw.join(small, ["conv", "pos", "path", "value"], "left").withColumn("missing", F.greatest(F.col("n_raw") - F.coalesce("n_kept", F.lit(0)), F.lit(0)))
+    return j.groupBy(*own, "path").agg(F.sum("n_raw").alias("n"), F.sum("missing").alias("lost"))
+
+
+def loss_summary(losses: DataFrame, by: str) -> DataFrame:
+    """Active results with at least one lost value, and lost values, per ``by`` (tool, path, task …)."""
+    hit = losses.where("lost > 0")
+    return hit.groupBy(by).agg(F.count_distinct("conv", "pos").alias("results"), F.sum("lost").alias("lost"))

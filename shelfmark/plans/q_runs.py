@@ -719,6 +719,93 @@ def compaction_losses(spark, sf):
     return K.field_losses(K.compact_history(history(spark, sf)))
 
 
+def payloads(spark, sf):
+    """Tool results over the tables: orders with all their lines, brands with variants, types as searches, policies, failed reads."""
+    li, part = D.table(spark, sf, "lineitem"), D.table(spark, sf, "part")
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
+    pid = lambda c: F.format_string("P%05d", c)
+    in_line_order = lambda *cols: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(*cols).alias("x")))), lambda s: s["x"])
+    memo = F.lit("not kept").alias("memo")
+    method = F.concat(F.lit("card_"), F.col("l_linenumber").cast("string")).alias("payment_method_id")
+    lines = li.groupBy("l_orderkey").agg(
+        in_line_order(pid("l_partkey").alias("item_id"), F.col("l_suppkey").alias("product_id"), memo, cents("l_extendedprice").alias("price")).alias("items"),
+        in_line_order(F.lit("payment").alias("transaction_type"), cents("l_tax").alias("amount"), memo, method).alias("payment_history"),
+        in_line_order(F.col("l_suppkey").alias("tracking_id"), F.array(pid("l_partkey")).alias("item_ids"), memo).alias("fulfillments"),
+    )
+    orders = D.orders(spark, sf).join(lines, F.col("order_key") == F.col("l_orderkey"))
+    order = F.struct("order_id", memo, "user_id", "status", "items", "payment_history", "fulfillments")
+    listed = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type", cents("p_retailprice").alias("price"))))
+    variant = F.map_from_entries(F.transform("ps", lambda p: F.struct(pid(p["p_partkey"]), F.struct(pid(p["p_partkey"]).alias("item_id"), memo, p["p_name"].alias("name"), p["price"].alias("price")))))
+    hits = F.transform("ps", lambda p: F.struct(pid(p["p_partkey"]).alias("product_id"), p["p_name"].alias("title"), memo, p["p_type"].alias("category"), p["price"].alias("price")))
+    docs = D.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text", "lang")
+    policies = docs.groupBy(F.floor(F.col("doc_id") / 4).alias("g")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "title", "text", "lang"))).alias("policies"))
+    ok = F.lit(True).alias("ok")
+    return (
+        orders.select(F.lit("get_order_details").alias("tool"), F.col("order_id").alias("key"), F.to_json(order).alias("result"))
+        .unionByName(part.groupBy("p_brand").agg(listed.alias("ps")).select(F.lit("get_product_details").alias("tool"), F.col("p_brand").alias("key"), F.to_json(F.struct(F.col("p_brand").alias("title"), memo, variant.alias("variants"))).alias("result")))
+        .unionByName(part.groupBy("p_type").agg(listed.alias("ps")).select(F.lit("search_catalog").alias("tool"), F.col("p_type").alias("key"), F.to_json(F.struct(ok, hits.alias("items"))).alias("result")))
+        .unionByName(policies.select(F.lit("get_policy").alias("tool"), F.col("g").cast("string").alias("key"), F.to_json(F.struct(ok, "policies")).alias("result")))
+        .unionByName(orders.where(F.col("order_key") % 37 == 0).select(F.lit("get_order").alias("tool"), F.col("order_id").alias("key"), F.lit('{"ok":false,"error":"order_not_found","memo":1}').alias("result")))
+    )
+
+
+@register(
+    "compact_payloads",
+    D.with_sql("dom_orders", body="""SELECT tool, key, md5(c) AS digest, length(c) AS chars FROM (
+  SELECT 'get_order_details' AS tool, order_id AS key, '{"status":"' || status || '","order_id":"' || order_id || '","user_id":"' || user_id || '","items":[' || items || '],"payment_history":[' || pays || '],"fulfillments":[' || fuls || ']}' AS c
+   FROM dom_orders JOIN (SELECT l_orderkey,
+      string_agg(printf('{"item_id":"P%05d","product_id":%d,"price":%d}', l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) FILTER (up <= 12) AS items,
+      string_agg(printf('{"transaction_type":"payment","amount":%d,"payment_method_id":"card_%d"}', CAST(round(l_tax * 100) AS BIGINT), l_linenumber), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) FILTER (down <= 4) AS pays,
+      string_agg(printf('{"tracking_id":%d,"item_ids":["P%05d"]}', l_suppkey, l_partkey), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS fuls
+     FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS up, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS down FROM lineitem) GROUP BY 1) ON l_orderkey = order_key
+  UNION ALL SELECT 'get_product_details', p_brand, '{"title":' || to_json(p_brand) || ',"variants":{' || string_agg(printf('"P%05d":{"item_id":"P%05d","name":%s,"price":%d}', p_partkey, p_partkey, to_json(p_name)::VARCHAR, CAST(round(p_retailprice * 100) AS BIGINT)), ',' ORDER BY p_partkey) || '}}'
+   FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 24) GROUP BY p_brand
+  UNION ALL SELECT 'search_catalog', p_type, '{"ok":true,"items":[' || string_agg(printf('{"product_id":"P%05d","title":%s,"category":%s,"price":%d}', p_partkey, to_json(p_name)::VARCHAR, to_json(p_type)::VARCHAR, CAST(round(p_retailprice * 100) AS BIGINT)), ',' ORDER BY p_partkey) || ']}'
+   FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) <= 12) GROUP BY p_type
+  UNION ALL SELECT 'get_policy', CAST(doc_id // 4 AS VARCHAR), '{"ok":true,"policies":[' || string_agg('{"doc_id":' || doc_id || ',"title":' || to_json(source) || ',"text":' || to_json(text[1:800]) || '}', ',' ORDER BY doc_id) || ']}'
+   FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) <= 3) GROUP BY doc_id // 4
+  UNION ALL SELECT 'get_order', order_id, '{"ok":false,"error":"order_not_found","order":{}}' FROM dom_orders SEMI JOIN lineitem ON l_orderkey = order_key WHERE order_key % 37 = 0)"""),
+)
+def compact_payloads(spark, sf):
+    small = payloads(spark, sf).select("tool", "key", K.compact_payload(F.col("tool"), F.col("result")).alias("c"))
+    return small.select("tool", "key", F.md5("c").alias("digest"), F.length("c").cast("bigint").alias("chars"))
+
+
+@register(
+    "payload_losses",
+    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS down, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS up FROM lineitem SEMI JOIN orders ON o_orderkey = l_orderkey),
+  p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS t FROM part),
+  o AS (SELECT count(DISTINCT l_orderkey) AS n FROM l),
+  d AS (SELECT *, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS i FROM documents),
+  ord AS (SELECT count(*) AS n, count(*) FILTER (down > 4) AS early, count(*) FILTER (up > 12) AS late FROM l),
+  hit AS (SELECT count(*) AS n, count(*) FILTER (t > 12) AS late FROM p),
+  doc AS (SELECT count(*) AS n, count(*) FILTER (i > 3) AS late, count(*) FILTER (i > 3 OR length(text) > 800) AS cut FROM d)
+  SELECT tool, field, CAST(n AS BIGINT) AS n, CAST(lost AS BIGINT) AS lost FROM (
+   SELECT 'get_order_details' AS tool, unnest(['order_id', 'user_id', 'status']) AS field, n, 0 AS lost FROM o
+   UNION ALL SELECT 'get_order_details', 'memo', n, n FROM o
+   UNION ALL SELECT 'get_order_details', unnest(['items.item_id', 'items.product_id', 'items.price']), n, late FROM ord
+   UNION ALL SELECT 'get_order_details', unnest(['items.memo', 'payment_history.memo', 'fulfillments.memo']), n, n FROM ord
+   UNION ALL SELECT 'get_order_details', unnest(['payment_history.transaction_type', 'payment_history.amount', 'payment_history.payment_method_id']), n, early FROM ord
+   UNION ALL SELECT 'get_order_details', unnest(['fulfillments.tracking_id', 'fulfillments.item_ids']), n, 0 FROM ord
+   UNION ALL SELECT 'get_product_details', 'title', count(DISTINCT p_brand), 0 FROM p
+   UNION ALL SELECT 'get_product_details', 'memo', count(DISTINCT p_brand), count(DISTINCT p_brand) FROM p
+   UNION ALL SELECT 'search_catalog', 'ok', count(DISTINCT p_type), 0 FROM p
+   UNION ALL SELECT 'search_catalog', unnest(['items.product_id', 'items.title', 'items.category', 'items.price']), n, late FROM hit
+   UNION ALL SELECT 'search_catalog', 'items.memo', n, n FROM hit
+   UNION ALL SELECT 'get_policy', 'ok', count(DISTINCT doc_id // 4), 0 FROM d
+   UNION ALL SELECT 'get_policy', unnest(['policies.doc_id', 'policies.title']), n, late FROM doc
+   UNION ALL SELECT 'get_policy', 'policies.lang', n, n FROM doc
+   UNION ALL SELECT 'get_policy', 'policies.text', n, cut FROM doc
+   UNION ALL SELECT 'get_order', unnest(['ok', 'error']), count(DISTINCT l_orderkey), 0 FROM l WHERE l_orderkey % 37 = 0
+   UNION ALL SELECT 'get_order', 'memo', count(DISTINCT l_orderkey), count(DISTINCT l_orderkey) FROM l WHERE l_orderkey % 37 = 0)""",
+)
+def payload_losses(spark, sf):
+    """Lost values per tool and subfield; a product's variants are named by their ids and stand in compact_payloads."""
+    p = payloads(spark, sf)
+    h = p.select(F.concat_ws("/", "tool", "key").alias("conv"), F.lit(0).alias("pos"), F.lit("tool").alias("role"), "tool", F.lit(False).alias("superseded"), F.col("result").alias("content"), K.compact_payload(F.col("tool"), F.col("result")).alias("compact"))
+    return K.field_losses(h).where(~F.col("field").startswith("variants."))
+
+
 # --- batch twins of the windowed streams ----------------------------------------------------------
 @register(
     "tumbling_calls",
