@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.functions.scale import broadcast_if_small
 from shelfmark.llm.common import mixed, named_words, slices, whole_texts, written
 from shelfmark.operators.components import connected_components
 
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text")
     rare = shingle_counts(texts, size)
-    sets = written(full_sets(texts.join(ids, "doc_id", "left_semi"), size, rare))
+    sets = written(full_sets(texts.join(broadcast_if_small(ids), "doc_id", "left_semi"), size, rare))
 
     def alike(a: str, b: str) -> Column:
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -294,7 +295,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, whole rows, without near duplicates: of each group the document with the smallest doc_id stays, once."""
     verdict = near_duplicates(docs, size, percent)
     flags = written(verdict.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("kept").alias("__kept"), (F.count(F.lit(1)) > 1).alias("__repeated")).where("__repeated or not __kept"))
-    stay = docs.join(flags, "doc_id", "left").where("coalesce(__kept, true)").withColumn("__repeated", F.coalesce("__repeated", F.lit(False)))
+    stay = docs.join(broadcast_if_small(flags), "doc_id", "left").where("coalesce(__kept, true)").withColumn("__repeated", F.coalesce("__repeated", F.lit(False)))
     if flags.where("__repeated and __kept").limit(1).count():
         again = stay.where("__repeated")
         stay = stay.where("not __repeated").unionByName(again.dropDuplicates(["doc_id"]))
