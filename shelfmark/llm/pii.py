@@ -208,5 +208,5 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """``docs``, whole rows, with the text's entities and disclosing terms generalised. Texts without any stay as they are, null ones null."""
     spans = all_spans(docs).where(F.size("spans") > 0).select(*_KEY, F.col("spans").alias("__spans")).dropDuplicates(_KEY)
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(written(spans), _KEY, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans"))))
+    out = keyed.join(broadcast_if_small(written(spans)), _KEY, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
