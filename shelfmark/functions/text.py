@@ -102,10 +102,10 @@ def redact_json(c: Column | str) -> Column:
 
 
 def glob_to_regex(glob: Column | str) -> Column:
-    """Anchored regex for a ``*`` / ``?`` glob."""
+    """Anchored regex for a glob of ``*``, ``?``, ``[seq]`` and ``[!seq]``."""
     quoted = F.regexp_replace(col(glob), r"([.+(){}|^$\\])", r"\\$1")
-    starred = F.regexp_replace(quoted, r"\*", ".*")
-    return F.concat(F.lit("^"), F.regexp_replace(starred, r"\?", "."), F.lit("$"))
+    starred = F.regexp_replace(F.regexp_replace(quoted, r"\[!", "[^"), r"\*", ".*")
+    return F.concat(F.lit("(?s)^"), F.regexp_replace(starred, r"\?", "."), F.lit("$"))
 
 
 # --- sentences, dates, facts --------------------------------------------

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scale import spread
+from shelfmark.functions import quantiles as QS
+from shelfmark.functions.scale import settled, spread
 from shelfmark.functions.text import replace_first
 from shelfmark.operators import retrieval as R
 from shelfmark.operators import retrieval_eval as E
@@ -293,34 +294,46 @@ def catalog_chunks(spark, sf):
 CATALOG_SQL = """SELECT line_no AS chunk_id, 'product:' || product_id AS doc_id, 'product' AS source_type, product_id, category, title,
   CASE WHEN line_no % 10 = 0 THEN NULL WHEN line_no % 10 = 1 THEN 0.0 ELSE price END AS price, inventory,
   concat_ws(' ', title, brand, size, model) AS text FROM dom_products"""
-CATALOG_Q = """SELECT row_number() OVER (ORDER BY p_name, p_type) AS query_id, p_name || ' Brand 7' AS text, p_type AS want,
+CATALOG_Q = """SELECT ('0x' || md5(p_name || '|' || p_type)[1:15])::BIGINT AS query_id, p_name || ' Brand 7' AS text, p_type AS want,
   round(avg(p_retailprice), 2) AS ceiling FROM part GROUP BY p_name, p_type"""
 
 
 def catalog_queries(spark, sf):
     """One query per product name and type: the type as category filter, its mean price as ceiling."""
     p = D.table(spark, sf, "part").groupBy("p_name", "p_type").agg(F.round(F.avg("p_retailprice"), 2).alias("ceiling"))
-    numbered = F.row_number().over(R.Window.partitionBy(F.lit(1)).orderBy("p_name", "p_type"))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", "p_name", "p_type")), 1, 15), 16, 10).cast("bigint")
     return p.select(
-        numbered.cast("bigint").alias("query_id"),
+        key.alias("query_id"),
         F.concat("p_name", F.lit(" Brand 7")).alias("text"),
         F.col("p_type").alias("want"),
         "ceiling",
     )
 
 
+#: Products and queries take vectors of the embeddings table by their keys.
+CATALOG_VECTORS, CATALOG_QUERY_VECTORS = 200, 199
+
 CATALOG_SEARCH_SQL = f"""WITH dom_products AS ({D.CTE['dom_products']}), {bm25_ctes(CATALOG_SQL, 20, CATALOG_Q)},
-  den AS (SELECT query_id, chunk_id, score, rank FROM lex WHERE false), {HYBRID_SQL},
+  qv AS (SELECT query_id, embedding AS vector FROM q JOIN embeddings ON vec_id = query_id % {CATALOG_QUERY_VECTORS}),
+  cv AS (SELECT chunk_id, embedding FROM ch JOIN embeddings ON vec_id = chunk_id % {CATALOG_VECTORS}), {DENSE_SQL}, {HYBRID_SQL},
   cand AS (SELECT fr.query_id, fr.doc_id, c.product_id, c.title, c.category, c.price, c.inventory, c.text, fr.score, row_number() OVER (PARTITION BY fr.query_id ORDER BY fused_rank) AS rank, q.ceiling
      FROM fr JOIN ch c USING (chunk_id) JOIN q USING (query_id) WHERE contains(lower(c.category), lower(q.want)) QUALIFY rank <= 15)"""
 
 
+def catalog_vectors(spark, sf, rows, key, modulus, name):
+    e = D.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias(name))
+    return rows.select(key).join(e, F.col(key) % modulus == F.col("vec_id")).select(key, name)
+
+
 def catalog_results(spark, sf, limit=15):
+    """Catalogue hits of both channels, filtered by the wanted category after fusion."""
     chunks = catalog_chunks(spark, sf)
     q = catalog_queries(spark, sf)
     lex = R.bm25_topk(chunks, q, k=20)
-    none = lex.where(F.lit(False))
-    fused = R.hybrid_search(lex, none, chunks, q, limit=10**6)
+    dense = R.dense_topk(
+        catalog_vectors(spark, sf, chunks, "chunk_id", CATALOG_VECTORS, "embedding"), catalog_vectors(spark, sf, q, "query_id", CATALOG_QUERY_VECTORS, "vector"), k=20
+    )
+    fused = R.hybrid_search(lex, dense, chunks, q, limit=10**6)
     wanted = fused.drop("rank").join(q.select("query_id", "want", "ceiling"), "query_id")
     kept = wanted.where(F.contains(F.lower("category"), F.lower("want")))
     return q, R.top_per(kept, "query_id", [F.asc("fused_rank")], limit)
@@ -530,6 +543,19 @@ def latency_quantiles(spark, sf):
     return q.select("channel", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "nearest_p95", "floor_p95", "upper_median")
 
 
+@register(
+    "latency_sketches",
+    "SELECT event_type AS channel, count(value) AS n, count(DISTINCT CAST(ts AS DATE)) AS runs, true AS p50_inside, true AS p95_inside FROM events GROUP BY 1",
+)
+def latency_sketches(spark, sf):
+    """Sketches per channel and day, merged over days; each estimate's exact rank against three times the stated error."""
+    e = D.table(spark, sf, "events").select(F.col("event_type").alias("channel"), F.to_date("ts").alias("run"), "value")
+    wanted = {"p50": 0.5, "p95": 0.95}
+    merged = settled(QS.quantiles(QS.merge_runs(QS.sketch_runs(e, ["channel", "run"], "value"), ["channel"]), wanted))
+    inside = QS.within(e, ["channel"], "value", merged, wanted, slack=3.0)
+    return merged.join(inside.withColumnsRenamed({n: f"{n}_inside" for n in wanted}), "channel").select("channel", "n", "runs", "p50_inside", "p95_inside")
+
+
 @register(
     "scale_sweep",
     f"""WITH tok AS (SELECT doc_id, lang, {TOK.format('text')} AS tokens FROM documents),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import random
 from collections import Counter, defaultdict
@@ -58,6 +59,18 @@ def test_blocked_dense_and_lexical_equal_unblocked(spark, sf):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_globs_meet_a_dictionary_of_fields(spark):
+    fields = ["order.status", "order.id", "return.eligible", "product.evidence.1", "product.evidence.12", "product.price", "", "order"]
+    globs = ["order.*", "*.status", "*", "product.evidence.?", "product.[ep]*", "product.[!e]*", "none.*", "order*"]
+    got = V.glob_fields(spark.createDataFrame([(g,) for g in globs], "need string"), spark.createDataFrame([(f,) for f in fields], "field string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((g, f) for g in globs for f in fields if fnmatch.fnmatchcase(f, g))
+    rows = spark.createDataFrame([("a", f"E{i}", "s", "order.status", "shipped", "shipped") for i in range(5)] + [("a", "E9", "s", "order.id", "O1", "O1"), ("b", "E1", "s", "order.id", "O2", "O2")],
+                                 "trajectory_id string, evidence_id string, source_id string, field string, value string, text string")
+    asked = spark.createDataFrame([("a", "it is shipped", ["order.*", "order.id", "none.*"]), ("b", "nothing", ["order.*"]), ("c", "x", ["*"])], "trajectory_id string, answer string, required array<string>")
+    assert sorted((r["trajectory_id"], r["covered"], r["required"], r["omitted"]) for r in V.required_coverage(asked, rows).collect()) == [
+        ("a", 1, 3, ["none.*", "order.id"]), ("b", 0, 1, ["order.*"]), ("c", 0, 1, ["*"])]
+
+
 def test_filters_come_after_fusion(spark):
     chunks = spark.createDataFrame(
         [(i, f"d{i}", "product", "accessories" if i > 2 else "phones", f"t{i}") for i in range(1, 6)],
