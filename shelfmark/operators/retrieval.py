@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.functions import fixed_values as fv
-from shelfmark.functions.scale import BROADCAST_LIMIT_BYTES, block_count, payload_bytes
+from shelfmark.functions.scale import BROADCAST_LIMIT_BYTES, payload_bytes
 from shelfmark.functions.text import find_all, tokenize
-
-SCORE_DIGITS = 9  # equal texts must tie, whatever order their terms were summed in
+from shelfmark.operators.postings import SCORE_DIGITS, build_index, topk
 
 
 def top_per(df: DataFrame, key: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -72,66 +71,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("token"))
 
 
-def bm25_topk(
-    chunks: DataFrame,
-    queries: DataFrame,
-    k: int = fv.BM25_K,
-    k1: float = fv.BM25_K1,
-    b: float = fv.BM25_B,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
-) -> DataFrame:
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = fv.BM25_K, k1: float = fv.BM25_K1, b: float = fv.BM25_B) -> DataFrame:
     """Top ``k`` chunks per query: ``(query_id, chunk_id, score, rank)``.
 
-    Query terms are broadcast after their size was measured; a larger query table
-    is answered block by block. Matching tokens are exchanged once by chunk, so
-    term counts, scores and the per-task top k need no further exchange, and only
-    ``k`` rows per task and query reach the final ranking.
+    The chunks are tokenised once, into an index in the shared folder. To ask one
+    corpus again and again, build the index with a path and use ``postings.topk``.
     """
-    terms = query_terms(queries)
-    blocks = block_count(terms, limit_bytes)
-    parts = []
-    for i in range(blocks):
-        block = terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        parts.append(_bm25_block(chunks, block, k, k1, b))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _bm25_block(chunks: DataFrame, terms: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    vocabulary = terms.select("token").distinct()
-    tokens = chunks.select("chunk_id", tokenize("text").alias("tokens"))
-    df = (
-        tokens.select(F.explode(F.array_distinct("tokens")).alias("token"))
-        .join(F.broadcast(vocabulary), "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    stats = tokens.agg(
-        F.count(F.lit(1)).alias("n"), F.greatest(F.avg(F.size("tokens")), F.lit(1e-9)).alias("avgdl")
-    ).withColumn("j", F.lit(1))
-    weights = (
-        terms.join(F.broadcast(df), "token")
-        .withColumn("j", F.lit(1))
-        .join(F.broadcast(stats), "j")
-        .select("token", "query_id", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
-    )
-    matched = (
-        tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-        .join(F.broadcast(vocabulary), "token", "left_semi")
-        .repartition("chunk_id")
-        .groupBy("chunk_id", "token", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    )
-    scored = (
-        matched.join(F.broadcast(weights), "token")
-        .groupBy("chunk_id", "query_id")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-    )
-    return top_per(scored, "query_id", [F.desc("score"), F.asc("chunk_id")], k).select(
-        "query_id", "chunk_id", "score", "rank"
-    )
+    return topk(build_index(chunks), query_terms(queries), k, k1, b)
 
 
 # --- dense ---------------------------------------------------------------------

@@ -18,6 +18,7 @@ from shelfmark.operators import dataset as S
 from shelfmark.operators import evidence as V
 from shelfmark.operators import grading as G
 from shelfmark.operators import orders as O
+from shelfmark.operators import postings as X
 from shelfmark.operators import progress as P
 from shelfmark.operators import retrieval as R
 from shelfmark.operators.components import connected_components
@@ -45,7 +46,7 @@ def test_text_helpers(spark):
     assert set(got) == {"O000123", "2026-07-01", "899 元", "已送达", "不可退货"}
 
 
-def test_blocked_dense_and_lexical_equal_unblocked(spark, sf):
+def test_blocked_dense_and_lexical_equal_unblocked(spark, sf, tmp_path):
     e = D.table(spark, sf, "embeddings")
     v = e.select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -55,8 +56,19 @@ def test_blocked_dense_and_lexical_equal_unblocked(spark, sf):
     assert whole.where(F.col("chunk_id") == F.col("query_id")).count() == 0
     docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     qs = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    a, b = R.bm25_topk(docs, qs, k=4), R.bm25_topk(docs.repartition(7), qs, k=4, limit_bytes=20_000)
-    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    parts = R.dense_topk(v.repartition(5), q, k=3, exclude_self=True, query_tile=7, vector_tile=11)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    want = sorted(map(str, R.bm25_topk(docs, qs, k=4).collect()))
+    index, terms = X.build_index(docs.repartition(7), str(tmp_path / "index")), R.query_terms(qs)
+    again = X.open_index(spark, str(tmp_path / "index"))
+    table = X.inverted(again, str(tmp_path / "inverted"), buckets=8)
+    assert sorted(map(str, X.topk(index, terms, 4, direct_pairs=0).collect())) == want
+    assert sorted(map(str, X.topk(again, terms, 4, table=table).collect())) == want
+    assert sorted(map(str, X.topk(again, terms, 4, table=table, direct_pairs=0).collect())) == want
+    few = docs.where("chunk_id < 3").unionByName(spark.createDataFrame([(-1, None), (-2, "")], docs.schema))
+    small = X.build_index(few)
+    assert sorted(map(str, X.topk(small, terms, 4, direct_pairs=0).collect())) == sorted(map(str, X.topk(small, terms, 4).collect()))
+    assert X.topk(X.build_index(docs.limit(0)), terms, 4).count() == 0
 
 
 def test_globs_meet_a_dictionary_of_fields(spark):
