@@ -76,6 +76,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.greatest(F.size(a), F.size(b)) == 0, 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
+def packed(a: Column) -> Column:
+    """A sketch as bytes, eight a hash, for exchanges."""
+    return F.unhex(F.array_join(a, ""))
+
+
+def unpacked(a: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(a)), F.lit(f".{{{HASH_DIGITS}}}"), F.lit(0))
+
+
 def spelled(a: Column) -> Column:
     return F.array_join(a, ",")
 
@@ -130,7 +139,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     links = written(next_rows(docs, "doc_id", "text"))
-    told = docs.select(_name(F.col("doc_id"), F.md5("text")).alias(_NAME), "text", sketch(F.col("text")).alias("mark"))
+    told = docs.select(_name(F.col("doc_id"), F.md5("text")).alias(_NAME), "text", packed(sketch(F.col("text"))).alias("mark"))
     texts = told.groupBy(_NAME).agg(F.first("text").alias("text"), F.first("mark").alias("mark"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     heads = texts.join(links, F.col(_NAME) == F.col("next_name")).select(
@@ -138,7 +147,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     both = texts.join(heads, _NAME)
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.col("head"))
-    both = both.select("doc_id", "n_chars", "copies", "mark", "next_mark", edited.alias("edited"))
+    both = both.select("doc_id", "n_chars", "copies", unpacked(F.col("mark")).alias("mark"), unpacked(F.col("next_mark")).alias("next_mark"), edited.alias("edited"))
     both = both.select("*", sketch(F.col("edited")).alias("edited_mark"))
     rows = both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled(F.col("mark")).alias("fingerprint"), spelled(F.col("edited_mark")).alias("edited_fingerprint"),
