@@ -10,12 +10,13 @@ shuffled, and a lost task is simply run again.
 from __future__ import annotations
 
 import base64
-from array import array
+import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from shelfmark.llm.common import slices, whole_texts
 
-#: Words kept per task with their ids; the store starts anew beyond it (ids stay the same).
+#: Words of one generation of a worker's store. When it is full it becomes the older one, and words met again move on; ids stay the same.
 REMEMBERED_WORDS = 100_000
 #: Text bytes laid out at a time.
 LAID_OUT_BYTES = 1 << 19
@@ -47,64 +48,80 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class Replay:
-    """Merge replay over lists of words; built once per task from the tokens in rank order."""
+    """Merge replay over lists of words; built from the tokens in rank order."""
 
     def __init__(self, tokens: list[bytes]):
         self.rank = {t: i for i, t in enumerate(tokens) if t}
-        self.byte = [self.rank[bytes([b])] for b in range(256)]
+        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         self.merge: dict[int, int] = {}
         for token, rank in self.rank.items():
             for k in range(1, len(token)):
                 left, right = self.rank.get(token[:k]), self.rank.get(token[k:])
                 if left is not None and right is not None:
                     self.merge[left << 32 | right] = rank
-
-    def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each word. A word that is a token is that token; the others are merged together, lowest rank first."""
-        out: list[tuple[int, ...] | None] = [None] * len(words)
-        token, after, before = [], [], []
-        index: dict[int, list[int]] = {}
-        begins: list[tuple[int, int]] = []
-        merge, byte = self.merge, self.byte
-        for w, word in enumerate(words):
-            whole = self.rank.get(word)
-            if whole is not None:
-                out[w] = (whole,)
-                continue
-            ids = [byte[b] for b in word]
-            at, n = len(token), len(ids)
-            begins.append((w, at))
-            token += ids
-            after += range(at + 1, at + n)
-            after.append(-1)
-            before.append(-1)
-            before += range(at, at + n - 1)
-            for i in range(n - 1):
-                rank = merge.get(ids[i] << 32 | ids[i + 1])
-                if rank is not None:
-                    index.setdefault(rank, []).append(at + i)
-        self._replay(token, after, before, index)
-        for w, p in begins:
-            ids = []
-            while p >= 0:
-                ids.append(token[p])
-                p = after[p]
-            out[w] = tuple(ids)
+        none = np.iinfo(np.int64).max
+        self.pairs = np.array([*sorted(self.merge), none], np.int64)
+        self.ranks = np.array([self.merge.get(p, none) for p in self.pairs.tolist()], np.int64)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian 32-bit numbers. A word that is a token is that token; the others are merged together, lowest rank first."""
+        whole = list(map(self.rank.get, words))
+        rest = [w for w, rank in enumerate(whole) if rank is None and words[w]]
+        out = [b"" if rank is None else rank.to_bytes(4, "little") for rank in whole]
+        if not rest:
+            return out
+        data = np.frombuffer(b"".join([words[w] for w in rest]), np.uint8)
+        ends = np.cumsum([len(words[w]) for w in rest])
+        starts = np.concatenate(([0], ends[:-1]))
+        token = self.byte[data]
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[ends - 1], before[starts] = -1, -1
+        # the index: places of every pair that is a merge, by its rank
+        pairs = token[:-1] << 32 | token[1:]
+        at = np.searchsorted(self.pairs, pairs)
+        known = self.pairs[at] == pairs  # the last pair is none, so every place found is inside
+        known[ends[:-1] - 1] = False
+        places = np.flatnonzero(known)
+        ranks = self.ranks[at[places]]
+        order = np.argsort(ranks, kind="stable")
+        distinct, first = np.unique(ranks[order], return_index=True)
+        index = {rank: part.tolist() for rank, part in zip(distinct.tolist(), np.split(places[order], first[1:]), strict=True)} if len(places) else {}
+        merged = token.tolist()
+        self._replay(merged, after.tolist(), before.tolist(), index)
+        # what merges took up is marked, so the ids of a word are what is left between its ends
+        left = np.array(merged)
+        alive = left >= 0
+        raw = left[alive].astype("<u4").tobytes()
+        upto = (4 * np.cumsum(np.add.reduceat(alive, starts, dtype=np.int64))).tolist()
+        begin = 0
+        for w, end in zip(rest, upto, strict=True):
+            out[w] = raw[begin:end]
+            begin = end
         return out
 
     def _replay(self, token: list[int], after: list[int], before: list[int], index: dict[int, list[int]]) -> None:
-        merge = self.merge
-        waiting = list(index)
+        known, waiting = self.merge.get, list(index)
         heapify(waiting)
+
+        def add(rank: int, place: int) -> None:
+            places = index.get(rank)
+            if places is None:
+                index[rank] = [place]
+                heappush(waiting, rank)
+            else:
+                places.append(place)
+
         while waiting:
             rank = heappop(waiting)
             places = index.pop(rank, None)
             if places is None:
                 continue
-            places.sort()
+            if len(places) > 1:
+                places.sort()
+            high = rank << 32
             for done, p in enumerate(places):
                 q = after[p]
-                if q < 0 or token[p] < 0 or merge.get(token[p] << 32 | token[q]) != rank:
+                if q < 0 or token[p] < 0 or known(token[p] << 32 | token[q]) != rank:
                     continue  # a merge before took this place's pair
                 token[p], token[q] = rank, -1
                 n, left = after[q], before[p]
@@ -113,27 +130,49 @@ class Replay:
                 lower = False
                 if n >= 0:
                     before[n] = p
-                    fresh = merge.get(rank << 32 | token[n])
+                    fresh = known(high | token[n])
                     if fresh is not None:
-                        lower |= fresh < rank
-                        self._add(index, waiting, fresh, p)
+                        lower = fresh < rank
+                        add(fresh, p)
                 if left >= 0:
-                    fresh = merge.get(token[left] << 32 | rank)
+                    fresh = known(token[left] << 32 | rank)
                     if fresh is not None:
-                        lower |= fresh < rank
-                        self._add(index, waiting, fresh, left)
+                        lower = lower or fresh < rank
+                        add(fresh, left)
                 if lower:  # an earlier merge has come up: it goes first, the rest of these places wait
                     for rest in places[done + 1 :]:
-                        self._add(index, waiting, rank, rest)
+                        add(rank, rest)
                     break
 
-    @staticmethod
-    def _add(index: dict[int, list[int]], waiting: list[int], rank: int, place: int) -> None:
-        if rank in index:
-            index[rank].append(place)
-        else:
-            index[rank] = [place]
-            heappush(waiting, rank)
+
+class Store:
+    """The merges of one vocabulary and the ids of words met lately; one per worker process, so later tasks find them."""
+
+    def __init__(self, tokens: list[bytes], version: str):
+        self.version, self.replay = version, Replay(tokens)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words (at least these), as little-endian bytes."""
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = words.difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        fresh = list(new - again)
+        known.update(zip(fresh, self.replay.encode([w.encode() for w in fresh]), strict=True))
+        return known
+
+
+_STORES: list[Store] = []
+
+
+def _store_of(tokens: list[bytes], version: str) -> Store:
+    if not _STORES or _STORES[0].version != version:
+        _STORES[:] = [Store(tokens, version)]
+    return _STORES[0]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids_le") -> DataFrame:
@@ -145,21 +184,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     """
     spark = docs.sparkSession
     whole_texts(spark)
-    tokens = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    tokens, version = spark.sparkContext.broadcast(ranks), hashlib.sha256(b"\n".join(base64.b64encode(t) for t in ranks)).hexdigest()
     docs = docs.drop(ids)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = word_pattern(pattern).findall
-        replay, known = Replay(tokens.value), {}
+        store = _store_of(tokens.value, version)
         for batch in batches:
             for part in slices(batch, text, LAID_OUT_BYTES):
                 split = [find(t) if t else [] for t in part.column(text).to_pylist()]
-                if len(known) > REMEMBERED_WORDS:
-                    known = {}
-                fresh = list(set(chain.from_iterable(split)).difference(known))
-                known.update(zip(fresh, replay.encode([w.encode() for w in fresh]), strict=True))
-                packed = [array("I", chain.from_iterable(map(known.__getitem__, words))).tobytes() for words in split]
+                known = store.learn(set(chain.from_iterable(split)))
+                packed = [b"".join(map(known.__getitem__, words)) for words in split]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed, pa.binary())], names=[*part.schema.names, ids])
 
     return docs.mapInArrow(run, schema)
