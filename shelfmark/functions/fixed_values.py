@@ -354,3 +354,7 @@ PROBE_TEMPLATES = {
 PROBE_SEED = 20260814
 PROBE_CODE = "123456"
 MIN_PROBES_PER_CLASS = 20
+
+# --- generated benchmarks ------------------------------------------------
+#: What a product without category aliases is called in a generated question.
+NO_ALIAS = "商品"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.functions import fixed_values as fv
-from shelfmark.functions.scale import exact_ranks
+from shelfmark.functions.scale import broadcast_if_small, exact_ranks, settled
 from shelfmark.functions.text import cents, partial_name, replace_first
 from shelfmark.operators.retrieval import bm25_topk, top_per
 
@@ -181,6 +182,79 @@ def staged_kinds(stages: dict[str, DataFrame], key: str) -> DataFrame:
     return staged.groupBy(key).agg(F.min_by("kind", "stage").alias("kind"))
 
 
+# --- hold-out with quotas -----------------------------------------------------------
+def first_alias() -> Column:
+    return F.coalesce(F.get("aliases", F.lit(0)), F.lit(fv.NO_ALIAS))
+
+
+def _asked(rows: DataFrame, kind: str, question: Column, ids: Column, order: list[str]) -> DataFrame:
+    """Candidates of a kind: question, the gold product ids and the place that decides who comes first."""
+    return rows.select(F.lit(kind).alias("kind"), question.alias("question"), ids.alias("ids"), F.struct(*order).alias("place"))
+
+
+def attribute_without_title(attributes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Questions by the longest attribute that occurs once in the whole catalogue, without the product's title."""
+    signed = attributes.select("product_id", "key", "value", F.lower(F.trim("key")).alias("k"), F.lower(F.trim("value")).alias("v"))
+    once = signed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("product_id", "key", "value")).alias("only")).where("c = 1")
+    usable = once.select("only.*").where(F.length(F.trim("value")) >= 4)
+    best = top_per(usable, "product_id", [F.desc(F.length("value")), F.asc("key")], 1, rank="n").drop("n")
+
+    def make(open_: DataFrame) -> DataFrame:
+        rows = open_.join(best, "product_id")
+        question = F.concat(F.lit("找"), first_alias(), F.lit("，品牌线索是 "), "brand", F.lit("，属性 "), "key", F.lit(" 为 "), "value", F.lit("。"))
+        return _asked(rows.where(~title_leaks(question, F.col("title"))), "attribute_no_title", question, F.array("product_id"), ["place", "product_id"])
+
+    return make
+
+
+def budget_and_clue(open_: DataFrame) -> DataFrame:
+    ceiling = cents(F.col("price") * 1.05 + 1)
+    question = F.concat(
+        F.lit("预算不超过 "), F.format_string("%.2f", ceiling), F.lit("，找 "), "brand", F.lit(" 的"), first_alias(), F.lit("，名称线索 "), partial_name("title")
+    )
+    return _asked(open_.where(F.col("price") > 0), "multi_constraint", question, F.array("product_id"), ["place", "product_id"])
+
+
+def misspelt_clue(open_: DataFrame) -> DataFrame:
+    clue = partial_name("title")
+    typo = replace_first(replace_first(replace_first(clue, "o", "0"), "i", "1"), "e", "3")
+    question = F.concat(F.lit("有个"), first_alias(), F.lit("好像叫 "), typo, F.lit("，帮我定位准确商品"))
+    return _asked(open_.where(clue != ""), "alias_typo", question, F.array("product_id"), ["place", "product_id"])
+
+
+def near_pairs(open_: DataFrame) -> DataFrame:
+    """The first two open products of each (brand, first three category words): pairs share no product."""
+    keyed = open_.where(F.trim("brand") != "").withColumns(
+        {"b": F.lower(F.trim("brand")), "c": F.array_join(F.slice(F.split(F.lower("category"), r"\s+"), 1, 3), " ")}
+    )
+    row = F.struct("place", "product_id", "brand", "title")
+    first = keyed.groupBy("b", "c").agg(F.min(row).alias("one"))
+    rest = keyed.join(first, ["b", "c"]).where(F.struct("place", "product_id") > F.struct("one.place", "one.product_id"))
+    second = rest.groupBy("b", "c").agg(F.min(F.struct("place", "product_id")).alias("two"), F.first("one").alias("one"))
+    question = F.concat(F.lit("找 "), "one.brand", F.lit(" 的相近型号，线索是 "), partial_name("one.title"))
+    rows = second.select(question.alias("question"), F.array("one.product_id", "two.product_id").alias("ids"), F.col("one.place").alias("place"), F.col("one.product_id").alias("product_id"))
+    return _asked(rows, "near_sku_multi_gold", F.col("question"), F.col("ids"), ["place", "product_id"])
+
+
+def with_quotas(products: DataFrame, kinds: list[tuple[Callable[[DataFrame], DataFrame], int]]) -> DataFrame:
+    """kind, n (place within the kind), question, gold_doc_ids: each kind takes its quota of products no earlier kind took.
+
+    ``products`` (product_id, title, category, price, brand, aliases, place); ``place`` is
+    the seeded order. What a kind leaves, because its quota is full or a product does not
+    fit it, stays for the later ones. A quota is a constant limit: each task sends at most
+    that many rows. A kind with fewer candidates than its quota takes them all.
+    """
+    open_, parts = products, []
+    for make, quota in kinds:
+        taken = settled(make(open_).orderBy("place").limit(quota))
+        parts.append(taken)
+        used = taken.select(F.explode("ids").alias("product_id"))
+        open_ = open_.join(broadcast_if_small(used), "product_id", "left_anti")
+    every = reduce(DataFrame.unionByName, parts)
+    numbered = every.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("place")))
+    return numbered.select("kind", "n", "question", F.transform("ids", lambda i: F.concat(F.lit("product:"), i)).alias("gold_doc_ids"))
+
+
 def title_leaks(question: Column, title: Column) -> Column:
     return F.contains(F.lower(question), F.lower(title))
 

@@ -682,6 +682,41 @@ def mutual_exclusion(spark, sf):
     return E.staged_kinds(stages, "doc_id")
 
 
+CLUE = "CASE WHEN len([t FOR t IN toks IF length(t) >= 4]) > 0 THEN array_to_string([t FOR t IN toks IF length(t) >= 4][1:2], ' ') ELSE array_to_string(toks[1:2], ' ') END"
+ONCE = "CASE WHEN instr({0}, '{1}') > 0 THEN substr({0}, 1, instr({0}, '{1}') - 1) || '{2}' || substr({0}, instr({0}, '{1}') + 1) ELSE {0} END"
+
+
+@register(
+    "benchmark_quotas",
+    DA
+    + f""", p AS (SELECT *, md5('20260720' || product_id) AS place, {CLUE} AS clue, CASE WHEN line_no % 3 = 0 THEN '商品' ELSE 'alias ' || category END AS alias
+       FROM (SELECT *, regexp_extract_all(title, '[A-Za-z0-9][A-Za-z0-9+._-]*') AS toks FROM dom_products)),
+     f AS (SELECT product_id, key, value, count(*) OVER (PARTITION BY lower(trim(key)), lower(trim(value))) AS c FROM dom_attributes),
+     u AS (SELECT product_id, key, value FROM f WHERE c = 1 AND length(trim(value)) >= 4 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY length(value) DESC, key) = 1),
+     k1 AS (SELECT 'attribute_no_title' AS kind, place, product_id, [product_id] AS ids, question FROM (SELECT *, '找' || alias || '，品牌线索是 ' || brand || '，属性 ' || key || ' 为 ' || value || '。' AS question FROM p JOIN u USING (product_id))
+       WHERE NOT contains(lower(question), lower(title)) ORDER BY place, product_id LIMIT 80),
+     p2 AS (SELECT * FROM p ANTI JOIN k1 USING (product_id)),
+     k2 AS (SELECT 'multi_constraint', place, product_id, [product_id], '预算不超过 ' || printf('%.2f', floor((price * 1.05 + 1) * 100 + 0.5) / 100) || '，找 ' || brand || ' 的' || alias || '，名称线索 ' || clue FROM p2 WHERE price > 0 ORDER BY place, product_id LIMIT 20),
+     p3 AS (SELECT * FROM p2 ANTI JOIN k2 USING (product_id)),
+     t3 AS (SELECT *, {ONCE.format('a2', 'e', '3')} AS typo FROM (SELECT *, {ONCE.format('a1', 'i', '1')} AS a2 FROM (SELECT *, {ONCE.format('clue', 'o', '0')} AS a1 FROM p3))),
+     k3 AS (SELECT 'alias_typo', place, product_id, [product_id], '有个' || alias || '好像叫 ' || typo || '，帮我定位准确商品' FROM t3 WHERE clue <> '' ORDER BY place, product_id LIMIT 20),
+     p4 AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(brand)), array_to_string(string_split(lower(category), ' ')[1:3], ' ') ORDER BY place, product_id) AS i FROM p3 ANTI JOIN k3 USING (product_id) WHERE trim(brand) <> ''),
+     k4 AS (SELECT 'near_sku_multi_gold', a.place, a.product_id, [a.product_id, b.product_id], '找 ' || a.brand || ' 的相近型号，线索是 ' || a.clue FROM p4 a JOIN p4 b ON lower(trim(a.brand)) = lower(trim(b.brand))
+       AND array_to_string(string_split(lower(a.category), ' ')[1:3], ' ') = array_to_string(string_split(lower(b.category), ' ')[1:3], ' ') AND a.i = 1 AND b.i = 2 ORDER BY a.place, a.product_id LIMIT 15),
+     every AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4)
+     SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY place, product_id) AS n, question, array_to_string([printf('product:%s', x) FOR x IN ids], ',') AS gold_doc_ids FROM every""",
+)
+def benchmark_quotas(spark, sf):
+    """Four kinds with quotas of 80, 20, 20 and 15; a report of fixed size over the whole catalogue."""
+    p = D.products(spark, sf)
+    products = p.select(
+        "product_id", "title", "category", "price", "brand", F.md5(F.concat(F.lit("20260720"), "product_id")).alias("place"),
+        F.when(F.col("line_no") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("alias "), "category"))).alias("aliases"),
+    )
+    kinds = [(E.attribute_without_title(D.product_attributes(p)), 80), (E.budget_and_clue, 20), (E.misspelt_clue, 20), (E.near_pairs, 15)]
+    return E.with_quotas(products, kinds).withColumn("n", F.col("n").cast("bigint")).withColumn("gold_doc_ids", F.array_join("gold_doc_ids", ","))
+
+
 @register(
     "title_leak_guard",
     "SELECT p_partkey, contains(lower('find ' || p_brand || CASE WHEN p_size % 2 = 0 THEN ' ' || upper(p_name) ELSE '' END), lower(p_name)) AS leaks FROM part",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def call_metrics(calls: DataFrame, size: str, slide: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -26,3 +27,22 @@ def sessions(calls: DataFrame, key: str, gap: str, watermark: str | None = None)
         F.array_sort(F.collect_set("tool")).alias("tools"),
         F.max_by("ok", F.struct("started_at", "seq")).alias("last_ok"),
     ).select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "turns", "tools", "last_ok")
+
+
+class DroppedRows:
+    """Rows that the watermark dropped, by batch, as the query's own progress reports tell.
+
+    Spark keeps the last hundred reports (``spark.sql.streaming.numRecentProgressUpdates``):
+    call ``read`` more often than that. Rows are counted where they reach the state, so
+    late rows of one window and key that arrive together in a task count once.
+    """
+
+    def __init__(self) -> None:
+        self.by_batch: dict[tuple[str, int], int] = {}
+
+    def read(self, query: StreamingQuery) -> int:
+        """Take in the reports of ``query`` (running or ended); returns all rows dropped so far."""
+        for report in query.recentProgress:
+            dropped = sum(op["numRowsDroppedByWatermark"] for op in report["stateOperators"])
+            self.by_batch[str(report["runId"]), report["batchId"]] = dropped
+        return sum(self.by_batch.values())

@@ -158,3 +158,23 @@ def test_upserts_write_only_touched_buckets(spark, tmp_path):
     assert len(changed) == 1
     got = {r.trajectory_id: (r.version, r.value) for r in spark.read.parquet(str(tmp_path / "store")).collect()}
     assert got == {i: (2, 70.0) if i == 7 else (1, float(i)) for i in range(200)}
+
+
+def test_rows_dropped_by_the_watermark_are_counted(spark, tmp_path):
+    schema = "started_at timestamp, tool string, ok boolean, latency_ms double, seq bigint, user_id int"
+
+    def calls(*minutes):
+        rows = [(m, "t", True, 1.0, i, 1) for i, m in enumerate(minutes)]
+        return spark.createDataFrame(rows, schema.replace("started_at timestamp", "started_at int")).withColumn("started_at", F.timestamp_seconds(F.col("started_at") * 60))
+
+    for name, build in {"tumbling": lambda s: W.call_metrics(s, "10 minutes", watermark="5 minutes"), "sessions": lambda s: W.sessions(s, "user_id", "10 minutes", watermark="5 minutes")}.items():
+        folder, seen = tmp_path / name, W.DroppedRows()
+        counts = []
+        for turn, minutes in enumerate([(0, 100), (200,), (1, 40, 201)]):
+            calls(*minutes).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+            q = build(spark.readStream.schema(schema).parquet(str(folder / "in"))).writeStream.format("noop").outputMode("append")
+            q = q.option("checkpointLocation", str(folder / "cp")).trigger(availableNow=True).start()
+            assert q.awaitTermination(90)
+            counts.append(seen.read(q))
+            assert seen.read(q) == counts[-1]
+        assert counts == [0, 0, 2], (name, counts)
