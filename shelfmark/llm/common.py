@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,43 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _COLLECTING.get():
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_COLLECTING: ContextVar[tuple[list[str], ...]] = ContextVar("collecting", default=())
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """Paths of the tables that ``written`` makes meanwhile, for ``delete`` when nothing will read them any more."""
+    made: list[str] = []
+    token = _COLLECTING.set((*_COLLECTING.get(), made))
+    try:
+        yield made
+    finally:
+        _COLLECTING.reset(token)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing will read again, and let Spark drop the shuffle files of jobs that are over.
+
+    Those files go when the driver's garbage collector finds their jobs unreachable; an
+    idle driver may not collect for half an hour, while the files fill the executors' disks.
+    """
+    for df in tables:
+        delete(df.sparkSession, sorted({f.rpartition("/")[0] for f in df.inputFiles()}))
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Row ranges of a batch whose texts stay near ``limit`` bytes; a longer text is a range of its own."""
     sizes = np.diff(offsets_of(batch.column(column)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.scale import broadcast_if_small
-from shelfmark.llm.common import mixed, named_words, slices, whole_texts, written
+from shelfmark.llm.common import discard, mixed, named_words, slices, whole_texts, written
 from shelfmark.operators.components import connected_components
 
 PERMUTATIONS, ROWS_PER_BAND = 80, 5
@@ -172,8 +172,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return side_by_side(pairs, sets).where(linked(percent)).select("a", "b")
 
 
-def beyond_hub(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links of members with their hub, and the pairs of members in different components that can still be links.
+def beyond_hub(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Links of members with their hub, the pairs of members in different components that can still be links, and the scratch tables both read.
 
     ``groups`` has a (the hub), b (a member), n (size of its set) and comp. Two
     linked sets share at least s = p / (100 + p) * (|x| + |y|) shingles. Inside the
@@ -213,7 +213,7 @@ def beyond_hub(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
     near = mates(["a", "shingle", "mine", "their"], tokens.where(~F.col("is_link")), tokens.withColumnsRenamed({"mine": "other", "their": "mine"}).withColumnRenamed("other", "their"))
     wanted = seen.select("a", "b", "comp", "is_link", F.col("n").alias("wn"), F.explode("sizes").alias("n")).withColumn("size", F.col("n")).drop("n").withColumnRenamed("wn", "n")
     small = mates(["a", "size"], wanted, seen.select("a", "b", "n", "comp", "is_link", F.col("n").alias("size")))
-    return seen.where("is_link").select("a", "b"), near.unionByName(small).distinct()
+    return seen.where("is_link").select("a", "b"), near.unionByName(small).distinct(), [seen, tokens]
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = written(rows.join(buckets, "band"))
     company = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
     weight = members.join(company, "band").groupBy("id").agg(F.sum("size").alias("weight"))  # in how much company a document is: a group's middle has most
-    members = written(members.join(weight, "id"))
+    unweighted, members = members, written(members.join(weight, "id"))
+    discard(unweighted)
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text")
     rare = shingle_counts(texts, size)
@@ -263,11 +264,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     def placed(rows: DataFrame, id: str) -> DataFrame:
         return rows.drop("comp").join(component.withColumnRenamed("node", id), id, "left").withColumn("comp", F.coalesce("component", id)).drop("component")
 
-    now = members
+    now = written(placed(members, "id"))
+    discard(members)
     for turn in range(STAR_ROUNDS):
-        now = placed(now, "id")
+        before, now = now, placed(now, "id") if turn else now
         split = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2").select("band")
         now = written(now.join(split, "band"))
+        discard(before)
         star = with_hub(now, F.xxhash64("id", "band", F.lit(turn)))
         fresh = written(confirmed(star.where(alike("an", "n")).where("ac <> comp").select("a", "b").distinct(), sets, percent))
         if fresh.limit(1).count() == 0:
@@ -278,8 +281,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     now = placed(now, "id")
     split = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2").select("band")
     groups = written(with_hub(now.join(split, "band"), -F.col("weight")).select("a", "b", "n", "comp").distinct())
-    found, left = beyond_hub(groups, sets, percent)
+    found, left, scratch = beyond_hub(groups, sets, percent)
     fresh = written(found.unionByName(confirmed(left, sets, percent)))
+    discard(groups, sets, *scratch)
     if fresh.limit(1).count():
         component = connected_components(written(links.unionByName(fresh)))
 
