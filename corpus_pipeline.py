@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, decontaminate, near_dups, pii, toxicity
-from shelfmark.llm.common import table, written
+from shelfmark.llm.common import collecting, delete, table, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -55,9 +55,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else written(docs), sf_dir)
+    """All stages over the documents. A stage's input and scratch tables go as soon as its output is written."""
+    docs, spent = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES:
+        with collecting() as made:
+            docs = stage(spark, docs, sf_dir)
+        if stage is STAGES[-1][1]:
+            return docs
+        with collecting() as kept:
+            docs = written(docs)
+        delete(spark, spent + made)
+        spent = kept
     return docs
 
 
