@@ -57,7 +57,9 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Words are the maximal letter runs, A to Z lower-cased, as ``misspelt`` leaves them;
     null texts have none. Repeated rows count as often as they stand.
     """
-    runs = docs.select(F.col(key).alias("key"), F.explode(F.regexp_extract_all(F.col(text), F.lit(f"[{LETTERS}]{{{LEAST_LENGTH},}}"), F.lit(0))).alias("run"))
+    # an outer generator: an inner one would have the runs searched once more, to filter texts without any
+    runs = docs.select(F.col(key).alias("key"), F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(f"[{LETTERS}]{{{LEAST_LENGTH},}}"), F.lit(0))).alias("run"))
+    runs = runs.where(F.col("run").isNotNull())
     low = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", _UPPER, _LOWER)).otherwise(F.col("run"))
     words = runs.select("key", low.alias("run")).select(misspelt(F.col("run"), F.col("key")).alias("word"))
     kept = words.where(F.char_length("word") >= LEAST_LENGTH)
