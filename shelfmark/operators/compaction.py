@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import fixed_values as fv
 from shelfmark.functions.scale import exact_ranks, running, settled
@@ -274,31 +279,41 @@ def report(per_conversation: DataFrame) -> DataFrame:
     return t.join(q, "j").drop("j").withColumn("character_reduction_ratio", 1.0 - F.col("compact_chars_total") / F.col("raw_chars_total"))
 
 
-def json_leaves(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """``keys``, path, value: every leaf of the JSON objects in ``text``, flattened level by level.
+def _leaf_counts(text: str | None) -> Counter:
+    """(path, value) -> occurrences: every leaf of one JSON object.
 
-    A level explodes objects and lists into their children (list places are left out of
-    the path, so equal subfields of a list share one); leaves leave the loop, so work
-    follows the number of nodes and the number of rounds the depth. Null values and
-    empty objects and lists have no leaf; text that is no JSON object has none.
+    List places are left out of the path, so equal subfields of a list share one; a list
+    in a list is the list of a nameless field. Null values and empty objects and lists
+    have no leaf; text that is no JSON object has none. Numbers compare by value.
     """
-    level = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(text).alias("node")).where(F.json_object_keys(text).isNotNull())
-    level = settled(level.select(*keys, "path", F.to_json("node").alias("node")))
-    out = None
-    while True:
-        held = level.select(*keys, "path", F.explode(F.from_json("node", "map<string,variant>")).alias("name", "v")).select(
-            *keys, F.concat_ws(".", F.nullif("path", F.lit("")), "name").alias("path"), "v"
-        )
-        listed = held.select(*keys, "path", "v", F.try_variant_get("v", "$", _LIST).alias("many"))
-        children = listed.select(*keys, "path", F.explode(F.coalesce("many", F.array("v"))).alias("v"))
-        children = settled(children.select(*keys, "path", F.to_json("v").alias("v"), F.try_variant_get("v", "$", _MAP).isNotNull().alias("inner")))
-        leaves = children.where(~F.col("inner") & (F.col("v") != "null") & ~F.col("v").startswith("[")).select(*keys, "path", F.col("v").alias("value"))
-        out = leaves if out is None else out.unionByName(leaves)
-        # a list in a list is taken as the list of a nameless field
-        nested = children.where(~F.col("inner") & F.col("v").startswith("[")).select(*keys, "path", F.concat(F.lit('{"":'), "v", F.lit("}")).alias("node"))
-        level = children.where("inner").select(*keys, "path", F.col("v").alias("node")).unionByName(nested)
-        if level.isEmpty():
-            return out
+
+    def fields(pairs: list) -> dict:
+        out = dict(pairs)
+        if len(out) < len(pairs):
+            raise ValueError("a key stands twice")
+        return out
+
+    def constant(name: str):
+        raise ValueError(name)
+
+    counts: Counter = Counter()
+    try:
+        top = json.loads(text or "", parse_float=Decimal, parse_constant=constant, object_pairs_hook=fields)
+    except (ValueError, ArithmeticError, RecursionError):
+        return counts
+    todo = [("", top)] if isinstance(top, dict) else []
+    while todo:
+        path, held = todo.pop()
+        for name, value in held.items():
+            below = f"{path}.{name}" if path else name
+            for v in value if isinstance(value, list) else (value,):
+                if isinstance(v, dict):
+                    todo.append((below, v))
+                elif isinstance(v, list):
+                    todo.append((below, {"": v}))
+                elif v is not None:
+                    counts[below, v if type(v) in (bool, str) else Decimal(v), type(v) is bool] += 1
+    return counts
 
 
 def field_losses(compacted: DataFrame) -> DataFrame:
@@ -307,18 +322,39 @@ def field_losses(compacted: DataFrame) -> DataFrame:
     ``compacted`` (conv, pos, role, tool, superseded, content, compact). Values count with
     their number of occurrences: of a value that stands three times and is kept twice, one is lost.
     """
-    lost = subfield_losses(compacted)
+    lost = _losses(compacted, ["tool"])
     return lost.groupBy("tool", F.col("path").alias("field")).agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
 
 
 def subfield_losses(compacted: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys``, conv, pos, tool, path, n, lost: raw and compact leaves of active results compared value by value."""
     own = ["conv", "pos", "tool", *(keys or [])]
-    active = compacted.where((F.col("role") == "tool") & ~F.col("superseded"))
-    raw = json_leaves(active, "content", own).groupBy(*own, "path", "value").agg(F.count(F.lit(1)).alias("n_raw"))
-    small = json_leaves(active, "compact", own).groupBy("conv", "pos", "path", "value").agg(F.count(F.lit(1)).alias("n_kept"))
-    j = raw.join(small, ["conv", "pos", "path", "value"], "left").withColumn("missing", F.greatest(F.col("n_raw") - F.coalesce("n_kept", F.lit(0)), F.lit(0)))
-    return j.groupBy(*own, "path").agg(F.sum("n_raw").alias("n"), F.sum("missing").alias("lost"))
+    return _losses(compacted, own).groupBy(*own, "path").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
+
+
+def _losses(compacted: DataFrame, own: list[str]) -> DataFrame:
+    """``own``, path, n, lost of each active result. Both texts stand in one row, so they are compared there and no leaf is stored or shuffled."""
+    active = compacted.where((F.col("role") == "tool") & ~F.col("superseded")).select(*own, "content", "compact")
+    schema = T.StructType([*active.select(*own).schema.fields, T.StructField("path", T.StringType()), T.StructField("n", T.LongType()), T.StructField("lost", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, paths, n, lost = [], [], [], []
+            for i, (raw, small) in enumerate(zip(batch.column("content").to_pylist(), batch.column("compact").to_pylist(), strict=True)):
+                kept = _leaf_counts(small)
+                of: dict[str, list[int]] = {}
+                for leaf, count in _leaf_counts(raw).items():
+                    sums = of.setdefault(leaf[0], [0, 0])
+                    sums[0] += count
+                    sums[1] += max(count - kept[leaf], 0)
+                at += [i] * len(of)
+                paths += of
+                n += [x[0] for x in of.values()]
+                lost += [x[1] for x in of.values()]
+            columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in own]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(paths, pa.string()), pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=schema.names)
+
+    return active.mapInArrow(run, schema)
 
 
 def loss_summary(losses: DataFrame, by: str) -> DataFrame:

@@ -73,3 +73,15 @@ def test_losses_by_value_and_subfield(spark):
     assert got == {"order_id": (1, 0), "items.item_id": (14, 2), "items.memo": (14, 14), "deep.a.b": (1, 1), "deep.a.b.": (2, 2)}
     by = K.subfield_losses(K.compact_history(df))
     assert {r["tool"]: (r["results"], r["lost"]) for r in K.loss_summary(by, "tool").collect()} == {"get_order_details": (1, 19)}
+
+
+def test_losses_store_and_shuffle_no_leaf(spark, tmp_path):
+    texts = [('{"a":1.00,"b":[{"c":"x"},{"c":"x"},[true,null]],"d":{}}', '{"a":1,"b":[{"c":"x"}]}'), ("[1]", "[1]"), ('{"a":1,"a":2}', "{}"), (None, None)]
+    rows = [("c", i, "tool", "t", False, raw, small) for i, (raw, small) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv string, pos int, role string, tool string, superseded boolean, content string, compact string")
+    before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    lost = K.field_losses(df)
+    assert {(r["field"], r["n"], r["lost"]) for r in lost.collect()} == {("a", 1, 0), ("b.c", 2, 1), ("b.", 1, 1)}
+    plan = lost._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan  # leaves are compared in their row
+    assert str(spark.sparkContext._jsc.sc().getCheckpointDir()) == str(before)
