@@ -308,3 +308,21 @@ def test_structure_splits_by_leading_bits(spark):
     got = {r.signature_hash: r.split for r in S.structure_splits(sigs).collect()}
     order = sorted(got, key=lambda h: hashlib.sha256(f"split-v1:{h}".encode()).hexdigest())
     assert [got[h] for h in order] == ["dev"] * 500 + ["held_out"] * 500 + ["train"] * 4000
+
+
+def test_ledger_stores_no_payloads_and_coverage_reads_needed_fields(spark):
+    from shelfmark.operators import evidence as V
+
+    calls = spark.createDataFrame(
+        [("t", i, f"c{i}", "get_product", '{"product_id":"P1"}', f'{{"ok":true,"product":{{"product_id":"P1","title":"T{i}","price":{i}}},"evidence":["x"]}}') for i in range(3)]
+        + [("t", 3, "c3", "get_policy", '{"policy_type":"returns"}', '{"ok":true,"policies":[{"policy_id":"POL001","title":"R"}]}')],
+        "trajectory_id string, call_seq bigint, call_id string, tool string, arguments string, result string",
+    )
+    ledger = V.ledger(V.convert_calls(calls), F.lit(0))
+    plan = ledger._jdf.queryExecution().toString()
+    assert "arguments#" not in plan and "result#" not in plan  # what is stored holds the rows, not the texts they come from
+    assert ("policy.category", "returns") in {(r["field"], r["value"]) for r in ledger.collect()}
+    answers = spark.createDataFrame([("t", "price 2", ["product.price", "product.t*", "nothing"])], "trajectory_id string, answer string, required array<string>")
+    out = V.required_coverage(answers, ledger)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 4  # the ledger's rows are unpacked once
+    assert [(r["required"], r["covered"], r["omitted"]) for r in out.collect()] == [(3, 1, ["nothing", "product.t*"])]
