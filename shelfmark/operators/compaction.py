@@ -334,7 +334,9 @@ def subfield_losses(compacted: DataFrame, keys: list[str] | None = None) -> Data
 
 def _losses(compacted: DataFrame, own: list[str]) -> DataFrame:
     """``own``, path, n, lost of each active result. Both texts stand in one row, so they are compared there and no leaf is stored or shuffled."""
-    active = compacted.where((F.col("role") == "tool") & ~F.col("superseded")).select(*own, "content", "compact")
+    # a result without conversation or place has no compact text to be found by: all its values count as lost
+    compact = F.when(F.col("conv").isNotNull() & F.col("pos").isNotNull(), F.col("compact")).alias("compact")
+    active = compacted.where((F.col("role") == "tool") & ~F.col("superseded")).select(*own, "content", compact)
     schema = T.StructType([*active.select(*own).schema.fields, T.StructField("path", T.StringType()), T.StructField("n", T.LongType()), T.StructField("lost", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

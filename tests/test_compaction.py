@@ -85,3 +85,5 @@ def test_losses_store_and_shuffle_no_leaf(spark, tmp_path):
     plan = lost._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan  # leaves are compared in their row
     assert str(spark.sparkContext._jsc.sc().getCheckpointDir()) == str(before)
+    keyless = K.field_losses(df.where("pos = 0").withColumn("conv", F.lit(None).cast("string")))
+    assert {(r["field"], r["n"], r["lost"]) for r in keyless.collect()} == {("a", 1, 1), ("b.c", 2, 2), ("b.", 1, 1)}
