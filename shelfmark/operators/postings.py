@@ -16,8 +16,12 @@ cannot be among the best k.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +38,11 @@ PIECE_POSTINGS = 1 << 20
 #: The floor is found by the strongest terms, which hold the rest of this share of a query's largest possible score.
 SEED_SHARE = 0.6
 #: Pairs of a query and a posting that are scored in one pass; beyond it, bounds leave out most of them.
-DIRECT_PAIRS = 1 << 27
+DIRECT_PAIRS = 1 << 33
+#: Pairs a task scores in one pass, on average; so many it adds up at once.
+TASK_PAIRS, STEP_PAIRS = 1 << 21, 1 << 20
+#: Queries of a tile; chunks and postings of a pack. A task holds the scores of one tile by one pack.
+QUERY_TILE, PACK_CHUNKS, PACK_POSTINGS = 1024, 4096, 1 << 18
 _SLACK = 1e-8
 
 
@@ -150,12 +158,102 @@ def topk(
     small = broadcast_if_small(vocabulary)
     df = index.frequencies().join(small, "token", "left_semi")
     weights = stored(terms.join(df, "token").select("query_id", "token", "df", index.idf(F.col("df")).alias("idf")))
-    if (weights.agg(F.sum("df")).first()[0] or 0) > direct_pairs:
+    pairs, asking = weights.agg(F.coalesce(F.sum("df"), F.lit(0)), F.approx_count_distinct(F.coalesce(F.col("query_id").cast("string"), F.lit("")))).first()
+    if pairs > direct_pairs:
         return _pruned(index, terms, k, k1, b, table)
-    rows = of_tokens(index, vocabulary, table).repartition("chunk_id")  # then no sum of a pair of query and chunk is exchanged
-    part = F.col("idf") * index.part(k1, b)
-    scored = rows.join(broadcast_if_small(weights), "token").groupBy("chunk_id", "query_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-    return _best(scored, "score", k)
+    # a fixed number of tasks, by their work: few bytes of postings may meet many queries
+    rows = of_tokens(index, vocabulary, table).select("chunk_id", "token", index.part(k1, b).alias("part"))
+    dealt = rows.repartition(1 + pairs // TASK_PAIRS, "chunk_id").sortWithinPartitions("chunk_id")
+    scored = _tiled_scores(dealt, weights.drop("df"), 1 + asking // QUERY_TILE, k)
+    return _best(scored.select("query_id", "chunk_id", F.round("score", SCORE_DIGITS).alias("score")), "score", k)
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Postings sorted by chunk_id packed into rows of whole chunks: lists of chunk_id, token, part."""
+    names = ["chunk_id", "token", "part"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def row(t: pa.Table) -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(n).combine_chunks()) for n in names]
+            return pa.RecordBatch.from_arrays(lists, names=names)
+
+        for batch in batches:
+            fresh = pa.Table.from_batches([batch])
+            held = fresh if held is None else pa.concat_tables([held, fresh])
+            codes = held.column("chunk_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            # dictionary codes follow the sorted ids; the last chunk may go on in the next batch
+            begins = np.flatnonzero(np.diff(codes, prepend=-1))
+            at = 0
+            while begins[-1] - at >= PACK_POSTINGS or codes[begins[-1]] - codes[at] >= PACK_CHUNKS:
+                ends = begins[(begins > at) & (begins - at <= PACK_POSTINGS) & (codes[begins] - codes[at] <= PACK_CHUNKS)]
+                to = int(ends[-1]) if len(ends) else int(begins[begins > at][0])
+                yield row(held.slice(at, to - at))
+                at = to
+            held = held.slice(at)
+            if len(codes) - begins[-1] > PACK_POSTINGS:
+                # a chunk_id of so many rows: its sums per token stand for them
+                held = held.group_by(["chunk_id", "token"], use_threads=False).aggregate([("part", "sum")]).rename_columns(names)
+        if held is not None and held.num_rows:
+            yield row(held)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.select(*names).mapInArrow(pack, ", ".join(f"{n} array<{kinds[n]}>" for n in names))
+
+
+def _tiled_scores(rows: DataFrame, weights: DataFrame, tiles: int, k: int) -> DataFrame:
+    """Scores of query_id and chunk_id that can be among the best ``k`` of a query, with all that tie.
+
+    ``rows`` (chunk_id, token, part) holds each chunk in one partition, sorted by chunk_id.
+    Chunks are packed where they are; tiles of queries are broadcast behind their measured
+    size, else joined with the packs by a group number.
+    """
+    asked = weights.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(tiles)).alias("tile")).agg(F.collect_list(F.struct("query_id", "token", "idf")).alias("asked"))
+    small = payload_bytes(weights) <= BROADCAST_LIMIT_BYTES
+    groups = 1 if small else rows.sparkSession.sparkContext.defaultParallelism
+    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).drop("tile")
+    packs = _packed(rows).withColumn("group", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                query, word, idf = batch.column("asked")[i].values.flatten()
+                queries = query.dictionary_encode(null_encoding="encode")
+                chunks = batch.column("chunk_id")[i].values.dictionary_encode(null_encoding="encode")
+                words = word.dictionary_encode()
+                # the weights in the order of their words: those of word w lie from first[w] to first[w + 1]
+                code = words.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")
+                first = np.searchsorted(code[order], np.arange(len(words.dictionary) + 1))
+                asker, idf = queries.indices.to_numpy(zero_copy_only=False)[order].astype(np.int64), idf.to_numpy(zero_copy_only=False)[order]
+                met = pc.fill_null(pc.index_in(batch.column("token")[i].values, value_set=words.dictionary), -1).to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(met >= 0)
+                met, part = met[hit], batch.column("part")[i].values.to_numpy(zero_copy_only=False)[hit]
+                chunk = chunks.indices.to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+                times = first[met + 1] - first[met]
+                upto = np.concatenate([[0], np.cumsum(times)])
+                width = len(queries.dictionary)
+                scores = np.zeros((len(chunks.dictionary), width))
+                at = 0
+                while at < len(hit):
+                    to = max(at + 1, int(np.searchsorted(upto, upto[at] + STEP_PAIRS, side="right")) - 1)
+                    n = times[at:to]
+                    posting = np.repeat(np.arange(at, to), n)
+                    place = np.arange(len(posting)) - np.repeat(upto[at:to] - upto[at], n) + first[met[posting]]
+                    low, high = chunk[at], chunk[to - 1] + 1  # the chunks of a pack are in order
+                    sums = np.bincount((chunk[posting] - low) * width + asker[place], weights=idf[place] * part[posting], minlength=(high - low) * width)
+                    scores[low:high] += sums.reshape(-1, width)
+                    at = to
+                scores = np.ascontiguousarray(scores.T)
+                kth = max(0, scores.shape[1] - k)
+                floor = np.partition(scores, kth, axis=1)[:, kth] - 10.0**-SCORE_DIGITS * 2
+                who, which = np.nonzero((scores >= floor[:, None]) & (scores > 0))
+                yield pa.RecordBatch.from_arrays([queries.dictionary.take(pa.array(who)), chunks.dictionary.take(pa.array(which)), pa.array(scores[who, which])], names=["query_id", "chunk_id", "score"])
+
+    met = packs.join(F.broadcast(asked) if small else asked, "group").select("asked", "chunk_id", "token", "part")
+    kinds = [(n, df.schema[n].dataType.simpleString()) for n, df in (("query_id", weights), ("chunk_id", rows))]
+    return met.mapInArrow(kernel, ", ".join(f"{n} {t}" for n, t in kinds) + ", score double")
 
 
 def _pruned(index: LexicalIndex, terms: DataFrame, k: int, k1: float, b: float, table: DataFrame | None) -> DataFrame:

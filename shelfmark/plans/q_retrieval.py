@@ -277,7 +277,7 @@ def confidence_gate(spark, sf):
 
 # --- catalogue: products searched by the customers' segments and nations -----------
 def catalog_chunks(spark, sf):
-    p = D.products(spark, sf)
+    p = spread(D.products(spark, sf))
     return p.select(
         (F.col("line_no") + 0).alias("chunk_id"),
         F.concat(F.lit("product:"), "product_id").alias("doc_id"),
