@@ -224,7 +224,7 @@ def commands(spark: SparkSession, sf: str) -> DataFrame:
     for kind, tools in COMMAND_TOOLS.items():
         hit = F.col("event_type") == kind
         tool = F.when(hit, pick(tools, k)) if tool is None else tool.when(hit, pick(tools, k))
-    e = table(spark, sf, "events").select(
+    e = spread(table(spark, sf, "events")).select(
         F.col("event_id").alias("seq"),
         "ts",
         F.format_string("O%06d", F.col("user_id") * 100 + k - k % 10).alias("order_id"),
