@@ -113,7 +113,11 @@ def audit(
     )
     said = (F.col("role") == "user") & (F.col("n_calls") == 0)
     yes = F.col("content").rlike(fv.CONFIRMATION_PATTERN)
-    flow = queue.select("sim", "pos", "role", "content", "n_calls").join(asked, ["sim", "pos"], "left")
+    # a confirmation is only looked up at a write; messages that neither write, ask nor answer are not ordered
+    wrote = calls.where(F.col("name").isin(fv.RETAIL_WRITE_TOOLS)).select("sim", "pos", F.lit(None).cast("string").alias("asked_target"))
+    marked = asked.unionByName(wrote).groupBy("sim", "pos").agg(F.max("asked_target").alias("asked_target"), F.lit(True).alias("marked"))
+    answered = F.coalesce((F.col("role") == "user") & (F.col("n_calls") == 0), F.lit(False))
+    flow = queue.select("sim", "pos", "role", "content", "n_calls").join(marked, ["sim", "pos"], "left").where(answered | F.col("marked").isNotNull())
     pending = running(flow, ["sim"], ["pos"], block, lasts={"pending_target": F.col("asked_target")})
     confirmed = running(
         pending, ["sim"], ["pos"], block,
