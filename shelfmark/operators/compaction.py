@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from decimal import Decimal
 
 import pyarrow as pa
@@ -90,68 +90,78 @@ def _quoted(text: Column) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
-def _named(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f'"{name}":'), value)
+def _there(v: Column) -> Column:
+    """The value, null for a JSON null."""
+    return F.when(~F.is_variant_null(v), v)
 
 
-def _pieces(m: Column, fields: tuple[str, ...]) -> Column:
-    """Kept fields of a map of JSON values, nulls dropped, as JSON text pieces."""
-    if not fields:
-        return F.array().cast("array<string>")
-    kept = F.transform(F.array(*[F.lit(f) for f in fields]), lambda f: F.struct(f.alias("f"), F.to_json(F.try_element_at(m, f)).alias("v")))
-    there = F.filter(kept, lambda p: F.coalesce(p["v"], F.lit("null")) != "null")
-    return F.transform(there, lambda p: F.concat(F.lit('"'), p["f"], F.lit('":'), p["v"]))
+def _shown(v: Column) -> Column:
+    """The value, a JSON null where there is none, so that it is written in any case."""
+    return F.coalesce(v, F.parse_json(F.lit("null")))
 
 
-def _object(pieces: Column) -> Column:
-    return F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}"))
+def _of(m: Column) -> Callable[[str], Column]:
+    return lambda name: F.try_element_at(m, F.lit(name))
 
 
-def _within(m: Column, part: Part) -> Column:
-    """Pieces of one object under a rule: its fields, then the fields beside, the text and the parts inside."""
-    own = [_named(f, F.coalesce(F.to_json(F.try_element_at(m, F.lit(f))), F.lit("null"))) for f in part.beside]
+def _within(get: Callable[[str], Column], part: Part, nulls: Column, own: Column) -> Column:
+    """One object under a rule: its fields, then the fields beside, the text and the parts inside.
+
+    ``get`` reads a field of the object, ``own`` is the object as a map where parts inside are asked for.
+    """
+    columns = [_there(get(f)).alias(f) for f in part.fields] + [_shown(get(f)).alias(f) for f in part.beside]
     if part.text is not None:
-        value = F.coalesce(F.try_variant_get(F.try_element_at(m, F.lit(part.text)), "$", "string"), F.lit(""))
-        own.append(_named(part.text, _quoted(F.substring(value, 1, part.chars))))
-    own += [_piece(m, p) for p in part.inside]
-    return F.concat(_pieces(m, part.fields), F.array_compact(F.array(*own))) if own else _pieces(m, part.fields)
+        value = F.coalesce(F.try_variant_get(get(part.text), "$", "string"), F.lit(""))
+        columns.append(F.substring(value, 1, part.chars).alias(part.text))
+    return F.struct(*columns, *[_piece(own, p, nulls).alias(p.path) for p in part.inside])
 
 
 def _cut(elements: Column, part: Part) -> Column:
     if part.first is not None:
         return F.slice(elements, 1, part.first)
-    return F.slice(elements, -F.least(F.size(elements), F.lit(part.last)), part.last) if part.last is not None else elements
+    if part.last is not None:
+        return _let(elements, lambda e: F.when(F.size(e) > part.last, F.slice(e, -part.last, part.last)).otherwise(e))
+    return elements
+
+
+def _element(part: Part) -> str:
+    """Type that elements are read as: the fields of the rule alone, or all where parts of the element are asked for."""
+    if part.inside or part.beside or not part.fields:
+        return _MAP
+    return "struct<" + ",".join(f"`{f}`:variant" for f in (*part.fields, *([part.text] if part.text else []))) + ">"
+
 
+def _kept(elements: Column, part: Part, kind: str, nulls: Column) -> Column:
+    """The elements of a list under a rule; read as its fields and without a JSON null to drop, they are kept as they are."""
+    shown = F.transform(elements, lambda e: _within(_of(e) if kind == _MAP else lambda f: e[f], part, nulls, e))
+    return shown if kind == _MAP or part.text or part.loose else F.when(nulls, shown).otherwise(elements)
 
-def _piece(m: Column, part: Part) -> Column:
-    """The JSON piece of one rule, null where the payload has none."""
+
+def _piece(m: Column, part: Part, nulls: Column) -> Column:
+    """What one rule keeps of an object, as a value ``to_json`` writes; null where the payload has none."""
     value = F.try_element_at(m, F.lit(part.path))
-    as_map = lambda v: F.try_variant_get(v, "$", _MAP)
     if part.kind == "raw":
-        return F.when(F.map_contains_key(m, F.lit(part.path)), _named(part.path, F.coalesce(F.to_json(value), F.lit("null"))))
+        return F.when(F.map_contains_key(m, F.lit(part.path)), _shown(value))
     if part.kind == "object":
-        inner = as_map(value)
-        inner = F.when(F.size(inner) > 0, inner)
-        return _named(part.path, _let(F.coalesce(inner, m) if part.or_self else inner, lambda o: _object(_within(o, part))))
-    if part.kind == "map":
-        entries = F.filter(_cut(F.map_entries(as_map(value)), part), lambda e: as_map(e["value"]).isNotNull())
-        shown = F.transform(entries, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), _object(_within(as_map(e["value"]), part))))
-        return F.when(as_map(value).isNotNull(), _named(part.path, _object(shown)))
-    listed = F.try_variant_get(value, "$", _LIST)
+        inner = _let(F.try_variant_get(value, "$", _MAP), lambda o: F.when(F.size(o) > 0, o))
+        return _let(F.coalesce(inner, m) if part.or_self else inner, lambda o: _within(_of(o), part, nulls, o))
     if part.kind == "texts":
         text = lambda v: F.substring(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)), 1, part.chars)
-        return F.when(listed.isNotNull(), _named(part.path, F.concat(F.lit("["), F.array_join(F.transform(_cut(listed, part), lambda v: _quoted(text(v))), ","), F.lit("]"))))
-    objects = F.transform(_cut(F.coalesce(listed, F.array().cast(_LIST)), part), as_map)
-    objects = F.transform(objects, lambda o: F.coalesce(o, F.from_json(F.lit("{}"), _MAP))) if part.loose else F.filter(objects, lambda o: o.isNotNull())
-    shown = _named(part.path, F.concat(F.lit("["), F.array_join(F.transform(objects, lambda o: _object(_within(o, part))), ","), F.lit("]")))
+        return F.transform(_cut(F.try_variant_get(value, "$", _LIST), part), text)
+    kind = _element(part)
+    if part.kind == "map":
+        entries = F.filter(_cut(F.map_entries(F.try_variant_get(value, "$", f"map<string,{kind}>")), part), lambda e: e["value"].isNotNull())
+        return _let(entries, lambda es: F.map_from_arrays(F.transform(es, lambda e: e["key"]), _kept(F.transform(es, lambda e: e["value"]), part, kind, nulls)))
+    listed = _cut(F.try_variant_get(value, "$", f"array<{kind}>"), part)
+    shown = _let(listed if part.loose else F.filter(listed, lambda o: o.isNotNull()), lambda es: _kept(es, part, kind, nulls))
     if part.needed:
-        return shown
+        return F.coalesce(shown, F.array())
     # an order's items are listed as soon as the key is there, other lists only where they are lists
-    return F.when(F.map_contains_key(m, F.lit(part.path)) if part.path == "items" else listed.isNotNull(), shown)
+    return F.coalesce(shown, F.when(F.map_contains_key(m, F.lit(part.path)), F.array())) if part.path == "items" else shown
 
 
 def compact_payload(tool: Column, result: Column, order_fields: list[str] | None = None) -> Column:
-    """Compact JSON text of a tool result by the rule table; the result is parsed once.
+    """Compact JSON text of a tool result by the rule table; the result is parsed once and written by one ``to_json``.
 
     Text that is no object stays as it is (written as JSON); an object of which nothing
     is kept stays whole. Entries of a map are taken in the order of their names.
@@ -159,32 +169,34 @@ def compact_payload(tool: Column, result: Column, order_fields: list[str] | None
     rules = payload_rules(order_fields)
     base_fields = tuple(fv.COMPACT_BASE_FIELDS)
 
-    def of_tool(m: Column, base: Column, name: str | None) -> Column:
-        parts = [p for p in rules if (name in p.tools if name is not None else not p.tools)]
-        pieces = base
-        for p in parts:
+    def of_tool(m: Column, there: Column, nulls: Column, name: str | None) -> Column:
+        columns = [_of(there)(f).alias(f) for f in base_fields]
+        for p in (p for p in rules if (name in p.tools if name is not None else not p.tools)):
             if p.kind == "merge":
-                rest = tuple(f for f in p.fields if f not in base_fields)
-                pieces = F.concat(pieces, _within(m, replace(p, fields=rest)))
-            elif p.kind == "raw":
-                pieces = F.concat(pieces, F.array_compact(F.array(_piece(m, p))))
+                columns += [_of(there)(f).alias(f) for f in p.fields if f not in base_fields]
+                columns += [_piece(m, i, nulls).alias(i.path) for i in p.inside]
             else:
-                pieces = F.concat(pieces, F.array_compact(F.array(F.coalesce(_piece(m, p), _named(p.path, F.lit("{}"))) if p.kind == "object" else _piece(m, p))))
-        return _object(pieces)
+                columns.append(_piece(m, p, nulls).alias(p.path))
+                if p.kind == "object":
+                    columns.append(F.when(columns[-1].isNull(), F.from_json(F.lit("{}"), "map<string,string>")).alias(p.path))
+        return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+
+    def chosen(m: Column, there: Column, nulls: Column) -> Column:
+        shapes: dict[tuple, list[str]] = {}
+        for name in dict.fromkeys(n for p in rules for n in p.tools):
+            shapes.setdefault(tuple(p for p in rules if name in p.tools), []).append(name)
+        out = F
+        for names in shapes.values():
+            out = out.when(tool.isin(names), of_tool(m, there, nulls, names[0]))
+        return out.otherwise(of_tool(m, there, nulls, None))
 
     def built(m: Column) -> Column:
-        def chosen(base: Column) -> Column:
-            out = None
-            shapes: dict[tuple, list[str]] = {}
-            for name in dict.fromkeys(n for p in rules for n in p.tools):
-                shapes.setdefault(tuple(p for p in rules if name in p.tools), []).append(name)
-            for names in shapes.values():
-                one = of_tool(m, base, names[0])
-                hit = tool.isin(names)
-                out = F.when(hit, one) if out is None else out.when(hit, one)
-            return out.otherwise(of_tool(m, base, None))
-
-        return _let(_let(_pieces(m, base_fields), chosen), lambda out: F.when(out == "{}", F.to_json(F.try_parse_json(result))).otherwise(out))
+        def of(nulls: Column) -> Column:
+            there = F.when(nulls, F.map_filter(m, lambda k, v: ~F.is_variant_null(v))).otherwise(m)
+            return _let(there, lambda t: chosen(m, t, nulls))
+
+        text = _let(F.contains(result, F.lit("null")), of)  # a JSON null has no other spelling
+        return _let(text, lambda t: F.when(t == "{}", F.to_json(F.try_parse_json(result))).otherwise(t))
 
     other = F.coalesce(F.to_json(F.try_parse_json(result)), _quoted(result))
     return _let(F.from_json(result, _MAP), lambda m: F.when(m.isNull(), other).otherwise(built(m)))

@@ -724,13 +724,16 @@ def payloads(spark, sf):
     li, part = D.table(spark, sf, "lineitem"), D.table(spark, sf, "part")
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     pid = lambda c: F.format_string("P%05d", c)
-    in_line_order = lambda *cols: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(*cols).alias("x")))), lambda s: s["x"])
     memo = F.lit("not kept").alias("memo")
-    method = F.concat(F.lit("card_"), F.col("l_linenumber").cast("string")).alias("payment_method_id")
-    lines = li.groupBy("l_orderkey").agg(
-        in_line_order(pid("l_partkey").alias("item_id"), F.col("l_suppkey").alias("product_id"), memo, cents("l_extendedprice").alias("price")).alias("items"),
-        in_line_order(F.lit("payment").alias("transaction_type"), cents("l_tax").alias("amount"), memo, method).alias("payment_history"),
-        in_line_order(F.col("l_suppkey").alias("tracking_id"), F.array(pid("l_partkey")).alias("item_ids"), memo).alias("fulfillments"),
+    # an order's lines are gathered and sorted once, as numbers; the lists are views of them
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", cents("l_tax").alias("tax"), cents("l_extendedprice").alias("price"), pid("l_partkey").alias("pid"))
+    of_lines = lambda then: F.transform("ls", then)
+    method = lambda x: F.concat(F.lit("card_"), x["l_linenumber"].cast("string")).alias("payment_method_id")
+    lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("ls")).select(
+        "l_orderkey",
+        of_lines(lambda x: F.struct(x["pid"].alias("item_id"), x["l_suppkey"].alias("product_id"), memo, x["price"].alias("price"))).alias("items"),
+        of_lines(lambda x: F.struct(F.lit("payment").alias("transaction_type"), x["tax"].alias("amount"), memo, method(x))).alias("payment_history"),
+        of_lines(lambda x: F.struct(x["l_suppkey"].alias("tracking_id"), F.array(x["pid"]).alias("item_ids"), memo)).alias("fulfillments"),
     )
     orders = D.orders(spark, sf).join(lines, F.col("order_key") == F.col("l_orderkey"))
     order = F.struct("order_id", memo, "user_id", "status", "items", "payment_history", "fulfillments")

@@ -87,3 +87,31 @@ def test_losses_store_and_shuffle_no_leaf(spark, tmp_path):
     assert str(spark.sparkContext._jsc.sc().getCheckpointDir()) == str(before)
     keyless = K.field_losses(df.where("pos = 0").withColumn("conv", F.lit(None).cast("string")))
     assert {(r["field"], r["n"], r["lost"]) for r in keyless.collect()} == {("a", 1, 1), ("b.c", 2, 2), ("b.", 1, 1)}
+
+
+def test_payload_is_written_by_one_to_json_per_shape(spark):
+    df = spark.createDataFrame([("get_order_details", "{}")], "tool string, result string")
+    plan = df.select(K.compact_payload(F.col("tool"), F.col("result")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("to_json(") < 20  # one per shape of a result, none per field and list element
+
+
+def test_payload_parts_without_values(spark):
+    cases = [
+        ("get_order_details", '{"order_id":"O1","payment_history":[],"items":null,"fulfillments":null}', '{"order_id":"O1","items":[],"payment_history":[]}'),
+        ("get_order_details", '{"status":null,"items":[null,{"item_id":null,"price":1.50},{},"x"]}', '{"items":[{"price":1.5},{}]}'),
+        ("get_order_details", '{"order_id":"nullable","payment_history":{"amount":1}}', '{"order_id":"nullable"}'),
+        ("get_product_details", '{"variants":{"b":{"price":null,"name":"n"},"a":null}}', '{"variants":{"b":{"name":"n"}}}'),
+        ("search_catalog", '{"items":[null,1,{"title":"é\\n"}]}', '{"items":[{},{},{"title":"é\\n"}]}'),
+        ("get_product", '{"product":{"memo":1},"price":2}', '{"product":{}}'),
+        ("get_order", '{"order":{"memo":1}}', '{"order":{}}'),
+        ("other_tool", '{"order":null,"memo":1}', '{"order":null}'),
+    ]
+    got = compacted(spark, [(t, r) for t, r, _ in cases])
+    assert [got[i] for i in range(len(cases))] == [want for _, _, want in cases]
+
+
+def test_order_lines_are_gathered_once(spark, sf):
+    from shelfmark.plans import q_runs
+
+    plan = q_runs.payloads(spark, sf).where("tool = 'get_order_details'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
