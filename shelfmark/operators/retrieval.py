@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,8 +101,9 @@ def dense_topk(
     tiles inside their partitions; rows without a vector take no part. Tiles of
     queries are broadcast behind a measured size, so that vectors stay where they are;
     more of them are joined with the vectors' tiles by a group number. A task holds one
-    tile by one tile of scores (32 MB as set) and keeps ``k`` rows a query of each, the
-    exchange carries ``k`` rows per task and query.
+    tile by one tile of scores (32 MB as set) and keeps ``k`` rows a query of each, equal
+    scores by their id, so that copies of one vector are not all handed on; the exchange
+    carries ``k`` rows per task and query.
     """
     asked = _tiles(queries, "query_id", "vector", query_tile).select(F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"))
     small = payload_bytes(asked) <= limit_bytes
@@ -121,10 +123,19 @@ def dense_topk(
                 scores[np.isnan(scores)] = -np.inf
                 if exclude_self:
                     scores[mine.to_numpy(zero_copy_only=False)[:, None] == theirs.to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                # everything at or above the k-th score stays, so ties are decided by the final ranking
+                # everything above the k-th score stays, and of those that tie with it the first by id, as in the final ranking
                 kth = max(0, scores.shape[1] - k)
                 floor = np.partition(scores, kth, axis=1)[:, kth]
-                rows, cols = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+                kept = (scores >= floor[:, None]) & np.isfinite(scores)
+                many = np.flatnonzero(kept.sum(axis=1) > k)
+                if len(many):
+                    by_id = pc.sort_indices(theirs, null_placement="at_start").to_numpy()
+                    ordered = scores[many][:, by_id]
+                    ties = ordered == floor[many, None]
+                    above = ordered > floor[many, None]
+                    room = k - above.sum(axis=1, keepdims=True)
+                    kept[many[:, None], by_id] = above | (ties & (np.cumsum(ties, axis=1) <= room))
+                rows, cols = np.nonzero(kept)
                 yield pa.RecordBatch.from_arrays([mine.take(pa.array(rows)), theirs.take(pa.array(cols)), pa.array(scores[rows, cols])], names=["query_id", "chunk_id", "score"])
 
     met = packs.join(F.broadcast(asked) if small else asked, "group").select("query_ids", "queries", "ids", "matrix")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import quantiles as QS
-from shelfmark.functions.scale import settled, spread
+from shelfmark.functions.scale import broadcast_if_small, settled, spread
 from shelfmark.functions.text import replace_first
 from shelfmark.operators import retrieval as R
 from shelfmark.operators import retrieval_eval as E
@@ -322,7 +322,8 @@ CATALOG_SEARCH_SQL = f"""WITH dom_products AS ({D.CTE['dom_products']}), {bm25_c
 
 def catalog_vectors(spark, sf, rows, key, modulus, name):
     e = D.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias(name))
-    return rows.select(key).join(e, F.col(key) % modulus == F.col("vec_id")).select(key, name)
+    # rows stay where they are: by vec_id, copies of one vector would lie together, and few tasks would hold them all
+    return rows.select(key).join(broadcast_if_small(e), F.col(key) % modulus == F.col("vec_id")).select(key, name)
 
 
 def catalog_results(spark, sf, limit=15):

@@ -2,9 +2,11 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.operators import postings as P
 from shelfmark.operators import retrieval as R
+from shelfmark.plans import q_retrieval
 
 
 def brute(chunks, queries, k, k1=1.5, b=0.75):
@@ -72,3 +74,28 @@ def test_pack_collapses_a_repeated_chunk(spark, monkeypatch):
             total[i, t] += x
     assert total == {(1, "a"): 15.0, (1, "b"): 3.0, (2, "a"): 2.0}
     assert sum(1 in p["chunk_id"] for p in packs) == 1
+
+
+def test_dense_ties_are_cut_in_the_tile(spark, monkeypatch):
+    """Copies of one vector: a tile hands on k rows a query, the smallest ids, and the result is that of a full ranking."""
+    k = 5
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [float(i % 7), 1.0]) for i in range(299, -1, -1)], "chunk_id long, embedding array<double>").coalesce(1)
+    vectors = vectors.unionByName(spark.createDataFrame([(None, [1.0, 0.0]), (7, [1.0, 0.0])], vectors.schema)).coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [float("nan"), 1.0])], "query_id long, vector array<double>")
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in R.dense_topk(vectors, queries, k, vector_tile=64).collect()}
+    rows = [(r["chunk_id"], r["embedding"]) for r in vectors.collect()]
+    for q, v in ((1, (1.0, 0.0)), (2, (0.0, 1.0))):
+        best = sorted(((i, v[0] * e[0] + v[1] * e[1]) for i, e in rows), key=lambda x: (-x[1], -1 if x[0] is None else x[0]))[:k]
+        assert [got[q, n] for n in range(1, k + 1)] == best
+    assert len(got) == 2 * k
+    monkeypatch.setattr(R, "top_per", lambda df, *a, **b: df)
+    handed = R.dense_topk(vectors, queries, k, vector_tile=64).groupBy("query_id").count().collect()
+    assert max(r["count"] for r in handed) <= k * 7  # 302 rows in tiles of 64, the union's parts apart
+
+
+def test_catalogue_vectors_stay_where_their_rows_are(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i)]) for i in range(5)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = spark.range(20).select(F.col("id").alias("chunk_id"))
+    got = q_retrieval.catalog_vectors(spark, str(tmp_path), rows, "chunk_id", 3, "v")
+    assert sorted((r["chunk_id"], r["v"]) for r in got.collect()) == [(i, [float(i % 3)]) for i in range(20)]
+    assert "strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
